@@ -105,7 +105,7 @@ def close_pairs(a: Tree, b: Tree, same: bool, reach: float, cosine: float):
         for s in range(0, len(i), BLOCK):
             at_i, at_j = np.nonzero(a.x[i[s : s + BLOCK]] @ b.x[j].T >= cosine - 1e-9)
             x, y = i[s + at_i], j[at_j]
-            if same:
+            if same and u == v:
                 x, y = x[x < y], y[x < y]
             if len(x):
                 yield x, y
@@ -175,7 +175,7 @@ def _cells(classes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
     want = {(r["label"], r["dim"]): min(MAX_PIVOTS, -(-r["m"] // cell)) for r in big}
     scale = min(1.0, ALL_PIVOTS / sum(want.values()))
     want = {k: max(2, int(v * scale)) for k, v in want.items()}
-    sizes = spark.createDataFrame([(*k, v) for k, v in want.items()], classes.select("label", "dim").schema.add("k", "int"))
+    sizes = spark.createDataFrame([(*k, v) for k, v in want.items()], classes.select("label", "dim", F.lit(0).alias("k")).schema)
     picked = (
         classes.join(F.broadcast(sizes), ["label", "dim"])
         .withColumn("slot", F.pmod(F.xxhash64("cid"), F.col("k")))
