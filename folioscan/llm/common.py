@@ -53,26 +53,39 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str
+def running_sums(
+    df: DataFrame, keys: list[str], chunk: str, order: list, values: dict[str, str]
 ) -> DataFrame:
-    """Adds the sum of value over all rows of the same keys before this row, in
-    the order of (chunk, *order).
+    """Adds, per entry out: value of values, the sum of value over all rows of
+    the same keys before this row, in the order of (chunk, *order).
 
     Two levels: sums per chunk give each chunk its offset, and only the rows of
     one chunk are ordered in one task, so a key with a third of all rows is
-    split over its chunks.
+    split over its chunks.  Keys and chunk must not be null.
     """
-    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("__chunk_sum"))
+    sums = df.groupBy(*keys, chunk).agg(*[F.sum(v).alias(f"__sum_{o}") for o, v in values.items()])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *keys, chunk, F.coalesce(F.sum("__chunk_sum").over(before), F.lit(0)).alias("__offset")
+        *keys,
+        chunk,
+        *[F.coalesce(F.sum(f"__sum_{o}").over(before), F.lit(0)).alias(f"__offset_{o}") for o in values],
     )
     within = (
         Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         df.join(offsets, [*keys, chunk])
-        .withColumn(out, F.col("__offset") + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop("__offset")
+        .withColumns(
+            {
+                o: F.col(f"__offset_{o}") + F.coalesce(F.sum(v).over(within), F.lit(0))
+                for o, v in values.items()
+            }
+        )
+        .drop(*[f"__offset_{o}" for o in values])
     )
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], chunk: str, order: list, value: str, out: str
+) -> DataFrame:
+    return running_sums(df, keys, chunk, order, {out: value})
