@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import corpus, search
+
+QUERIES = {**corpus.QUERIES, **search.QUERIES}
+ORACLES = {**corpus.ORACLES, **search.ORACLES}
 FLAGSHIP = "ans9_answers"
