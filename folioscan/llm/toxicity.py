@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 #: Bounds: training rows, and terms of the learned lexicon.
 MAX_TRAIN = 12_000
 MAX_TERMS = 240
-#: A term is learned if this many toxic training rows have it, and if it is this
-#: many times as frequent in toxic as in clean rows.
-MIN_ROWS, MIN_RATIO = 6, 12.0
+#: A term is learned if this many toxic training rows have it, and at least this
+#: share of them, and if it is this many times as frequent in toxic as in clean
+#: rows.  Near copies count once, so that what a copied text happens to hold does
+#: not pass for a mark.
+MIN_ROWS, MIN_SHARE, MIN_RATIO = 4, 0.01, 30.0
+#: A longer form stands for a beginning if it has this share of its toxic rows.
+SAME_ROWS = 0.85
 STEMS = range(3, 8)
 WORD = re.compile(r"[^\W\d_]+")
 #: General insults of the four languages of the corpus (fixed word list).
@@ -178,7 +182,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
     n = known.count()
     if n > limit:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1e6 * limit / n))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    # near copies share their longest sentence, as a rule
+    parts = F.split(F.coalesce("text", F.lit("")), r"[.\n]")
+    longest = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
+    return rows.withColumn("sentence", longest).dropDuplicates(["sentence"]).drop("sentence")
 
 
 def learned_terms(rows: DataFrame) -> list[str]:
@@ -203,17 +211,21 @@ def learned_terms(rows: DataFrame) -> list[str]:
     )
     ratio = (F.col("bad") / F.lit(max(1, bad))) / ((F.col("clean") + 0.5) / F.lit(max(1, clean)))
     top = (
-        counts.filter((F.col("bad") >= MIN_ROWS) & (ratio >= MIN_RATIO))
+        counts.filter((F.col("bad") >= max(MIN_ROWS, MIN_SHARE * bad)) & (ratio >= MIN_RATIO))
         .orderBy(F.desc("bad"), F.length("term"), "term")
         .limit(MAX_TERMS * 4)
         .collect()
     )
+    rows_of = {term: n for term, _, n in top}
     chosen: list[str] = []
     for term, _, n in top:
-        # a longer beginning or word says no more than a chosen shorter one
-        if not any(c[-1] == "*" and term.rstrip("*").startswith(c[:-1]) for c in chosen):
+        # a longer form that has nearly the same rows says the same, more sharply
+        if term[-1] == "*":
+            longer = [t for t, k in rows_of.items() if t.startswith(term[:-1]) and k >= SAME_ROWS * n]
+            term = max(longer, key=lambda t: (len(t.rstrip("*")), t))
+        stems = [c[:-1] for c in chosen if c[-1] == "*"]
+        if term not in chosen and not any(term.rstrip("*").startswith(c) for c in stems):
             chosen.append(term)
-        del n
     return chosen[:MAX_TERMS]
 
 
