@@ -12,7 +12,7 @@ from folioscan.operators import chunks as K
 from folioscan.operators import entries as E
 from folioscan.operators import sections as S
 from folioscan.operators import terms as R
-from folioscan.sources import store
+from folioscan.sources import markup, store
 
 from . import tables as D
 from .tables import CANONICAL_SQL, SPANS_SQL
@@ -150,6 +150,12 @@ def ext2_merged_spans(spark, sf):
     return B.merge_spans(D.styled_spans(docs(spark, sf)))
 
 
+@query("ext1_page_spans", None)
+def ext1_page_spans(spark, sf):
+    pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("file"), "html")
+    return markup.spans(pages, "html", "page")
+
+
 # --- entries ------------------------------------------------------------------
 
 
