@@ -40,9 +40,9 @@ from .common import drop_scratch, materialize, scratch_path
 
 MIN_LENGTH = 50
 GRAM = 16
-#: Bytes of text per chunk and per bucket; sub-batches bound the arrays.
+#: Bytes of text per chunk and per bucket; sub-batches keep the arrays small.
 CHUNK_BYTES = 8_000_000
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 200_000
 #: Spark's own limit on the buckets of a table.
 MAX_BUCKETS = 100_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -289,32 +289,35 @@ def _by(buckets: np.ndarray, which: np.ndarray, run: np.ndarray):
 # --- step 4: interval expansion on the Burrows-Wheeler transform -------------
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling from the first 7 symbols (below 512) on.  The last
-    symbol must be the smallest and stand once."""
+def suffix_array(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes in the order of at least their first `length` symbols (below
+    512), by prefix doubling from the first 7 on.  Suffixes that are equal so far
+    stay in any order: nothing below divides them."""
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, dtype=np.int64)])
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(7):
-        key = (key << 9) | padded[j : j + n]
+    key = padded[:n].copy()
+    for j in range(1, 7):
+        key <<= 9
+        key |= padded[j : j + n]
     order = np.argsort(key)
     place = np.arange(n)
     new = np.ones(n, dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    sorted_key = key[order]
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
     h = 7
-    while not new.all():
+    while h < length and not new.all():
         tied = ~new
         tied[:-1] |= tied[1:]
         slots = np.flatnonzero(tied)
         rows = order[slots]
-        main, then = rank[rows], rank[np.minimum(rows + h, n - 1)]
-        o = np.lexsort((then, main))
-        rows, main, then = rows[o], main[o], then[o]
+        both = rank[rows] * n + rank[np.minimum(rows + h, n - 1)]
+        o = np.argsort(both)
+        rows, both = rows[o], both[o]
         order[slots] = rows
         fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (main[1:] != main[:-1]) | (then[1:] != then[:-1])
+        fresh[1:] = both[1:] != both[:-1]
         new[slots] = fresh
         rank[rows] = np.maximum.accumulate(np.where(fresh, slots, 0))
         h *= 2
@@ -323,28 +326,44 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 def interval_expansion(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, and for each of its rows the number of the interval of rows
-    that share a prefix of at least `length` symbols."""
-    rows = suffix_array(symbols)
+    that share a prefix of at least `length` symbols.
+
+    Level v sets the boundaries of value v.  Rows alone in their interval that no
+    open boundary comes from leave the arrays every few levels, so the work
+    follows what is still shared."""
+    rows = suffix_array(symbols, length)
     bwt = symbols[rows - 1]
     n = len(rows)
     # place t of the first column comes from row back[t]: the LF mapping
     back = np.argsort(bwt, kind="stable")
-    left, right = back[:-1], back[1:]
-    edge = np.ones(n, dtype=bool)
-    edge[1:] = bwt[left] != bwt[right]  # value 0: the first symbols differ
-    open_ = np.flatnonzero(~edge)
-    for _ in range(length - 1):
+    divided = np.ones(n, dtype=bool)
+    divided[1:] = bwt[back[1:]] != bwt[back[:-1]]  # value 0: the first symbols differ
+    open_ = np.flatnonzero(~divided)
+    left, right = back[open_ - 1], back[open_]
+    edge, at = divided.copy(), np.arange(n)
+    for level in range(length - 1):
         if not len(open_):
             break
-        seen = np.cumsum(edge)
+        seen = np.cumsum(edge, dtype=np.int32)
         # extending backward: rows t-1 and t are divided one symbol later than
         # the rows they come from
-        now = seen[right[open_ - 1]] > seen[left[open_ - 1]]
+        now = seen[right] > seen[left]
         if not now.any():
             break
         edge[open_[now]] = True
-        open_ = open_[~now]
-    return rows, np.cumsum(edge) - 1
+        rest = ~now
+        open_, left, right = open_[rest], left[rest], right[rest]
+        if level % 4 == 3:
+            alone = edge.copy()
+            alone[:-1] &= edge[1:]
+            divided[at] = edge
+            keep = ~alone
+            keep[left] = keep[right] = True  # an open boundary still asks for them
+            place = np.cumsum(keep, dtype=np.int64) - 1
+            open_, left, right = place[open_], place[left], place[right]
+            edge, at = edge[keep], at[keep]
+    divided[at] = edge
+    return rows, np.cumsum(divided) - 1
 
 
 def window_minima(sizes: np.ndarray, flat: np.ndarray, doc: np.ndarray, length: int = MIN_LENGTH):
