@@ -15,7 +15,6 @@ end; repeated rows repeat; extra columns stay as they are.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -238,40 +237,54 @@ def block_score(b: Block, has_article: bool) -> float:
 def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """True on the content side of the minimum cut.  Terminal capacities are the
     scores (their sign says which terminal); ties are undirected edges.  Flow is
-    pushed along shortest ways from content to boilerplate."""
+    pushed in rounds: each levels the blocks by their distance from those with
+    flow to spare and fills every shortest way, so long pages take few rounds."""
     n = len(scores)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for u, v, w in ties:
         near[u][v] = near[u].get(v, 0.0) + w
         near[v][u] = near[v].get(u, 0.0) + w
+    ends = [list(d) for d in near]
     spare = [max(0.0, s) for s in scores]
     room = [max(0.0, -s) for s in scores]
     eps = 1e-9
     while True:
-        came = {u: -1 for u in range(n) if spare[u] > eps}
-        todo = deque(came)
-        goal = -1
-        while todo:
-            u = todo.popleft()
-            if room[u] > eps:
-                goal = u
-                break
+        level = [0 if x > eps else -1 for x in spare]
+        sources = [u for u in range(n) if level[u] == 0]
+        todo, open_end = list(sources), False
+        for u in todo:
+            open_end = open_end or room[u] > eps
             for v, w in near[u].items():
-                if w > eps and v not in came:
-                    came[v] = u
+                if w > eps and level[v] < 0:
+                    level[v] = level[u] + 1
                     todo.append(v)
-        if goal < 0:
-            return [u in came for u in range(n)]
-        way, u = [], goal
-        while came[u] >= 0:
-            way.append((came[u], u))
-            u = came[u]
-        push = min([spare[u], room[goal], *[near[a][b] for a, b in way]])
-        spare[u] -= push
-        room[goal] -= push
-        for a, b in way:
-            near[a][b] -= push
-            near[b][a] += push
+        if not open_end:
+            return [x >= 0 for x in level]
+        arc = [0] * n
+        for source in sources:
+            way = [source]
+            while spare[source] > eps:
+                u = way[-1]
+                if room[u] > eps:
+                    steps = list(zip(way, way[1:], strict=False))
+                    push = min([spare[source], room[u], *[near[a][b] for a, b in steps]])
+                    spare[source] -= push
+                    room[u] -= push
+                    for a, b in steps:
+                        near[a][b] -= push
+                        near[b][a] += push
+                    way = [source]
+                elif arc[u] < len(ends[u]):
+                    v = ends[u][arc[u]]
+                    if level[v] == level[u] + 1 and near[u][v] > eps:
+                        way.append(v)
+                    else:
+                        arc[u] += 1
+                elif len(way) > 1:
+                    way.pop()
+                    arc[way[-1]] += 1
+                else:
+                    break
 
 
 def _shared(a: tuple, b: tuple) -> int:
