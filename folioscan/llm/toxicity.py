@@ -186,7 +186,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
     # near copies share their longest sentence, as a rule
     parts = F.split(F.coalesce("text", F.lit("")), r"[.\n]")
     longest = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h"))))
-    return rows.withColumn("sentence", longest).dropDuplicates(["sentence"]).drop("sentence")
+    one = F.min(F.struct("text", "toxic")).alias("row")
+    return rows.groupBy(longest.alias("sentence")).agg(one).select("row.*")
 
 
 def learned_terms(rows: DataFrame) -> list[str]:
