@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialize
 
 WINDOW = 10
 #: Largest benchmark that is sent to the executors whole, in characters.  A
-#: larger one is scanned for in parts of this size, one pass each.
-PART_CHARS = 20_000_000
+#: larger one is scanned for in parts of this size, one pass over the documents
+#: each, so that a worker holds one automaton of bounded size at a time.
+PART_CHARS = 4_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -87,13 +88,15 @@ def scan(text: str | None, machine, number: dict[bytes, int], to_text: bool = Tr
     return len(w), hit, sorted(items), spans
 
 
-def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    chars = benchmark.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    n = max(1, -(-chars // limit))
+def n_parts(benchmark: DataFrame, limit: int) -> int:
+    chars = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0] or 0
+    return max(1, -(-chars // limit))
+
+
+def _part(benchmark: DataFrame, k: int, n: int) -> list[tuple[str, str | None]]:
     rows = benchmark.select(F.col("item_id").cast("string"), "text")
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == k) if n > 1 else rows
-        yield [(str(i), t) for i, t in part.toLocalIterator()]
+    part = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == k) if n > 1 else rows
+    return [(str(i), t) for i, t in part.toLocalIterator()]
 
 
 def _searcher(sent):
@@ -114,24 +117,23 @@ def _searcher(sent):
     return look.asNondeterministic()
 
 
-def _join_parts(text: pd.Series, *parts: pd.DataFrame) -> pd.DataFrame:
+def _merge(texts: pd.Series, items: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """The result of all parts: hit words are those inside any span."""
     rows = []
-    for i, t in enumerate(text):
-        spans = sorted((s["start"], s["end"]) for p in parts for s in p["spans"].iloc[i])
-        at = [m.span() for m in WORD.finditer(t.translate(_LOWER))] if spans else []
+    for text, names, runs in zip(texts, items, spans, strict=True):
         merged: list[list[int]] = []
-        for a, b in spans:
+        for a, b in sorted((s["start"], s["end"]) for s in runs) if runs is not None else ():
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
         hit, k = 0, 0
-        for x, y in at:
+        for x, y in [m.span() for m in WORD.finditer(text.translate(_LOWER))] if merged else ():
             while k < len(merged) and merged[k][1] < y:
                 k += 1
             hit += k < len(merged) and merged[k][0] <= x
-        items = sorted({x for p in parts for x in p["items"].iloc[i]})
-        rows.append((parts[0]["n_words"].iloc[i], hit, items, [{"start": a, "end": b} for a, b in merged]))
+        found = sorted(set(names)) if names is not None else []
+        rows.append((len(words(text)), hit, found, [{"start": a, "end": b} for a, b in merged]))
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
 
@@ -141,11 +143,25 @@ def find_contamination(
     """docs with a struct column `contamination`: n_words, n_hit, items (sorted
     ids of items of which a window occurs) and spans (hit runs as offsets in the
     original text, in code points, end exclusive)."""
-    out, found = docs, []
-    for part in _parts(benchmark, part_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(_windows(part, window))
-        found.append(fresh(out, "found"))
-        out = out.withColumn(found[-1], _searcher(sent)("text"))
-    if len(found) == 1:
-        return out.withColumnRenamed(found[0], "contamination")
-    return out.withColumn("contamination", F.pandas_udf(_join_parts, RESULT)("text", *found)).drop(*found)
+    n = n_parts(benchmark, part_chars)
+    send = docs.sparkSession.sparkContext.broadcast
+    if n == 1:
+        return docs.withColumn("contamination", _searcher(send(_windows(_part(benchmark, 0, 1), window)))("text"))
+    # one automaton in memory at a time: each part scans by itself and keeps hit rows only
+    row = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+    hits = None
+    for k in range(n):
+        sent = send(_windows(_part(benchmark, k, n), window))
+        got = numbered.select(row, _searcher(sent)("text").alias("got")).filter("got.n_hit > 0")
+        part = materialize(got.select(row, "got.items", "got.spans"), "decontamination-hits")
+        sent.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    by = hits.groupBy(row).agg(
+        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
+    )
+    both = fresh(numbered, "hits")
+    merged = numbered.join(by.select(row, F.struct("items", "spans").alias(both)), row, "left")
+    return merged.withColumn("contamination", F.pandas_udf(_merge, RESULT)("text", F.col(both)["items"], F.col(both)["spans"])).select(
+        *docs.columns, "contamination"
+    )
