@@ -9,8 +9,9 @@ tested exactly.
 
 Equal vectors of a label are one class.  Labels with more than CELL classes are
 cut into cells around pivots, whose covering radii are counted over all members;
-pairs of cells are pruned by the same bound and each surviving pair is walked in
-a task of its own, so no label is held in one task.
+pairs of cells are pruned by the same bound.  A cell that still has more members
+is dealt to blocks by hash, and each surviving pair of blocks is walked in a task
+of its own, so that no task holds more than about two times CELL vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and vectors without label, link with nothing and keep their own id;
@@ -71,7 +72,7 @@ class Tree:
                 near = (gap * gap).sum(axis=1) <= half * half
                 kids.append(self._add(c, left[near]))
                 left = left[~near]
-            self.kids[node] = tuple(kids)
+            self.kids[node] = np.array(kids)
             self.rows[node] = members[:0]
             todo.extend(kids)
 
@@ -84,31 +85,30 @@ def close_pairs(a: Tree, b: Tree, same: bool, reach: float, cosine: float):
     ra, rb = np.array(a.radius), np.array(b.radius)
     ca, cb = a.x[a.centre], b.x[b.centre]
     todo = [(np.array([0]), np.array([0]))]
-    leaves: list[tuple[int, int]] = []
     while todo:
         p, q = todo.pop()
         # p and q: kids of one pair of nodes; their distances by one product
         gap = np.sqrt(np.maximum(0, 2 - 2 * (ca[p] @ cb[q].T)))
         near_p, near_q = np.nonzero(gap <= ra[p][:, None] + rb[q][None, :] + reach + 1e-7)
         for u, v in zip(p[near_p].tolist(), q[near_q].tolist(), strict=True):
-            if same and u > v and not (a.kids[u] or b.kids[v]):
-                continue
             ku, kv = a.kids[u], b.kids[v]
-            if not ku and not kv:
-                leaves.append((u, v))
-            elif ku and (not kv or ra[u] >= rb[v]):
-                todo.append((np.array(ku), np.array([v])))
-            else:
-                todo.append((np.array([u]), np.array(kv)))
-    for u, v in leaves:
-        i, j = a.rows[u], b.rows[v]
-        for s in range(0, len(i), BLOCK):
-            at_i, at_j = np.nonzero(a.x[i[s : s + BLOCK]] @ b.x[j].T >= cosine - 1e-9)
-            x, y = i[s + at_i], j[at_j]
-            if same and u == v:
-                x, y = x[x < y], y[x < y]
-            if len(x):
-                yield x, y
+            if len(ku) and (not len(kv) or ra[u] >= rb[v]):
+                todo.append((ku, np.array([v])))
+            elif len(kv):
+                todo.append((np.array([u]), kv))
+            elif not same or u <= v:
+                yield from _leaf_pairs(a, b, u, v, same, cosine)
+
+
+def _leaf_pairs(a: Tree, b: Tree, u: int, v: int, same: bool, cosine: float):
+    i, j = a.rows[u], b.rows[v]
+    for s in range(0, len(i), BLOCK):
+        at_i, at_j = np.nonzero(a.x[i[s : s + BLOCK]] @ b.x[j].T >= cosine - 1e-9)
+        x, y = i[s + at_i], j[at_j]
+        if same and u == v:
+            x, y = x[x < y], y[x < y]
+        if len(x):
+            yield x, y
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,12 +119,12 @@ def _walk(threshold: float):
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One pair of cells: links per class, and edges that span what it found."""
+        """One pair of blocks: links per class, and edges that span what it found."""
         side = pdf["side"].to_numpy()
         raw = np.stack(pdf["embedding"].to_numpy()).astype(float)
         raw /= np.abs(raw).max(axis=1, keepdims=True)
         unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        same = bool((pdf["i"] == pdf["j"]).iloc[0])
+        same = bool(((pdf["i"] == pdf["j"]) & (pdf["a"] == pdf["b"])).iloc[0])
         ids, n = pdf["cid"].to_numpy(), pdf["n"].to_numpy()
         at_a = np.flatnonzero(side == 0)
         at_b = at_a if same else np.flatnonzero(side == 1)
@@ -230,6 +230,31 @@ def _cells(classes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
     return placed.drop("gap"), pairs
 
 
+def _blocks(placed: DataFrame, pairs: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """placed with a column `block` (of its cell), and the pairs of blocks to
+    walk, with columns a and b for the blocks of the cells i and j."""
+    key = ["label", "dim", "cell"]
+    large = materialize(
+        placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / cell).alias("blocks")).filter("blocks > 1"), "large-cells"
+    )
+    if large.isEmpty():
+        return placed.withColumn("block", F.lit(0)), pairs.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    if large.count() <= ALL_PIVOTS:
+        large = F.broadcast(large)
+
+    def known(df: DataFrame, column: str, name: str) -> DataFrame:
+        by = large.withColumnRenamed("cell", column).withColumnRenamed("blocks", name)
+        return df.join(by, ["label", "dim", column], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    block = F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("blocks")).cast("int")
+    split = (
+        known(known(pairs, "i", "na"), "j", "nb")
+        .withColumn("a", F.explode(F.expr("sequence(0, cast(na as int) - 1)")))
+        .withColumn("b", F.explode(F.expr("sequence(if(i = j, a, 0), cast(nb as int) - 1)")))
+    )
+    return known(placed, "cell", "blocks").withColumn("block", block).drop("blocks"), split.drop("na", "nb")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
     """vectors: vec_id, embedding (array of double), label.  One row per vector:
     vec_id, n_links, component_id, kept."""
@@ -255,13 +280,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         "vector-classes",
     )
     placed, pairs = _cells(classes.select("cid", "label", "dim", "embedding", "n"), cell)
-    pairs = materialize(pairs, "cell-pairs")
-    keys = ["label", "dim"]
-    left = placed.join(pairs.withColumn("cell", F.col("i")), [*keys, "cell"]).withColumn("side", F.lit(0))
-    right = placed.join(pairs.filter("i <> j").withColumn("cell", F.col("j")), [*keys, "cell"]).withColumn("side", F.lit(1))
+    placed, pairs = _blocks(placed, materialize(pairs, "cell-pairs"), cell)
+    keys, at = ["label", "dim"], ["label", "dim", "cell", "block"]
+    left = placed.join(pairs.selectExpr("*", "i as cell", "a as block"), at).withColumn("side", F.lit(0))
+    other = pairs.filter("i <> j or a <> b").selectExpr("*", "j as cell", "b as block")
+    right = placed.join(other, at).withColumn("side", F.lit(1))
     found = materialize(
         left.unionByName(right)
-        .groupBy(*keys, "i", "j")
+        .groupBy(*keys, "i", "j", "a", "b")
         .applyInPandas(_walk(threshold), "cid bigint, links bigint, other bigint"),
         "vector-links",
     )

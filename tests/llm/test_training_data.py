@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -273,7 +274,7 @@ def test_toxicity(spark, none):
     assert toxicity.score(none.drop("score"), model).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 8))
     rows = []
@@ -294,7 +295,8 @@ def test_embeddings(spark):
     linked = {(a[0], b[0]) for a in fine for b in fine if a[0] != b[0] and a[2] == b[2] and cosine(a[1], b[1]) >= 0.93}
     root = brute_roots([r[0] for r in rows], lambda a, b: (a, b) in linked)
     want = sorted((r[0], sum((r[0], o[0]) in linked for o in rows), root[r[0]], root[r[0]] == r[0]) for r in rows)
-    for cell in (8192, 20):
+    for cell, pivots in ((8192, 512), (20, 512), (6, 2)):
+        monkeypatch.setattr(embedding_dedup, "MAX_PIVOTS", pivots)
         got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(table, cell=cell).collect())
         assert got == want
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
@@ -345,6 +347,13 @@ def test_html(spark):
     assert [r.text for r in got][:3] == [want, "", ""] and len(got[4].text) == 250_000 - 1
 
 
+def test_long_page():
+    lines = "".join(f"<p>{'A longer line of some text here. ' * 8}{i}</p>" if i % 3 == 0 else f"<div><a href=x>menu {i}</a></div>" for i in range(40_000))
+    began = time.process_time()
+    text = html_extract.main_text(f"<html><body>{lines}</body></html>")
+    assert text.count("\n") >= 13_000 and time.process_time() - began < 30
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
