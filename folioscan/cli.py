@@ -1,4 +1,4 @@
-"""Command line: ingest, chunk, index, retrieve, answer, evaluate."""
+"""Command line: fetch, ingest, chunk, preview, index, retrieve, answer, evaluate."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.config import BoundaryConfig, ChunkConfig, Constraints, TermAssets
-from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, normalize, retrieve, sections
+from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, normalize, panels, retrieve, sections
 from folioscan.sources import markup, scan
 
 
+def fetch(spark, args) -> None:
+    with open(args.manifest, encoding="utf-8") as f:
+        print(json.dumps(scan.fetch(json.load(f), args.root, dry_run=args.dry_run, force=args.force), indent=2, default=str))
+
+
 def ingest(spark, args) -> None:
     files = scan.read_rich_text(spark, args.root, args.limit)
     made = blocks.build_blocks(markup.spans(files))
@@ -35,6 +40,10 @@ def chunk(spark, args) -> None:
     chunks.build_chunks(docs, ChunkConfig()).write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
 
 
+def preview(spark, args) -> None:
+    print(panels.preview(spark.read.parquet(args.chunks)))
+
+
 def build(spark, args) -> None:
     print(index.publish_index(index.build_index(spark.read.parquet(args.chunks)), args.output))
 
@@ -59,7 +68,12 @@ def show(spark, args) -> None:
     else:
         items = evidence.evidence(found)
         decided = answer.support(queries, items)
-        out = answer.to_json(answer.answers(queries, decided, answer.compose(items, decided)))
+        segments = answer.compose(items, decided)
+        out = answer.to_json(answer.answers(queries, decided, segments))
+        if args.debug:
+            for table in (panels.candidate_rows(items).orderBy("rank"), answer.slot_decisions(items, decided), panels.segment_rows(segments), panels.citation_rows(segments)):
+                for line in table.toJSON().collect():
+                    print(line)
     for line in out.toJSON().collect():
         print(line)
 
@@ -103,18 +117,21 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=run)
         return c
 
+    command("fetch", fetch, "manifest", "root", dry_run=False, force=False)
     command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", force=False).add_argument("--limit", type=int)
     command("chunk", chunk, "documents", "output", force=False)
+    command("preview", preview, "chunks")
     command("index", build, "chunks", "output")
     command("retrieve", show, "query", "index", top_k=10, terms=None, registry=None)
-    command("answer", show, "query", "index", top_k=10, terms=None, registry=None)
+    command("answer", show, "query", "index", top_k=10, terms=None, registry=None, debug=False)
     command("evaluate", run_evaluation, "gold", "index", top_k=10, terms=None, registry=None, edition="")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    args.run(SparkSession.builder.appName("folioscan").getOrCreate(), args)
+    # fetching is a matter of the driver's disk alone
+    args.run(None if args.command == "fetch" else SparkSession.builder.appName("folioscan").getOrCreate(), args)
     return 0
 
 

@@ -12,6 +12,7 @@ from folioscan.operators import evaluate as V
 from folioscan.operators import evidence as E
 from folioscan.operators import index as I
 from folioscan.operators import normalize as N
+from folioscan.operators import panels as P
 from folioscan.operators import retrieve as R
 from folioscan.sources import store
 
@@ -525,19 +526,46 @@ def evl7_report(spark, sf):
     return V.report(outcomes(spark, sf))
 
 
-# --- extension: near-duplicate collapse of candidates -----------------------------
+# --- panels ---------------------------------------------------------------------
 
 
 @query(
-    "near_duplicate_collapse",
-    f"""WITH {RETRIEVE_SQL}, keyed AS (SELECT query_id, rank, chunk_id, md5(trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) AS h FROM candidates)
-    SELECT query_id, min(rank) AS rank, min_by(chunk_id, rank) AS chunk_id, count(*) AS n_copies FROM keyed GROUP BY query_id, h""",
+    "snk15_candidate_rows",
+    f"""WITH {EVIDENCE_SQL}, told AS (
+      SELECT e.query_id, e.rank, e.chunk_id, e.document_id, e.section_root, e.chunk_type, array_to_string(list_filter([
+        CASE WHEN len(e.exact_phrase_hits) > 0 THEN 'exact=[''' || array_to_string(e.exact_phrase_hits, ''', ''') || ''']' END,
+        CASE WHEN len(e.protected_phrase_hits) > 0 THEN 'protected=[''' || array_to_string(e.protected_phrase_hits, ''', ''') || ''']' END,
+        CASE WHEN e.section_path_hit THEN 'section_path_hit' END,
+        CASE WHEN c.token_overlap_count > 0 THEN 'token_overlap=' || c.token_overlap_count END], lambda t: t IS NOT NULL), '; ') AS said
+      FROM evidence e JOIN candidates c ON c.query_id = e.query_id AND c.rank = e.rank)
+    SELECT query_id, rank, chunk_id, document_id, section_root, chunk_type, CASE WHEN said = '' THEN '(none)' ELSE said END AS match_signals FROM told""",
 )
-def near_duplicate_collapse(spark, sf):
-    h = F.md5(F.trim(T.squeeze(F.lower("content"))).cast("binary"))
-    return (
-        candidates(spark, sf)
-        .groupBy("query_id", h.alias("h"))
-        .agg(F.min("rank").alias("rank"), F.min_by("chunk_id", "rank").alias("chunk_id"), F.count(F.lit(1)).alias("n_copies"))
-        .drop("h")
+def snk15_candidate_rows(spark, sf):
+    return P.candidate_rows(evidence(spark, sf))
+
+
+@query("snk15_segment_rows", f"WITH {ANSWER_SQL} SELECT query_id, segment_id, support_type, '[' || citation_id || ']' AS citations, text FROM cited")
+def snk15_segment_rows(spark, sf):
+    return P.segment_rows(answered(spark, sf)[3])
+
+
+@query(
+    "snk15_citation_rows",
+    f"WITH {ANSWER_SQL} SELECT DISTINCT query_id, citation_id, chunk_id, source_id, array_to_string(section_path, ' > ') AS locator, text AS excerpt FROM cited",
+)
+def snk15_citation_rows(spark, sf):
+    return P.citation_rows(answered(spark, sf)[3])
+
+
+@query(
+    "snk15_history",
+    """SELECT session, ran_at, query, entry_no FROM (
+      SELECT user_id AS session, event_id AS ran_at, event_type AS query, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS entry_no FROM events)
+    WHERE entry_no <= 20""",
+)
+def snk15_history(spark, sf):
+    """The events of a user stand in for what a session asked."""
+    asked = D.table(spark, sf, "events").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("ran_at"), F.col("event_type").alias("query")
     )
+    return P.history(asked)

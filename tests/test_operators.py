@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscan.config import ChunkConfig, Constraints, EntryType, TermAssets
 from folioscan.functions import text as T
-from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, normalize, retrieve, sections
+from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, normalize, panels, retrieve, sections
 
 SPAN = "file string, span_no int, text string, font_size int, bold boolean"
 BLOCK = (
@@ -173,3 +173,26 @@ def test_eval_matching(spark):
     assert not value(spark, evaluate.section_matches(path, F.lit("magic")))
     head = lambda *p: value(spark, evaluate.expected_head(F.array(*map(F.lit, p))))
     assert head("Feats.rtf", "Power Attack") == "power attack" and head("Two Words") == "two words"
+
+
+def test_panels(spark):
+    none = "cast(array() as array<string>)"
+    row = spark.sql(f"select array('a b', 'c') as exact_phrase_hits, {none} as protected_phrase_hits, true as section_path_hit, 2L as token_overlap_count")
+    assert row.select(panels.signal_text()).first()[0] == "exact=['a b', 'c']; section_path_hit; token_overlap=2"
+    bare = spark.sql(f"select {none} as exact_phrase_hits, {none} as protected_phrase_hits, false as section_path_hit, 0L as token_overlap_count")
+    assert bare.select(panels.signal_text()).first()[0] == "(none)"
+
+
+def test_history(spark):
+    asked = spark.createDataFrame([(s, t, f"q{t}") for s in (1, 2) for t in range(30 if s == 1 else 3)], "session int, ran_at int, query string")
+    got = panels.history(asked).collect()
+    assert sorted(r.ran_at for r in got if r.session == 1) == list(range(10, 30)) and sum(r.session == 2 for r in got) == 3
+    assert all(r.entry_no == 1 for r in got if r.ran_at == 29)
+
+
+def test_preview(spark):
+    schema = "chunk_id string, chunk_type string, section_path array<string>, previous_chunk_id string, next_chunk_id string, content string"
+    made = spark.createDataFrame([("c1", "generic", ["a", "b"], None, "c2", "1\n2\n3\n4\n5"), ("c2", "generic", None, "c1", None, None)], schema)
+    text = panels.preview(made)
+    assert "| `generic` | 2 |" in text and "- path: a > b" in text and "4\n...\n" in text and "5" not in text
+    assert panels.preview(made.limit(0)) == "No chunks.\n"
