@@ -4,8 +4,9 @@ Vectors of one label are compared by cosine in double precision.  On unit
 vectors a cosine of c is a distance of sqrt(2 - 2c), so a cover tree (nested
 levels of nodes with halving radii) holds them, and two trees are walked
 together: a pair of nodes is dropped when their centres are farther apart than
-both covering radii and the threshold distance.  What is left at the bottom is
-tested exactly.
+both covering radii and the threshold distance, and counted whole when even
+their farthest members are nearer than that, so that a large group of near
+copies is not walked pair by pair.  What is left at the bottom is tested exactly.
 
 Equal vectors of a label are one class.  Labels with more than CELL classes are
 cut into cells around pivots, whose covering radii are counted over all members;
@@ -40,7 +41,7 @@ BLOCK = 1_024
 
 class Tree:
     """Nodes in arrays: centre (row of the vectors), radius (exact covering
-    radius), children as ranges of the node list, members of leaves."""
+    radius), children in the node list, rows (all members)."""
 
     def __init__(self, x: np.ndarray, leaf_radius: float):
         self.x = x
@@ -73,13 +74,13 @@ class Tree:
                 kids.append(self._add(c, left[near]))
                 left = left[~near]
             self.kids[node] = np.array(kids)
-            self.rows[node] = members[:0]
             todo.extend(kids)
 
 
-def close_pairs(a: Tree, b: Tree, same: bool, reach: float, cosine: float):
-    """Yields (i, j) arrays of all row pairs with at least that cosine; if same,
-    i < j."""
+def close_pairs(a: Tree, b: Tree, reach: float, cosine: float):
+    """Yields (i, j, whole) that together hold every close pair of a row of a and
+    one of b once.  If whole, all of i are close to all of j; else i and j are
+    pairs that may be close (to within rounding) and have to be tested."""
     if not a.centre or not b.centre:
         return
     ra, rb = np.array(a.radius), np.array(b.radius)
@@ -89,26 +90,24 @@ def close_pairs(a: Tree, b: Tree, same: bool, reach: float, cosine: float):
         p, q = todo.pop()
         # p and q: kids of one pair of nodes; their distances by one product
         gap = np.sqrt(np.maximum(0, 2 - 2 * (ca[p] @ cb[q].T)))
-        near_p, near_q = np.nonzero(gap <= ra[p][:, None] + rb[q][None, :] + reach + 1e-7)
-        for u, v in zip(p[near_p].tolist(), q[near_q].tolist(), strict=True):
+        radii = ra[p][:, None] + rb[q][None, :]
+        near = gap <= radii + reach + 1e-7
+        whole = gap + radii <= reach - 1e-7
+        at_p, at_q = np.nonzero(near)
+        for u, v, every in zip(p[at_p].tolist(), q[at_q].tolist(), whole[at_p, at_q].tolist(), strict=True):
             ku, kv = a.kids[u], b.kids[v]
-            if len(ku) and (not len(kv) or ra[u] >= rb[v]):
+            if every:
+                yield a.rows[u], b.rows[v], True
+            elif len(ku) and (not len(kv) or ra[u] >= rb[v]):
                 todo.append((ku, np.array([v])))
             elif len(kv):
                 todo.append((np.array([u]), kv))
-            elif not same or u <= v:
-                yield from _leaf_pairs(a, b, u, v, same, cosine)
-
-
-def _leaf_pairs(a: Tree, b: Tree, u: int, v: int, same: bool, cosine: float):
-    i, j = a.rows[u], b.rows[v]
-    for s in range(0, len(i), BLOCK):
-        at_i, at_j = np.nonzero(a.x[i[s : s + BLOCK]] @ b.x[j].T >= cosine - 1e-9)
-        x, y = i[s + at_i], j[at_j]
-        if same and u == v:
-            x, y = x[x < y], y[x < y]
-        if len(x):
-            yield x, y
+            else:
+                i, j = a.rows[u], b.rows[v]
+                for s in range(0, len(i), BLOCK):
+                    at_i, at_j = np.nonzero(a.x[i[s : s + BLOCK]] @ b.x[j].T >= cosine - 1e-9)
+                    if len(at_i):
+                        yield i[s + at_i], j[at_j], False
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,17 +139,36 @@ def _walk(threshold: float):
             return k
 
         edges = []
-        for x, y in close_pairs(a, b, same, reach, threshold):
-            x, y = at_a[x], at_b[y]
-            ok = cosines(raw[x], raw[y]) >= threshold
-            x, y = x[ok], y[ok]
-            np.add.at(links, x, n[y])
-            np.add.at(links, y, n[x])
+
+        def join(x: np.ndarray, y: np.ndarray) -> None:
             for u, v in zip(x.tolist(), y.tolist(), strict=True):
                 s, t = find(u), find(v)
                 if s != t:
                     root[s] = t
                     edges.append((ids[u], 0, ids[v]))
+
+        # a tree walked with itself meets each pair in both orders: count the left side
+        for x, y, whole in close_pairs(a, b, reach, threshold):
+            x, y = at_a[x], at_b[y]
+            if whole:
+                links[x] += n[y].sum()
+                if same:
+                    own = np.intersect1d(x, y, assume_unique=True)
+                    links[own] -= n[own]
+                else:
+                    links[y] += n[x].sum()
+                join(x, np.full(len(x), y[0]))
+                join(np.full(len(y), x[0]), y)
+                continue
+            ok = cosines(raw[x], raw[y]) >= threshold
+            if same:
+                ok &= x != y
+            x, y = x[ok], y[ok]
+            np.add.at(links, x, n[y])
+            if not same:
+                np.add.at(links, y, n[x])
+            apart = root[x] != root[y]
+            join(x[apart], y[apart])
         got = np.flatnonzero(links)
         return pd.DataFrame(
             [(ids[k], int(links[k]), None) for k in got] + edges, columns=["cid", "links", "other"]
