@@ -33,7 +33,8 @@ from .graph import connected_components
 THRESHOLD = 0.93
 #: Most classes of a cell (about), most pivots of a label and of all labels.
 CELL, MAX_PIVOTS, ALL_PIVOTS = 8_192, 512, 20_000
-BLOCK = 1_024
+#: Rows of one product of vectors, at the leaves and above.
+BLOCK, CANDIDATES = 1_024, 128
 
 
 # --- the tree ---------------------------------------------------------------
@@ -65,14 +66,19 @@ class Tree:
             members, radius = self.rows[node], self.radius[node]
             if radius <= self.leaf_radius or len(members) <= 8:
                 continue
-            half, kids = radius / 2, []
-            left = members
-            while len(left):  # greedy cover by balls of half the radius
-                c = int(left[0])
-                gap = self.x[left] - self.x[c]
-                near = (gap * gap).sum(axis=1) <= half * half
-                kids.append(self._add(c, left[near]))
-                left = left[~near]
+            # greedy cover by balls of half the radius; the distances from the
+            # next candidates come from one product
+            least, kids, left = 1 - radius * radius / 8, [], members
+            while len(left):
+                near = self.x[left] @ self.x[left[:CANDIDATES]].T >= least
+                free = np.ones(len(left), dtype=bool)
+                for k in range(near.shape[1]):
+                    if free[k]:
+                        near[k, k] = True
+                        mine = near[:, k] & free
+                        kids.append(self._add(int(left[k]), left[mine]))
+                        free &= ~mine
+                left = left[free]
             self.kids[node] = np.array(kids)
             todo.extend(kids)
 
@@ -98,10 +104,12 @@ def close_pairs(a: Tree, b: Tree, reach: float, cosine: float):
             ku, kv = a.kids[u], b.kids[v]
             if every:
                 yield a.rows[u], b.rows[v], True
-            elif len(ku) and (not len(kv) or ra[u] >= rb[v]):
+            elif len(ku) and (not len(kv) or ra[u] > 2 * rb[v]):
                 todo.append((ku, np.array([v])))
-            elif len(kv):
+            elif len(kv) and (not len(ku) or rb[v] > 2 * ra[u]):
                 todo.append((np.array([u]), kv))
+            elif len(ku):
+                todo.extend((ku[s : s + CANDIDATES], kv) for s in range(0, len(ku), CANDIDATES))
             else:
                 i, j = a.rows[u], b.rows[v]
                 for s in range(0, len(i), BLOCK):
