@@ -34,7 +34,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _WIDER = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "cred", "://")
 CONTEXT = re.compile(
     r"""(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing|client)[_-]?(?:key|secret)"""
-    r"""|auth(?:orization)?|bearer|credentials?|[a-z0-9]+[_-](?:password|secret|token|key)))["']?"""
+    r"""|auth(?:orization)?|bearer|credentials?)|"""
+    # names of several parts: each is read once, from its first part
+    r"""(?<![a-z0-9])(?<![a-z0-9][_-])[a-z0-9]++(?:[_-][a-z0-9]++)*+"""
+    r"""(?:(?<=[_-]pass)|(?<=[_-]pwd)|(?<=[_-]passwd)|(?<=[_-]password)|(?<=[_-]secret)|(?<=[_-]token)|(?<=[_-]key)))["']?"""
     r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is\x20+)?)["']?((?:Bearer\x20+|Basic\x20+)?)([^\s"'<>,;]{8,})""",
     re.ASCII,
 )
@@ -127,7 +130,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 b -= 1
             if b - a < 8 or any(x <= a and b <= y for _, x, y in base):
                 continue
-            if _bits(text[a:b]) >= MIN_BITS and re.search(r"\d|[^\w.-]", text[a:b]):
+            if _bits(text[a:b]) >= MIN_BITS:
                 found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

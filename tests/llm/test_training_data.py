@@ -331,6 +331,27 @@ def test_secrets(spark, docs):
     assert out.columns == [*docs.columns, "secrets"] and out.filter("secrets is null").count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Authorization: Bearer {}", "pwd={}", "postgres://u:{}@host/db", "AWS_SECRET_ACCESS_KEY={}", "DJANGO_SECRET_KEY = '{}'",
+        "STRIPE_LIVE_SECRET_KEY: {}", "_x-api-secret={}", "my__token={}", "app-token={}",
+    ],
+)
+def test_secrets_by_cost_alone(text):
+    value = "qzvhxkwrjtgpbmyfdncsulea"
+    full = text.format(value)
+    found = {full[a:b] for _, a, b in secrets.spans_of(full)}
+    assert any(value in x for x in found)
+    assert not any("password" in full[a:b] for full in [text.format("password")] for k, a, b in secrets.spans_of(full) if k == "guess")
+
+
+def test_secrets_long_names():
+    start = time.time()
+    assert not list(secrets.CONTEXT.finditer("a-" * 100_000 + "b " + "a_" * 100_000))
+    assert time.time() - start < 5
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><header><a href="/">Site</a></header><nav><ul><li>Home<li>News</ul></nav>'
