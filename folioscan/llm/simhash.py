@@ -161,17 +161,19 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(marked: DataFrame) -> DataFrame:
-    """marked: doc_id, fp.  (fp, component_id) of every fingerprint."""
+    """marked: doc_id, fp.  (fp, component_id, root) of every fingerprint; root,
+    the component's smallest fingerprint, tells components apart whose ids are
+    equal or null."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = connected_components(links(nodes.select("fp")))
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return (
         linked.join(least, "root")
-        .select("fp", "component_id")
+        .select("fp", "component_id", "root")
         .unionByName(
             nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select(
-                "fp", F.col("least").alias("component_id")
+                "fp", F.col("least").alias("component_id"), F.col("fp").alias("root")
             )
         )
     )
@@ -191,12 +193,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
         "simhash",
     )
     by = marked.join(components(marked), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = by.groupBy("component_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    chosen = by.groupBy("root").agg(
+        F.first("component_id").alias("component_id"), F.min("h").alias("h"), F.count(F.lit(1)).alias("n")
+    )
     chosen = materialize(chosen, "simhash-kept")
-    h, one = fresh(docs, "h"), fresh(docs, "one")
+    h, one, root = fresh(docs, "h"), fresh(docs, "one"), fresh(docs, "root")
     left = docs.withColumn(h, F.xxhash64("doc_id", "text"))
     right = chosen.select(
-        F.col("component_id").alias(fresh(left, "id")), F.col("h").alias(fresh(left, "hash")), F.col("n").alias(one)
+        F.col("component_id").alias(fresh(left, "id")), F.col("h").alias(fresh(left, "hash")),
+        F.col("n").alias(one), F.col("root").alias(root),
     )
     both = left.join(
         right, left["doc_id"].eqNullSafe(right[right.columns[0]]) & (left[h] == right[right.columns[1]])
@@ -205,4 +210,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return both.select(*docs.columns)
     # several rows may have the chosen doc_id: keep one of those with the chosen text
     single, several = both.filter(F.col(one) == 1), both.filter(F.col(one) > 1)
-    return single.unionByName(several.dropDuplicates([h])).select(*docs.columns)
+    return single.unionByName(several.dropDuplicates([root])).select(*docs.columns)

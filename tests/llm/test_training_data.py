@@ -219,6 +219,18 @@ def test_simhash(spark, docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(7)]
+    prints = [brute_simhash(t) for t in texts]
+    assert all((a ^ b).bit_count() > 3 for k, a in enumerate(prints) for b in prints[:k])
+    ids = [None, None, None, 7, 7, 7, 8]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (7, texts[3]), (9, texts[6])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, root string, n int")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(table).collect()]
+    assert sorted(kept, key=str) == sorted(zip(ids, texts, strict=True), key=str)
+
+
 def test_golay_keys_meet():
     rng = np.random.default_rng(2)
     u = rng.integers(0, 2**64, 4000, dtype=np.uint64)
