@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose text is never shown.
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option datalist textarea".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video select option datalist textarea annotation annotation-xml".split())
+#: Elements that may stand in a head; any other ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -99,6 +101,7 @@ class _Reader:
         self.open: list[tuple[str, int, tuple]] = [("", 0, (False,) * 6)]
         self.count = 0
         self.hidden = 0
+        self.head = 0
         self.in_link = 0
         self.blocks: list[Block] = []
         self.now: Block | None = None
@@ -119,6 +122,7 @@ class _Reader:
             if not tag:
                 continue
             tag = tag.lower()
+            self._leave_head(tag)
             if tag in RAW:
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
@@ -130,10 +134,20 @@ class _Reader:
     def _close_to(self, at: int) -> None:
         for tag, _, _ in self.open[at:]:
             self.hidden -= tag in HIDDEN
+            self.head -= tag == "head"
             self.in_link -= tag == "a"
         del self.open[at:]
 
+    def _leave_head(self, tag: str) -> None:
+        """The end tag of a head may be left out."""
+        if self.head and (tag == "body" or (self.open[-1][0] == "head" and tag not in IN_HEAD)):
+            at = next(k for k, (name, _, _) in enumerate(self.open) if name == "head")
+            if all(name != "template" for name, _, _ in self.open[at:]):
+                self._close_to(at)
+
     def start(self, tag: str, raw: str) -> None:
+        if tag == "head" and self.head:
+            return
         if tag == "br":
             if self.now is not None:
                 self.now.parts.append(" ")
@@ -174,6 +188,7 @@ class _Reader:
         self.count += 1
         stack.append((tag, self.count, (chrome, bad, article, main, good, heading)))
         self.hidden += tag in HIDDEN
+        self.head += tag == "head"
         self.in_link += tag == "a"
 
     def end(self, tag: str) -> None:
@@ -189,6 +204,8 @@ class _Reader:
                 return
 
     def text(self, data: str) -> None:
+        if self.head and data.strip():
+            self._leave_head("")
         if self.hidden > 0:
             return
         if "&" in data:

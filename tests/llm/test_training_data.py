@@ -364,6 +364,30 @@ def test_secrets_long_names():
     assert time.time() - start < 5
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head><noscript><p>no</p></noscript><link><body class=x>",
+        "<head><head><style>p{}</style><body>", "<head><noscript><div><body>", "<head><template><p>no</p></template></head><body>",
+    ],
+)
+def test_html_head_without_end(head):
+    article = "<article><h1>Title</h1><p>A first line of the article, which ends here.</p></article>"
+    assert html_extract.main_text(f"<html>{head}{article}") == "Title\nA first line of the article, which ends here."
+
+
+def test_html_head_ended_by_text():
+    assert [b.text for b in html_extract.read_blocks("<head><title>t</title> Plain text.<p>More.")] == ["Plain text.", "More."]
+
+
+def test_html_math():
+    page = (
+        "<article><p>The sum <math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow>"
+        '<annotation encoding="application/x-tex">x + 1</annotation></semantics></math> is positive here.</p></article>'
+    )
+    assert html_extract.main_text(page) == "The sum x+1 is positive here."
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><header><a href="/">Site</a></header><nav><ul><li>Home<li>News</ul></nav>'
