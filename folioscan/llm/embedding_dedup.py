@@ -188,7 +188,7 @@ def _walk(threshold: float):
 # --- cells ------------------------------------------------------------------
 
 
-def _cells(classes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+def _cells(classes: DataFrame, cell: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """classes with a column `cell`, and the pairs of cells to walk."""
     spark = classes.sparkSession
     big = (
@@ -234,7 +234,7 @@ def _cells(classes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
     at = F.pandas_udf(place, "cell int, gap double").asNondeterministic()("label", "dim", "embedding")
     placed = materialize(classes.withColumn("at", at).select(*classes.columns, "at.cell", "at.gap"), "cells")
     balls = placed.groupBy("label", "dim", "cell").agg(F.max("gap").alias("radius"))
-    reach = float(np.sqrt(2 - 2 * THRESHOLD))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         key = (pdf["label"].iloc[0], pdf["dim"].iloc[0])
@@ -305,7 +305,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         .withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    placed, pairs = _cells(classes.select("cid", "label", "dim", "embedding", "n"), cell)
+    placed, pairs = _cells(classes.select("cid", "label", "dim", "embedding", "n"), cell, threshold)
     placed, pairs = _blocks(placed, materialize(pairs, "cell-pairs"), cell)
     keys, at = ["label", "dim"], ["label", "dim", "cell", "block"]
     left = placed.join(pairs.selectExpr("*", "i as cell", "a as block"), at).withColumn("side", F.lit(0))

@@ -314,6 +314,16 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_at_a_lower_threshold(spark):
+    x = np.random.default_rng(11).normal(size=(90, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(enumerate(((unit @ unit.T >= 0.3).sum(axis=1) - 1).tolist()))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for cell in (8192, 4):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, 0.3, cell).collect()}
+        assert got == want
+
+
 def test_chat(spark):
     talk = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a"], 4: ["a", "b", "c"], 5: ["x"], 6: ["x", None], 7: [None], 8: [""], 9: list("abcd") * 200}
     rows = [(c, k, "user" if k % 2 == 0 else "assistant", t) for c, ts in talk.items() for k, t in enumerate(ts)]
