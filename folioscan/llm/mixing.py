@@ -3,9 +3,15 @@
 A low-discrepancy schedule deals slots to the sources: the golden-ratio points
 frac(i * phi) are mapped through the cumulative shares of the sources, the slots
 of a source are ranked, and slot k of a source takes the k-th equal-token block
-of that source's shuffled words, starting over at its end.  Only DataFrame
+of that source's shuffled words, starting over at its end.  The schedule alone
+says what is taken and when: a source gets the slots its points fall to, up to
+its need, and the mix is read in the order of the points.  Only DataFrame
 functions are used.
 
+A share of k slots out of n is an interval of length k / n.  The gaps between the
+first 2n golden-ratio points are below 1.9 / 2n (three-gap theorem), so at least
+k of these points fall into it: 2n points serve every source in full.
+
 Defined results: a null or empty text has size 0 and is taken 0 times; null
 sources form one source, the last; repeated rows are separate rows; an empty
 table gives an empty result; other columns are not looked at.
@@ -24,19 +30,21 @@ from .common import fresh, materialize, running_sum
 WORD = r"[^\x20\x09-\x0D]+"
 #: Frozen constant of the schedule: 1 / golden ratio.
 PHI = 0.6180339887498949
+#: Points per slot (see above).
+POINTS = 2
 
 
 @dataclass(frozen=True)
 class MixConfig:
     """weights repeat over the sources in order; max_repeats is how often a
-    word may be taken; slots is the resolution of the schedule (the block size
-    is total words / slots); seed shuffles; rows_per_chunk bounds what one task
-    orders; broadcast_sources is the most sources whose table is broadcast (one
-    row of five numbers and a name each), beyond it they are joined by shuffle."""
+    word may be taken; block is the number of words of a slot; seed shuffles;
+    rows_per_chunk bounds what one task orders; broadcast_sources is the most
+    sources whose table is broadcast (one row of five numbers and a name each),
+    beyond it they are joined by shuffle."""
 
     weights: tuple[int, ...] = (1, 2, 3)
     max_repeats: int = 3
-    slots: int = 65_536
+    block: int = 4_096
     seed: int = 20_231
     rows_per_chunk: int = 200_000
     broadcast_sources: int = 20_000
@@ -100,13 +108,11 @@ def quotas(targets: DataFrame, block: int) -> DataFrame:
     )
 
 
-def schedule(plan: DataFrame, n_slots: int, block: int, config: MixConfig) -> DataFrame:
+def schedule(plan: DataFrame, n_slots: int, config: MixConfig) -> DataFrame:
     """The mix: one row per slot with position, sid, rank, block and words (how
     many words of the block it takes; only a source's last slot takes fewer).
-
-    The points give a source its share of slots to within a few; slots beyond
-    its need are left out and missing ones follow at the end."""
-    spark = plan.sparkSession
+    Points beyond a source's need are passed over."""
+    spark, block = plan.sparkSession, config.block
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("need").over(Window.partitionBy())
     spans = (
@@ -132,70 +138,47 @@ def schedule(plan: DataFrame, n_slots: int, block: int, config: MixConfig) -> Da
     )
     turn = F.col("id") * F.lit(PHI)
     points = (
-        spark.range(n_slots)
+        spark.range(POINTS * n_slots)
         .withColumn("u", turn - F.floor(turn))
         .withColumn("cell", F.floor(F.col("u") * config.grid))
     )
     dealt = (
         points.join(cells, "cell")
         .filter("u >= lo and u < hi")
-        .select("id", "sid", F.expr("id div 4096").alias("part"), F.lit(1).alias("one"))
-    )
-    ranked = materialize(
-        running_sum(dealt, ["sid"], "part", ["id"], "one", "rank").select("id", "sid", "rank"),
-        "slots",
-    )
-    got = ranked.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
-    short = (
-        plan.join(got, "sid", "left")
-        .filter(F.coalesce("got", F.lit(0)) < F.col("need"))
-        .select(
-            "sid",
-            F.explode(F.sequence(F.coalesce("got", F.lit(0)), F.col("need") - 1)).alias("rank"),
-        )
-        .select((F.lit(n_slots) + F.col("rank")).alias("id"), "sid", "rank")
+        .select("id", "sid", F.expr("id div 65536").alias("part"), F.lit(1).alias("one"))
     )
+    ranked = running_sum(dealt, ["sid"], "part", ["id"], "one", "rank").select("id", "sid", "rank")
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     last = F.col("rest") - (F.col("need") - 1 - F.col("full") * F.col("n_blocks")) * block
     return (
-        ranked.unionByName(short)
-        .join(plan, "sid")
+        ranked.join(plan, "sid")
         .filter("rank < need")
         .withColumn("block", F.col("rank") % F.col("n_blocks"))
         .select(
             F.col("id").alias("position"),
             "sid",
-            "source",
             "rank",
             "block",
             F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), last)
             .otherwise(length)
             .alias("words"),
-            length.alias("block_words"),
         )
     )
 
 
-def _measured(docs: DataFrame, config: MixConfig) -> DataFrame:
+def _measured(docs: DataFrame, config: MixConfig, columns: list[str]) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return materialize(
-        docs.select(
-            "doc_id",
-            "source",
-            size.alias("size"),
-            F.xxhash64(F.lit(config.seed), "doc_id", "text").alias("h"),
-        ),
-        "mix-sizes",
-    )
+    shuffled = F.xxhash64(F.lit(config.seed), "doc_id", "text").alias("h")
+    row = F.xxhash64(F.lit(config.seed), *columns).alias("row")
+    return materialize(docs.select("doc_id", "source", size.alias("size"), shuffled, row), "mix-sizes")
 
 
-def _placed(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame, int, int]:
+def _placed(docs: DataFrame, config: MixConfig, columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """Each document's place in its source's shuffled words (start), the source
-    plan, the block size and the number of slots."""
-    sizes = _measured(docs, config)
-    n_rows, total = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
-    block = max(1, -(-(total or 0) // config.slots))
-    plan = materialize(quotas(source_targets(sizes, config), block), "mix-plan")
+    plan and the number of slots.  columns are what tells rows apart."""
+    sizes = _measured(docs, config, columns)
+    n_rows = sizes.count()
+    plan = materialize(quotas(source_targets(sizes, config), config.block), "mix-plan")
     n_sources, n_slots = plan.agg(F.count(F.lit(1)), F.sum("need")).first()
     n_chunks = max(64, -(-n_rows // config.rows_per_chunk))
     keyed = plan.select("sid", F.col("source").alias("source_name"))
@@ -206,78 +189,89 @@ def _placed(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame, i
     # the shuffled order is the order of h; its leading bits are the chunk
     step = -(-(2**63) // n_chunks) * 2
     chunked = known.withColumn("chunk", F.expr(f"(h div 2 + {2**62}) div {step // 2}"))
-    placed = running_sum(chunked, ["sid"], "chunk", ["h", "doc_id", "size"], "size", "start")
-    return placed.drop("chunk"), plan, block, n_slots or 0
+    placed = running_sum(chunked, ["sid"], "chunk", ["h", "doc_id", "row", "size"], "size", "start")
+    return materialize(placed.drop("chunk"), "mix-placed"), plan, n_slots or 0
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target and
-    taken, the words that the schedule takes of the document, repeats counted."""
-    placed, plan, block, n_slots = _placed(docs, config)
-    placed = materialize(placed, "mix-placed")
-    visits = (
-        schedule(plan, n_slots, block, config)
+def _visits(plan: DataFrame, n_slots: int, config: MixConfig) -> DataFrame:
+    """Per block of a source the slots that take it, as (position, words): at
+    most max_repeats and one partial."""
+    return (
+        schedule(plan, n_slots, config)
         .groupBy("sid", "block")
-        .agg(
-            F.sum((F.col("words") == F.col("block_words")).cast("long")).alias("whole"),
-            F.max(F.when(F.col("words") < F.col("block_words"), F.col("words"))).alias("part"),
-        )
+        .agg(F.collect_list(F.struct("position", "words")).alias("visits"))
     )
+
+
+def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target,
+    taken, the words that the schedule takes of the document, repeats counted,
+    and first_position, where the mix first takes of it (null: nowhere)."""
+    placed, plan, n_slots = _placed(docs, config, ["doc_id", "text"])
+    block = config.block
     end = F.col("start") + F.col("size")
     pieces = (
         placed.filter("size > 0")
         .withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-        .withColumn("from", F.greatest("start", F.col("block") * block))
-        .withColumn("to", F.least(end, (F.col("block") + 1) * block))
+        .withColumn("from", F.greatest("start", F.col("block") * block) - F.col("block") * block)
+        .withColumn("to", F.least(end, (F.col("block") + 1) * block) - F.col("block") * block)
     )
-    partial = F.greatest(
-        F.lit(0), F.least("to", F.col("block") * block + F.coalesce("part", F.lit(0))) - F.col("from")
+    taking = F.filter("visits", lambda v: v["words"] > F.col("from"))
+    words = F.aggregate(
+        taking, F.lit(0).cast("long"), lambda n, v: n + F.least("to", v["words"]) - F.col("from")
     )
     taken = (
-        pieces.join(visits, ["sid", "block"], "left")
+        pieces.join(_visits(plan, n_slots, config), ["sid", "block"], "left")
         .groupBy("sid", "start")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.first("size").alias("size"),
-            F.sum((F.col("to") - F.col("from")) * F.coalesce("whole", F.lit(0)) + partial)
-            .cast("long")
-            .alias("taken"),
+            F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"),
+            F.min(F.array_min(F.transform(taking, lambda v: v["position"]))).alias("first_position"),
         )
     )
     none = placed.filter("size = 0").select(
-        "sid", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken")
+        "sid", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_position")
     )
     by = plan.select("sid", "source", "source_size", "target")
     return (
         taken.unionByName(none)
         .join(by, "sid")
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "first_position")
     )
 
 
 def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The mix as rows of docs, all columns kept: a document is returned as
-    often as the mix takes its first word, so not at all, once, or up to
-    max_repeats times.  Rows equal in doc_id and text share their copies
-    evenly, rounded.  Texts without words are not in the mix."""
-    placed, plan, _, _ = _placed(docs, config)
-    copies = (
+    """The mix as rows of docs, all columns kept, in the order of the schedule
+    (partitions are ranges of positions): a document is returned at every slot
+    that takes its first word, so not at all up to max_repeats times.  Texts
+    without words are not in the mix."""
+    columns = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    placed, plan, n_slots = _placed(docs, config, columns)
+    block = config.block
+    offset = F.col("start") - F.col("block") * block
+    slots = (
         placed.filter("size > 0")
-        .join(plan.select("sid", "full", "rest"), "sid")
-        .withColumn("copies", F.col("full") + (F.col("start") < F.col("rest")).cast("long"))
-        .groupBy("doc_id", "h")
-        .agg(F.round(F.avg("copies")).cast("int").alias("copies"))
-        .filter("copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "copies")
+        .withColumn("block", F.expr(f"start div {block}"))
+        .join(_visits(plan, n_slots, config), ["sid", "block"])
+        .withColumn("visit", F.explode(F.filter("visits", lambda v: v["words"] > offset)))
+        .select("doc_id", "row", F.col("visit")["position"].alias("position"), "start")
     )
-    h, n, one = fresh(docs, "h"), fresh(docs, "copies"), fresh(docs, "one")
-    left = docs.withColumn(h, F.xxhash64(F.lit(config.seed), "doc_id", "text"))
-    right = copies.toDF(fresh(left, "id"), fresh(left, "hash"), n)
+    repeated = materialize(placed.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"), "mix-repeated")
+    h, at, first = fresh(docs, "h"), fresh(docs, "position"), fresh(docs, "start")
+    left = docs.withColumn(h, F.xxhash64(F.lit(config.seed), *columns))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["key_id"]) & (x[h] == y["key_h"])
+    if not repeated.isEmpty():
+        # equal rows: one of them meets the slots of all
+        keys = repeated.toDF("key_id", "key_h")
+        once = left.join(keys, same(left, keys), "left_semi").dropDuplicates(["doc_id", h])
+        left = left.join(keys, same(left, keys), "left_anti").unionByName(once)
+    keys = slots.toDF("key_id", "key_h", at, first)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        left.join(
-            right,
-            left["doc_id"].eqNullSafe(right[right.columns[0]]) & (left[h] == right[right.columns[1]]),
-        )
-        .withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(n))))
+        left.join(keys, same(left, keys))
+        .select(*[left[c] for c in docs.columns], keys[at], keys[first])
+        .repartitionByRange(parts, at)
+        .sortWithinPartitions(at, first)
         .select(*docs.columns)
     )

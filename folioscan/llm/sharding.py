@@ -4,7 +4,9 @@ Rows are ordered by (CRC-32 of the text, hash of doc_id), with a row number as
 last resort, and cut into shards of nearly equal bytes.  The cuts are found by
 counting exact bytes below candidate boundaries over all partitions and refining
 the candidates around each cut until the cut is within tolerance; then one
-exchange deals out the rows.  Only DataFrame functions are used.
+exchange deals every row to the partition that these cuts give it.  Each shard is
+cut into pieces in the same way, so that a shard is ordered by several tasks.
+Only DataFrame functions are used.
 
 Equal texts are neighbours in this order; a group of copies of any size is split
 where a cut falls into it, since the key goes on into doc_id and row number.
@@ -16,6 +18,7 @@ not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,13 +32,20 @@ KEY_BITS = 63
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """tolerance is the largest error of a cut, as a share of a shard's bytes;
-    probe_bits sets the candidates of a round (2 ** probe_bits in each cell)."""
+    """tolerance is the largest error of a cut between shards, as a share of a
+    shard's bytes, and piece_tolerance that of a cut inside a shard, as a share
+    of a piece; probe_bits sets the candidates of a round (2 ** probe_bits in
+    each cell)."""
 
     n_shards: int = 16
     tolerance: float = 0.0005
+    piece_tolerance: float = 0.25
     probe_bits: int = 12
 
+    def pieces(self, parts: int) -> int:
+        """Pieces of a shard, so that the exchange has at least `parts`."""
+        return max(1, -(-parts // self.n_shards))
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the two halves of the sort key."""
@@ -50,20 +60,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def find_cuts(rows: DataFrame, config: ShardConfig) -> list[tuple[int, int]]:
-    """n_shards - 1 boundaries (key, tie), ascending: a row is in the shard of
-    the number of boundaries at or below it."""
+def find_cuts(rows: DataFrame, config: ShardConfig, pieces: int = 1) -> list[tuple[int, int]]:
+    """n_shards * pieces - 1 boundaries (key, tie), ascending: a row is in the
+    piece of the number of boundaries at or below it."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    goals = {j: j * total / config.n_shards for j in range(1, config.n_shards)}
-    slack = config.tolerance * total / config.n_shards
-    top = 1 << (KEY_BITS)
-    cuts: dict[int, tuple[int, int]] = {j: (top - 1, top - 1) for j in goals} if not total else {}
+    n = config.n_shards * pieces
+    top = 1 << KEY_BITS
+    if not total:
+        return [(top - 1, top - 1)] * (n - 1)
+    goals = [j * total / n for j in range(1, n)]
+    slack = [
+        (config.piece_tolerance / pieces if j % pieces else config.tolerance) * total / config.n_shards
+        for j in range(1, n)
+    ]
+    cuts: dict[int, tuple[int, int]] = {}
     # cells: the ones that hold an open cut, as (key prefix, tie prefix), with the bytes below them
     level, cells = 0, {(0, 0): 0}
-    widths = [config.probe_bits] * (KEY_BITS // config.probe_bits) + [KEY_BITS % config.probe_bits]
-    steps = [(half, w) for half in (0, 1) for w in widths if w]
+    bits = config.probe_bits
+    first = min(KEY_BITS, max(bits, n.bit_length() + 3))
+    split = lambda k: [bits] * (k // bits) + [k % bits] * bool(k % bits)
+    steps = [(0, first), *[(0, w) for w in split(KEY_BITS - first)], *[(1, w) for w in split(KEY_BITS)]]
     done = [0, 0]
-    while len(cuts) < len(goals):
+    while cells:
         half, width = steps[level]
         old, new = KEY_BITS - done[half], KEY_BITS - done[half] - width
         part = rows
@@ -78,96 +96,101 @@ def find_cuts(rows: DataFrame, config: ShardConfig) -> list[tuple[int, int]]:
             ]
             part = rows.filter(reduce(lambda x, y: x | y, inside))
             ids = [F.col("key").alias("a"), F.shiftright("tie", new).alias("b")]
-        counts = sorted(
-            (a, b, n) for a, b, n in part.groupBy(*ids).agg(F.sum("size")).collect()
-        )
+        counts = sorted((a, b, found) for a, b, found in part.groupBy(*ids).agg(F.sum("size")).collect())
         level += 1
         done[half] += width
         over = level == len(steps)
         inner: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for a, b, n in counts:
+        for a, b, found in counts:
             home = (a >> width, 0) if half == 0 else (a, b >> width)
-            inner.setdefault(home, []).append((a, b, n))
+            inner.setdefault(home, []).append((a, b, found))
         following: dict[tuple[int, int], int] = {}
         edge = lambda a, b: (a << new, 0) if half == 0 else (a, b << new)
         for home, below in cells.items():
-            mine = [j for j in goals if j not in cuts]
-            for a, b, n in inner.get(home, []):
-                for j in mine:
-                    if j not in cuts and below <= goals[j] <= below + n:
-                        low, high = goals[j] - below, below + n - goals[j]
-                        if min(low, high) <= slack or over:
-                            cuts[j] = edge(a, b) if low <= high else edge(*((a + 1, b) if half == 0 else (a, b + 1)))
-                        else:
-                            following[(a, b)] = below
-                below += n
+            for a, b, found in inner.get(home, []):
+                for j in range(bisect_left(goals, below), bisect_right(goals, below + found)):
+                    if j in cuts:
+                        continue
+                    low, high = goals[j] - below, below + found - goals[j]
+                    if min(low, high) <= slack[j] or over:
+                        cuts[j] = edge(a, b) if low <= high else edge(*((a + 1, b) if half == 0 else (a, b + 1)))
+                    else:
+                        following[(a, b)] = below
+                below += found
         cells = following
-        if not cells:
-            break
     return [cuts[j] for j in sorted(cuts)]
 
 
-def shard_of(cuts: list[tuple[int, int]], key: str = "key", tie: str = "tie") -> Column:
-    below = [
-        ((F.col(key) > k) | ((F.col(key) == k) & (F.col(tie) >= t))).cast("int")
-        if t
-        else (F.col(key) >= k).cast("int")
-        for k, t in cuts
-    ]
-    return reduce(lambda x, y: x + y, below, F.lit(0))
+def _at_or_below(cuts: list[tuple[int, int]], here: Column) -> Column:
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in cuts])
+    return F.size(F.filter(table, lambda c: c <= here))
+
+
+def piece_of(cuts: list[tuple[int, int]], pieces: int, key: str, tie: str) -> Column:
+    """Number of cuts at or below (key, tie): the shard first, then the piece of
+    that shard."""
+    here = F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))
+    if pieces == 1:
+        return _at_or_below(cuts, here) if cuts else F.lit(0)
+    shards = [cuts[a : a + pieces - 1] for a in range(0, len(cuts), pieces)]
+    borders = cuts[pieces - 1 :: pieces]
+    shard = _at_or_below(borders, here) if borders else F.lit(0)
+    tables = F.array(
+        *[F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in s]) for s in shards]
+    )
+    return shard * pieces + F.size(F.filter(F.element_at(tables, shard + 1), lambda c: c <= here))
+
+
+def _dealt(rows: DataFrame, config: ShardConfig, key: str, tie: str, size: str, piece: str) -> tuple[DataFrame, int]:
+    """rows with a column `piece`, each in the partition of its piece and in the
+    order of the key, and the number of pieces of a shard.  The one exchange."""
+    per = config.pieces(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = find_cuts(rows.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.col(size).alias("size")), config, per)
+    dealt = rows.withColumn(piece, piece_of(cuts, per, key, tie)).repartitionById(config.n_shards * per, F.col(piece))
+    return dealt.sortWithinPartitions(key, tie), per
 
 
 def shard(docs: DataFrame, config: ShardConfig = ShardConfig()) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard, slot.  Slots
     count the rows of a shard from 0 in the order of the key."""
     rows = materialize(keyed(docs), "shard-keys")
-    cuts = find_cuts(rows, config)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(
-        rows.repartitionByRange(parts, "key", "tie")
-        .sortWithinPartitions("key", "tie")
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            shard_of(cuts).alias("shard"),
-            F.spark_partition_id().alias("part"),
-            F.monotonically_increasing_id().alias("at"),
-        ),
-        "shard-rows",
+    dealt, per = _dealt(rows, config, "key", "tie", "size", "piece")
+    placed = materialize(
+        dealt.select("doc_id", "size", "text_crc32", "piece", F.monotonically_increasing_id().alias("at")), "shard-rows"
     )
-    runs = dealt.groupBy("shard", "part").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("n")
+    shard = F.expr(f"piece div {per}").cast("int").alias("shard")
+    runs = placed.groupBy("piece").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select("*", shard).select(
+        "piece", "shard", (F.coalesce(F.sum("n").over(up), F.lit(0)) - F.col("first")).alias("shift")
     )
-    up = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        "shard", "part", (F.coalesce(F.sum("n").over(up), F.lit(0)) - F.col("first")).alias("shift")
-    )
-    # runs has at most one row per partition and cut
-    return dealt.join(F.broadcast(runs), ["shard", "part"]).select(
+    # one row per piece: as many as the exchange has partitions
+    return placed.join(F.broadcast(shifts), "piece").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).alias("slot")
     )
 
 
 def write_shards(docs: DataFrame, path: str, config: ShardConfig = ShardConfig()) -> None:
-    """Writes docs, whole, to path/shard=N in the order of the key: one exchange."""
-    rows = materialize(keyed(docs).select("size", "key", "tie"), "shard-keys")
-    cuts = find_cuts(rows, config)
-    key, tie, out = fresh(docs, "key"), fresh(docs, "tie"), "shard"
+    """Writes docs, whole, to path/shard=N in the order of the key: one exchange.
+    A column of docs called shard gives way to the folder."""
+    key, tie, size, piece, out = (*[fresh(docs, c) for c in ("key", "tie", "bytes", "piece")], "shard")
     text = F.coalesce("text", F.lit(""))
-    base = docs.drop(out) if out in docs.columns else docs
-    full = docs.withColumn(
-        key,
-        F.shiftleft(F.crc32(text.cast("binary")).cast("long"), 31).bitwiseOR(
-            F.xxhash64("doc_id").bitwiseAND(2**31 - 1)
+    base = [c for c in docs.columns if c.lower() != out]
+    # written first: the row numbers that part equal rows must not change
+    rows = materialize(
+        docs.select(
+            *base,
+            (F.octet_length(text) + 1).cast("long").alias(size),
+            F.shiftleft(F.crc32(text.cast("binary")).cast("long"), 31)
+            .bitwiseOR(F.xxhash64("doc_id").bitwiseAND(2**31 - 1))
+            .alias(key),
+            F.monotonically_increasing_id().alias(tie),
         ),
-    ).withColumn(tie, F.monotonically_increasing_id())
-    parts = max(config.n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        "shard-documents",
+    )
+    dealt, per = _dealt(rows, config, key, tie, size, piece)
     (
-        full.select(*base.columns, key, tie, shard_of(cuts, key, tie).alias(out))
-        .repartitionByRange(parts, key, tie)
-        .sortWithinPartitions(key, tie)
-        .drop(key, tie)
+        dealt.select(*base, F.expr(f"`{piece}` div {per}").cast("int").alias(out))
         .write.partitionBy(out)
         .parquet(path)
     )

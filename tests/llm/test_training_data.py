@@ -85,10 +85,82 @@ def test_mixing(docs, rows, none):
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
     assert key(got) == key(mixing.mix(docs.repartition(7)).collect())
     assert mixing.mix(none).count() == 0
+    assert all((r.first_position is None) == (r.taken == 0) for r in got)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0 and mixing.mixed_documents(none).count() == 0
 
 
+def brute_mix(placed, config):
+    """placed: (sid, start, size), plan rows; the slots one by one."""
+    order, plan = placed
+    total = sum(p.need for p in plan)
+    before, spans = 0, []
+    for p in sorted(plan, key=lambda p: p.sid):
+        spans.append((before / total, (before + p.need) / total, p))
+        before += p.need
+    words = {p.sid: [d for d, n in order[p.sid] for _ in range(n)] for p in plan}
+    used, taken, first = {p.sid: 0 for p in plan}, {}, {}
+    for i in range(2 * total):
+        u = i * mixing.PHI % 1.0
+        p = next((p for lo, hi, p in spans if lo <= u < hi), None)
+        if p is None or used[p.sid] >= p.need:
+            continue
+        k = used[p.sid]
+        used[p.sid] += 1
+        at = k % p.n_blocks * config.block
+        n = min(config.block, p.source_size - at)
+        if k == p.need - 1 and p.rest > 0:
+            n = p.rest - (p.need - 1 - p.full * p.n_blocks) * config.block
+        for d in words[p.sid][at : at + n]:
+            taken[d] = taken.get(d, 0) + 1
+            first.setdefault(d, i)
+    return taken, first
+
+
+@pytest.mark.parametrize("block", [16, 700])
+def test_mixing_follows_the_schedule(spark, docs, block, monkeypatch):
+    config = mixing.MixConfig(block=block)
+    some = docs.filter("doc_id is not null and doc_id <> 204")
+    placed, plan, _ = mixing._placed(some, config, ["doc_id", "text"])
+    order = {}
+    for r in placed.orderBy("sid", "start", "size").collect():
+        order.setdefault(r.sid, []).append((r.doc_id, r.size))
+    taken, first = brute_mix((order, plan.collect()), config)
+    got = {r.doc_id: (r.taken, r.first_position) for r in mixing.mix(some, config).collect()}
+    assert got == {d: (taken.get(d, 0), first.get(d)) for d in got}
+    monkeypatch.setattr(mixing, "PHI", 0.0)  # the points decide: without them the mix is another
+    assert {r.doc_id: (r.taken, r.first_position) for r in mixing.mix(some, config).collect()} != got
+
+
+def test_mix_is_even_along_its_order(docs):
+    """In every prefix of the schedule each source has its share of slots, to a few."""
+    config = mixing.MixConfig(block=8)
+    _, plan, n_slots = mixing._placed(docs, config, ["doc_id", "text"])
+    need = {p.sid: p.need for p in plan.collect()}
+    slots = sorted((r.position, r.sid) for r in mixing.schedule(plan, n_slots, config).collect())
+    assert len(slots) == n_slots == sum(need.values())
+    seen = dict.fromkeys(need, 0)
+    for position, sid in slots:
+        seen[sid] += 1
+        if position < 0.9 * n_slots:
+            assert all(abs(seen[s] - (position + 1) * need[s] / n_slots) <= 8 for s in need)
+
+
+def test_mixed_documents(docs):
+    config = mixing.MixConfig(block=8)
+    mixed = mixing.mixed_documents(docs, config)
+    copies = {}
+    for r in mixed.collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    facts = {}
+    for r in mixing.mix(docs, config).collect():
+        facts.setdefault(r.doc_id, []).append(r)
+    for d, n in copies.items():
+        # a copy starts where the first word is taken
+        assert n <= 3 * len(facts[d]) and sum(r.taken for r in facts[d]) >= n
+    assert all(copies.get(d, 0) for d, rs in facts.items() if all(r.taken == 3 * r.size > 0 for r in rs))
+
+
 def test_decontamination(spark, docs, rows, none):
     texts = [t for _, t, _, _ in rows if t and len(t) > 200]
     items = [(1, " ".join(texts[0].split()[3:25])), (2, "zeta 7!"), (3, None), (4, ""), (5, " ".join(texts[0].split()[3:25])), (6, rows[3][1].upper())]
@@ -129,6 +201,41 @@ def test_sharding(spark, docs, rows, none):
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(16))
     assert sharding.shard(none).count() == 0
+    assert sharding.shard(none.select("doc_id", "text")).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+
+
+def test_sharding_is_even_and_in_order(spark):
+    rng = random.Random(5)
+    texts = [(i, rng.choice(["", "same", "z" * rng.choice([10, 300, 4000])]) + str(i % 900)) for i in range(6000)]
+    docs = spark.createDataFrame(texts + [(None, None)] * 2000, "doc_id long, text string")
+    got = sharding.shard(docs).collect()
+    total = sum(r.size for r in got)
+    sums, slots = {}, {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append((r.slot, r.text_crc32))
+    assert set(sums) == set(range(16)) and all(abs(n - total / 16) <= 0.001 * total / 16 + 4100 for n in sums.values())
+    crcs = [c for k in range(16) for _, c in sorted(slots[k])]
+    assert crcs == sorted(crcs) and all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
+
+
+def test_cuts_against_prefix_sums(spark):
+    rng = random.Random(6)
+    rows = sorted((rng.choice([5, rng.randrange(2**63)]), i, rng.randrange(1, 50)) for i in range(500))
+    table = spark.createDataFrame(rows, "key long, tie long, size long")
+    config = sharding.ShardConfig(n_shards=4, tolerance=0.0, piece_tolerance=0.0, probe_bits=5)
+    total, below, sums = sum(r[2] for r in rows), 0, []
+    for r in rows:
+        sums.append(below)
+        below += r[2]
+    for pieces in (1, 3):
+        cuts = sharding.find_cuts(table, config, pieces)
+        n = 4 * pieces
+        for j, cut in enumerate(cuts, 1):
+            at = sum(r[2] for r in rows if (r[0], r[1]) < cut)
+            assert abs(at - j * total / n) == min(abs(s - j * total / n) for s in [*sums, total])
+        piece = {r.tie: r.p for r in table.select("tie", sharding.piece_of(cuts, pieces, "key", "tie").alias("p")).collect()}
+        assert all(piece[r[1]] == sum(c <= (r[0], r[1]) for c in cuts) for r in rows)
 
 
 def test_sharding_splits_one_large_group(spark):
