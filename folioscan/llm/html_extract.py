@@ -1,15 +1,27 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a sequence of text blocks with the elements around them.  A small
-linear classifier turns each block's features into a cost of calling it content
-and one of calling it boilerplate: the capacities to source and sink.
-Neighbouring blocks, and blocks of one parent, are tied by smoothness edges that
-weaken with their distance in the document tree.  The minimum cut separates the
-article from the rest.
+A page is read into text blocks and the elements around them.  Blocks and
+elements are the nodes of a graph.  A small linear classifier gives each node its
+costs of being called content and of being called boilerplate, the capacities to
+source and sink: blocks by their length, links and sentences, elements by their
+tag and names.  Smoothness edges tie each block to its element, each element to
+its parent, and neighbouring blocks to each other, weaker with their distance in
+the document tree.  The maximum flow separates the article from the rest, so
+that short lines stay with their article, long comments go with their section,
+and an element whose name misleads is outvoted by the text inside it.
+
+Names are read as words: `has-sidebar`, `comments-enabled` and the like say
+nothing, and an element around the article itself (a wrapper, a form around the
+page) is not boilerplate whatever it is called.
+
+Reading is linear in the length of the page, also for elements nested without
+end, tags and quotes left open, and end tags without a start.
 
 Defined results: null, empty and textless pages give an empty text; broken
 markup is read as browsers' tokenizers do, with unclosed elements open to the
-end; repeated rows repeat; extra columns stay as they are.
+end; a tag left open at the end of the page is dropped; repeated rows repeat;
+extra columns stay as they are, but one with the name given for the result gives
+way to it.
 """
 
 from __future__ import annotations
@@ -23,8 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose text is never shown.
-HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video select option datalist textarea annotation annotation-xml".split())
+#: Elements whose text is never shown, or is the value of a form control.
+HIDDEN = frozenset("script style noscript template head title desc metadata iframe object canvas audio video select option datalist textarea annotation annotation-xml".split())
 #: Elements that may stand in a head; any other ends an open one.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -36,47 +48,43 @@ BLOCK = frozenset(
 )
 #: An opening tag of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption li dd dt option optgroup legend summary html body".split())
-#: Elements that are boilerplate by their name.
-CHROME = frozenset("nav footer aside form menu dialog button fieldset address".split())
-#: Words of class, id and role names (fixed lists).
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|disqus|discussion|"
-    r"replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget\w*|pagination|pager|tags?|"
-    r"copyright|legal|disclaimer|skip|complementary|contentinfo|navigation|form)(?:$|[\s_-])", re.I
-)
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post(?:-body|-content)?|entry(?:-content)?|content|main|story|text|body)(?:$|[\s_-])", re.I)
-#: Bits of the linear classifier (positive: content), and of the ties.
-W_CHROME, W_BAD, W_ARTICLE, W_MAIN, W_GOOD = -9.0, -9.0, 5.0, 3.0, 1.5
-W_LINKS, W_LONG, W_STOPS, W_SHORT, W_BASE = -5.0, 1.5, 1.0, -1.0, -1.0
-TIE, TIE_PARENT, TIE_ACROSS = 1.2, 0.8, 0.15
-
+#: Elements that are boilerplate by their tag.
+CHROME = frozenset("nav footer aside menu dialog form fieldset header".split())
+#: Words of class and id names (fixed lists; a final * stands for any ending).
+BAD_WORDS = (
+    "ad ads advert* adsense sponsor* promo* banner cookie* consent gdpr popup modal overlay nav* menu* breadcrumb* sidebar* "
+    "footer header masthead topbar toolbar comment comments commentlist respond disqus replies share sharing social related "
+    "recommend* newsletter subscribe signup widget* pagination pager copyright disclaimer"
+).split()
+#: These alone are boilerplate; in a longer name they count less.
+SOFT_WORDS = "side foot notice alert tag tags legal skip form search login discussion".split()
+GOOD_WORDS = "article* post posting entry content main story text body".split()
+#: A name with one of these tells of something else than its element's content.
+QUALIFIERS = frozenset("has with no not without is are enabled disabled open closed active on off count layout".split())
+ROLES = {
+    "navigation": False, "complementary": False, "contentinfo": False, "banner": False, "search": False, "dialog": False,
+    "alert": False, "alertdialog": False, "menu": False, "menubar": False, "form": False, "main": True, "article": True,
+}
+#: Bits of the classifier (positive: content) ...
+B_BASE, B_LINKS, B_LONG, B_STOPS, B_SHORT, B_TITLE = -0.5, -5.0, 2.0, 1.0, -0.5, 2.0
+E_SOFT, E_GOOD, E_MAIN, E_BUTTON = -2.5, 2.0, 4.0, -1.0
+#: ... an element with strong evidence carries it for each of its blocks ...
+E_STRONG, E_PER_BLOCK = 6.0, 8.0
+#: ... and bits of the ties.
+T_BLOCK, T_STRONG, T_PARENT, T_NAMED, T_NEXT, ACROSS = 0.8, 8.0, 1.0, 0.5, 0.5, 0.1
+#: Elements that hold more of a page than this are wrappers where no article,
+#: main element or first-level heading tells.
+WRAPS = 0.6
+FAR = 16
 
 STOP = re.compile(r"[.!?…][\"'»”)]?(?:\s|$)")
-
-
-class Block:
-    __slots__ = ("parts", "path", "links", "bad", "chrome", "article", "main", "good", "heading", "text")
-
-    def __init__(self, path, state):
-        self.parts: list[str] = []
-        self.path = path
-        self.chrome, self.bad, self.article, self.main, self.good, self.heading = state
-        self.links = 0
-        self.text = ""
-
-
-#: Comments and declarations, end tags, start tags (with quoted values, or to the
-#: next > where a quote is left open).
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>"""
-    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NAMED = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
+TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""([^\s/>="'<][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+#: One step inside a tag: white space, an attribute, or a stray character.
+STEP = re.compile(r"""[\s/]+|[^\s/>=][^\s/>=]*(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?|=""")
+NAMED = re.compile(r"\b(?:class|id|role|hidden|style|itemprop)\b", re.I)
 #: Elements whose content is no markup.
-RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style title textarea iframe noembed noframes xmp".split()}
 #: What an item of these kinds closes, and where the search for it ends.
 ITEMS = {
     "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
@@ -85,68 +93,148 @@ ITEMS = {
 }
 
 
+def _words(names: list[str]) -> re.Pattern:
+    return re.compile("|".join(n[:-1] + r"\w*" if n[-1] == "*" else n for n in names))
+
+
+_BAD, _SOFT, _GOOD = _words(BAD_WORDS), _words(SOFT_WORDS), _words(GOOD_WORDS)
+_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+
+
+def _name_evidence(name: str) -> tuple[float, bool]:
+    """Bits and whether they are strong, of one word of a class or id."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    if not parts or QUALIFIERS & set(parts):
+        return 0.0, False
+    bad = [x for x in parts if _BAD.fullmatch(x)]
+    good = any(_GOOD.fullmatch(x) for x in parts)
+    if bad and not (good and set(bad) == {"header"}):
+        return -E_STRONG, True
+    if any(_SOFT.fullmatch(x) for x in parts):
+        return (-E_STRONG, True) if len(parts) == 1 else (0.0 if good else E_SOFT, False)
+    return (E_GOOD, False) if good else (0.0, False)
+
+
 @lru_cache(4096)
-def _attributes(raw: str) -> tuple[bool, bool, bool]:
-    """bad (by name, or not shown), good, main."""
+def _attributes(raw: str) -> tuple[float, bool, bool]:
+    """Evidence of an element's names, whether it is strong, and whether they
+    name the main part of the page."""
     found = {k.lower(): v.strip("\"'") for k, v in reversed(ATTRIBUTE.findall(raw))}
-    names = " ".join(unescape(found[k]) for k in ("class", "id", "role") if found.get(k))
-    unseen = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    unseen = unseen or found.get("aria-hidden") == "true"
-    return unseen or bool(BAD_NAME.search(names)), bool(GOOD_NAME.search(names)), "main" in names.split()
+    style = found.get("style", "").replace(" ", "").lower()
+    if "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true":
+        return -E_STRONG, True, False
+    role = ROLES.get(found.get("role", "").strip().lower())
+    if role is not None:
+        return (E_MAIN, False, True) if role else (-E_STRONG, True, False)
+    rated = [_name_evidence(x) for k in ("class", "id") if found.get(k) for x in unescape(found[k]).split()]
+    main = "articlebody" in found.get("itemprop", "").lower()
+    if any(strong for _, strong in rated):
+        return -E_STRONG, True, main
+    return max(-E_STRONG, min(E_MAIN, sum(x for x, _ in rated) + E_MAIN * main)), False, main
+
+
+class Element:
+    __slots__ = ("tag", "up", "depth", "bits", "strong", "main", "region")
+
+    def __init__(self, tag: str, up: int, depth: int, bits: float, strong: bool, main: bool):
+        self.tag, self.up, self.depth, self.bits, self.strong, self.main = tag, up, depth, bits, strong, main
+
+
+class Block:
+    __slots__ = ("parts", "element", "links", "heading", "text")
+
+    def __init__(self, element: int, heading: str):
+        self.parts: list[str] = []
+        self.element, self.heading = element, heading
+        self.links, self.text = 0, ""
 
 
 class _Reader:
     def __init__(self):
-        # open elements: (tag, number, state); state: chrome, bad, article, main, good, heading
-        self.open: list[tuple[str, int, tuple]] = [("", 0, (False,) * 6)]
-        self.count = 0
+        self.elements: list[Element] = [Element("", -1, 0, 0.0, False, False)]
+        # open elements as (tag, number of the element), and per tag its places in that stack
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
         self.hidden = 0
-        self.head = 0
         self.in_link = 0
+        self.loose = False
         self.blocks: list[Block] = []
         self.now: Block | None = None
 
     def feed(self, html: str) -> None:
         at, n = 0, len(html)
         while at < n:
-            m = TOKEN.search(html, at)
-            if m is None:
-                break
-            if m.start() > at:
-                self.text(html[at : m.start()])
-            at = m.end()
-            if m[1]:
-                self.end(m[1].lower())
+            start = html.find("<", at)
+            # a < that begins no tag is text
+            while start >= 0 and not (html[start + 1 : start + 2] in "!?/" or TAG.match(html, start + 1)):
+                start = html.find("<", start + 1)
+            if start < 0 or start + 1 >= n:
+                self.text(html[at:])
+                return
+            if start > at:
+                self.text(html[at:start])
+            kind = html[start + 1]
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 2)
+                at = n if end < 0 else end + 3
                 continue
-            tag = m[2] or m[4]
-            if not tag:
+            if kind in "!?/":
+                end = html.find(">", start)
+                at = n if end < 0 else end + 1
+                name = TAG.match(html, start + 2) if kind == "/" and end > 0 else None
+                if name:
+                    self.end(name[0].lower())
                 continue
-            tag = tag.lower()
+            name = TAG.match(html, start + 1)
+            tag, begin = name[0].lower(), name.end()
+            end = self._tag_end(html, begin)
+            if end < 0:
+                return  # a tag that the page does not end
+            at = end + 1
             self._leave_head(tag)
             if tag in RAW:
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                close = RAW[tag].search(html, at)
+                at = close.end() if close else n
                 continue
-            self.start(tag, m[3] or m[5] or "")
-        if at < n:
-            self.text(html[at:])
+            self.start(tag, html[begin:end])
+
+    def _tag_end(self, html: str, begin: int) -> int:
+        """Place of the > that ends the tag; quoted values may hold one.  Once a
+        quote of the page is left open, tags end at their next >."""
+        end = html.find(">", begin)
+        if end < 0 or self.loose:
+            return end
+        if html.count('"', begin, end) % 2 == 0 and html.find("'", begin, end) < 0:
+            return end
+        at = begin
+        while m := STEP.match(html, at):
+            at = m.end()
+        if html[at : at + 1] == ">":
+            return at
+        self.loose = True
+        return end
 
     def _close_to(self, at: int) -> None:
-        for tag, _, _ in self.open[at:]:
+        for tag, _ in reversed(self.open[at:]):
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.open_blocks.pop()
             self.hidden -= tag in HIDDEN
-            self.head -= tag == "head"
             self.in_link -= tag == "a"
         del self.open[at:]
 
+    def _last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def _leave_head(self, tag: str) -> None:
         """The end tag of a head may be left out."""
-        if self.head and (tag == "body" or (self.open[-1][0] == "head" and tag not in IN_HEAD)):
-            at = next(k for k, (name, _, _) in enumerate(self.open) if name == "head")
-            if all(name != "template" for name, _, _ in self.open[at:]):
-                self._close_to(at)
+        head = self.at.get("head")
+        if head and not self.at.get("template") and (tag == "body" or (self.open[-1][0] == "head" and tag not in IN_HEAD)):
+            self._close_to(head[0])
 
     def start(self, tag: str, raw: str) -> None:
-        if tag == "head" and self.head:
+        if tag == "head" and self.at.get("head"):
             return
         if tag == "br":
             if self.now is not None:
@@ -157,54 +245,45 @@ class _Reader:
             self.now = None
         if tag in VOID:
             return
-        stack = self.open
-        if block and tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
-                if name == "p":
-                    # inline elements left open in the paragraph end with it
-                    self._close_to(k)
-                    break
-                if name in BLOCK:
-                    break
+        if block and tag in ENDS_P and self.open_blocks and self.open[self.open_blocks[-1]][0] == "p":
+            # inline elements left open in the paragraph end with it
+            self._close_to(self.open_blocks[-1])
         if tag in ITEMS:
             same, stop = ITEMS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in same:
-                    self._close_to(k)
-                    break
-                if stack[k][0] in stop:
-                    break
-        state = stack[-1][2]
-        chrome, bad, article, main, good, heading = state
-        if raw and NAMED.search(raw):
-            is_bad, is_good, is_main = _attributes(raw)
-            if tag not in ("html", "body"):
-                bad = bad or (is_bad and not (article and tag == "p") and tag not in ("article", "main"))
-                good, main = good or is_good, main or is_main
-        chrome = chrome or tag in CHROME or (tag == "header" and not article)
-        article, main = article or tag == "article", main or tag == "main"
-        heading = heading or tag in HEADINGS
-        self.count += 1
-        stack.append((tag, self.count, (chrome, bad, article, main, good, heading)))
+            if self._last(*same) > self._last(*stop):
+                self._close_to(self._last(*same))
+        bits, strong, main = (0.0, False, False)
+        if raw and tag not in ("html", "body") and NAMED.search(raw):
+            bits, strong, main = _attributes(raw)
+        if tag == "article" or tag == "main":
+            bits, strong, main = (E_STRONG if tag == "article" else E_MAIN), tag == "article", True
+        elif tag in CHROME and not (tag == "header" and self.at.get("article")):
+            bits, strong = -E_STRONG, True
+        elif tag == "button" and not strong:
+            bits = min(bits, E_BUTTON)
+        self.at.setdefault(tag, []).append(len(self.open))
+        number = self.open[-1][1]
+        if block or bits:
+            up = number
+            number = len(self.elements)
+            self.elements.append(Element(tag, up, self.elements[up].depth + 1, bits, strong, main))
+        if block:
+            self.open_blocks.append(len(self.open))
+        self.open.append((tag, number))
         self.hidden += tag in HIDDEN
-        self.head += tag == "head"
         self.in_link += tag == "a"
 
     def end(self, tag: str) -> None:
         block = tag in BLOCK
         if block:
             self.now = None
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self._close_to(k)
-                return
-            if not block and name in BLOCK:
-                return
+        at = self._last(tag)
+        # inline elements do not end across the border of a block
+        if at and (block or not self.open_blocks or at > self.open_blocks[-1]):
+            self._close_to(at)
 
     def text(self, data: str) -> None:
-        if self.head and data.strip():
+        if self.at.get("head") and data.strip():
             self._leave_head("")
         if self.hidden > 0:
             return
@@ -213,50 +292,40 @@ class _Reader:
         if self.now is None:
             if not data.strip():
                 return
-            path = tuple([n for t, n, _ in self.open if t in BLOCK])
-            self.now = Block(path, self.open[-1][2])
+            heading = next((h for h in HEADINGS if self.at.get(h)), "")
+            self.now = Block(self.open[-1][1], heading)
             self.blocks.append(self.now)
         self.now.parts.append(data)
         if self.in_link > 0:
             self.now.links += len(data.strip())
 
 
-def read_blocks(html: str | None) -> list[Block]:
-    if not html:
-        return []
+def read_page(html: str | None) -> tuple[list[Block], list[Element]]:
     reader = _Reader()
-    reader.feed(html)
-    out = []
+    reader.feed(html or "")
     for b in reader.blocks:
         b.text = " ".join("".join(b.parts).split())
-        if b.text:
-            out.append(b)
-    return out
+    return [b for b in reader.blocks if b.text], reader.elements
 
 
-def block_score(b: Block, has_article: bool) -> float:
-    """Log odds of content."""
+def block_bits(b: Block) -> float:
+    """Log odds of content, by the block alone."""
     n = len(b.text)
-    score = W_BASE
-    score += W_CHROME * b.chrome + W_BAD * b.bad
-    if b.article:
-        score += W_ARTICLE
-    elif has_article:
-        score -= W_ARTICLE / 2
-    score += W_MAIN * b.main + W_GOOD * b.good
-    score += W_LINKS * min(1.0, b.links / n)
-    score += W_LONG * (n >= 80) + W_LONG * (n >= 250) + W_STOPS * bool(STOP.search(b.text))
-    if n < 25 and not b.heading:
-        score += W_SHORT
-    return score
+    bits = B_BASE + B_LINKS * min(1.0, b.links / n)
+    bits += B_LONG * (n >= 80) + B_LONG * (n >= 250) + B_STOPS * bool(STOP.search(b.text))
+    if b.heading:
+        return bits + B_TITLE * (b.heading == "h1")
+    return bits + B_SHORT * (n < 25)
 
 
 def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """True on the content side of the minimum cut.  Terminal capacities are the
+    """True for the nodes on the content side of the minimum cut.  Terminal capacities are the
     scores (their sign says which terminal); ties are undirected edges.  Flow is
-    pushed in rounds: each levels the blocks by their distance from those with
+    pushed in rounds: each levels the nodes by their distance from those with
     flow to spare and fills every shortest way, so long pages take few rounds."""
     n = len(scores)
+    if max(scores, default=0.0) <= 0:  # nothing flows
+        return [False] * n
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for u, v, w in ties:
         near[u][v] = near[u].get(v, 0.0) + w
@@ -304,38 +373,108 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
                     break
 
 
-def _shared(a: tuple, b: tuple) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def _sums(blocks: list[Block], elements: list[Element]) -> tuple[list[int], list[int]]:
+    """Blocks and characters inside each element."""
+    count, chars = [0] * len(elements), [0] * len(elements)
+    for b in blocks:
+        count[b.element] += 1
+        chars[b.element] += len(b.text)
+    for k in range(len(elements) - 1, 0, -1):
+        count[elements[k].up] += count[k]
+        chars[elements[k].up] += chars[k]
+    return count, chars
+
+
+def _wrappers(blocks: list[Block], elements: list[Element], chars: list[int]) -> set[int]:
+    """Elements around the article: their names say nothing against it."""
+
+    def around(k: int) -> Iterator[int]:
+        while k > 0:
+            yield k
+            k = elements[k].up
+
+    # nearest element above that tells against its content
+    above = [0] * len(elements)
+    for k in range(1, len(elements)):
+        up = elements[k].up
+        above[k] = up if elements[up].bits < 0 else above[up]
+    titles = {b.element for b in blocks if b.heading == "h1"}
+    titled = {k for t in titles for k in around(t)}
+    best, found = (), 0
+    for k, e in enumerate(elements):
+        if e.main and chars[k]:
+            outer = above[k]
+            while outer and outer in titled:
+                outer = above[outer]
+            if outer and titles:  # the title is elsewhere: this is no wrapper of the article
+                continue
+            rank = (not above[k], k in titled, chars[k])
+            if rank > best:
+                best, found = rank, k
+    if found:
+        return set(around(found)) - {found}
+    chrome = {"nav", "footer", "aside"}
+    for b in blocks:
+        if b.heading == "h1" and not any(elements[k].tag in chrome for k in around(b.element)):
+            return set(around(b.element))
+    return {k for k in range(1, len(elements)) if chars[k] > WRAPS * max(1, chars[0])}
+
+
+def build_graph(blocks: list[Block], elements: list[Element]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Scores of the nodes (blocks, then elements) and the ties between them."""
+    n = len(blocks)
+    count, chars = _sums(blocks, elements)
+    wrap = _wrappers(blocks, elements, chars)
+    scores = [block_bits(b) for b in blocks]
+    ties: list[tuple[int, int, float]] = []
+    node: list[int] = []  # per element its node of the graph
+    region: list[int] = []  # per element the nearest one with evidence
+    bad: list[bool] = []  # inside an element that is boilerplate by itself
+    bits: list[float] = []
+    for k, e in enumerate(elements):
+        up = e.up
+        own, strong = e.bits, e.strong
+        if own < 0 and k in wrap:
+            own, strong = 0.0, False
+        if k and bad[up] and own > 0:
+            own, strong = 0.0, False
+        bits.append(own if strong else 0.0)
+        bad.append((k > 0 and bad[up]) or (strong and own < 0))
+        region.append(k if own or not k else region[up])
+        alone = k and not own and count[k] == 1
+        if not k or (count[k] and not alone and (own or not bits[region[up]])):
+            node.append(len(scores))
+            scores.append(own + (E_PER_BLOCK * count[k] if own > 0 else -E_PER_BLOCK * count[k]) if strong else own)
+            if k and count[k]:
+                ties.append((node[up], node[k], T_NAMED if own else T_PARENT))
+        else:  # unnamed parts of a strong element are one with it
+            node.append(node[up])
+    for b, i in zip(blocks, range(n), strict=True):
+        ties.append((i, node[b.element], T_STRONG if bits[region[b.element]] else T_BLOCK))
+        if i:
+            x, y = blocks[i - 1].element, b.element
+            across = ACROSS if region[x] != region[y] else 1.0
+            steps = 0
+            while x != y and steps < FAR:
+                if elements[x].depth >= elements[y].depth:
+                    x = elements[x].up
+                else:
+                    y = elements[y].up
+                steps += 1
+            ties.append((i - 1, i, across * T_NEXT / max(1.0, steps / 2)))
+    return scores, ties
 
 
-def label_blocks(blocks: list[Block]) -> list[bool]:
-    has_article = any(b.article for b in blocks)
-    scores = [block_score(b, has_article) for b in blocks]
-    ties = []
-    last: dict[tuple[int, bool], int] = {}
-    for i, b in enumerate(blocks):
-        named = b.chrome or b.bad
-        if i:
-            a = blocks[i - 1]
-            steps = len(a.path) + len(b.path) - 2 * _shared(a.path, b.path)
-            # where the markup itself draws a line, neighbours say little
-            weak = TIE_ACROSS if named != (a.chrome or a.bad) else 1.0
-            ties.append((i - 1, i, weak * TIE / max(1.0, steps / 2)))
-        parent = (b.path[-2] if len(b.path) > 1 else 0, named)
-        if parent in last and last[parent] < i - 1:
-            ties.append((last[parent], i, TIE_PARENT))
-        last[parent] = i
-    return minimum_cut(scores, ties)
+def label_blocks(blocks: list[Block], elements: list[Element]) -> list[bool]:
+    scores, ties = build_graph(blocks, elements)
+    return minimum_cut(scores, ties)[: len(blocks)]
 
 
 def main_text(html: str | None) -> str:
-    blocks = read_blocks(html)
-    keep = label_blocks(blocks)
+    blocks, elements = read_page(html)
+    if not blocks:
+        return ""
+    keep = label_blocks(blocks, elements)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

@@ -494,7 +494,7 @@ def test_html_head_without_end(head):
 
 
 def test_html_head_ended_by_text():
-    assert [b.text for b in html_extract.read_blocks("<head><title>t</title> Plain text.<p>More.")] == ["Plain text.", "More."]
+    assert [b.text for b in html_extract.read_page("<head><title>t</title> Plain text.<p>More.")[0]] == ["Plain text.", "More."]
 
 
 def test_html_math():
@@ -528,6 +528,52 @@ def test_long_page():
     assert text.count("\n") >= 13_000 and time.process_time() - began < 30
 
 
+PROSE = "<p>The first paragraph of the article is long enough to count as prose, with several words and a stop at the end. It goes on.</p>"
+ARTICLE = f"<h1>Title</h1>{PROSE}<p>Short.</p>{PROSE}<p>tiny line</p>{PROSE}"
+AROUND = "<nav><ul><li><a href=/>Home</a></li></ul></nav>{}<div class='sidebar'><ul><li><a href=x>One</a></li></ul></div><div class='comments'>" + (
+    f"<div class='comment'>{PROSE}</div>" * 8
+) + "</div><footer><p>Copyright me. All rights reserved, and more words in a line so long that it looks like prose. Really.</p></footer>"
+
+
+@pytest.mark.parametrize("outer", [
+    "div class='layout has-sidebar'", "div class='site with-header'", "div class='page no-sidebar'", "div class='tag-list post'",
+    "div class='comments-enabled'", "div id='side-content-main'", "form id='aspnetForm'", "div class='sidebar'",
+])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrappers(outer, inner):
+    want = [re.sub("<[^>]*>", "", x) for x in re.findall("<(?:h1|p)>.*?</(?:h1|p)>", ARTICLE)]
+    page = f"<body><{outer}>{AROUND.format(f'<{inner}>{ARTICLE}</{inner}>')}</{outer.split()[0]}></body>"
+    assert html_extract.main_text(page).split("\n") == want
+
+
+def test_html_ties_decide():
+    """Without the ties short lines are lost and long comments kept."""
+    page = f"<body>{AROUND.format(f'<article>{ARTICLE}</article>')}</body>"
+    blocks, elements = html_extract.read_page(page)
+    alone = [b.text for b in blocks if html_extract.block_bits(b) >= 0]
+    cut = html_extract.main_text(page).split("\n")
+    assert "tiny line" in cut and "tiny line" not in alone and len([x for x in alone if x.startswith("The first")]) == 11
+    bare = f"<body><div><a href=x>Home</a> <a href=x>About</a></div><div>{ARTICLE}</div><div><ul><li><a href=x>One</a><li><a href=x>Two</a></ul></div></body>"
+    assert html_extract.main_text(bare).split("\n") == cut
+
+
+def test_html_inside_the_article():
+    page = "<article><p>Press <button>Go</button> now.</p><address>12 Long Street</address><p>A <svg><text>chart</text></svg> here.</p><div class=ad>Buy.</div></article>"
+    assert html_extract.main_text(page) == "Press Go now.\n12 Long Street\nA chart here."
+    assert html_extract.main_text(f"<div id=content>{ARTICLE}</div><section id=comments><article class=comment>{PROSE}</article></section>").count("\n") == 5
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x " * 140_000, '<b x="y ' * 120_000, '<a "' * 250_000, "<a \"'>" * 150_000, "<i>" * 150_000 + "</b>" * 150_000, "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000,
+    "<li>x" * 150_000, "< " * 500_000, "</x " * 250_000, "<!-- " * 200_000, "<script>" * 120_000, ("<div>" + PROSE) * 6_500, "<article>" + "<div>x " * 140_000,
+    ("<div>" + PROSE + "<div><a href=x>link</a>") * 6_000, "<h1>" * 200_000 + "x", "<div class=ad>x" * 60_000,
+], ids=lambda p: p[:14])
+def test_html_reads_in_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):
