@@ -391,6 +391,61 @@ def test_toxicity(spark, none):
     bare = toxicity.fit(docs, tags.limit(0))
     assert toxicity.score(docs, bare, "s").filter("s < 0.5").count() == len(rows)
     assert toxicity.score(none.drop("score"), model).count() == 0
+    assert toxicity.score(docs.limit(3), model).columns == docs.columns  # the given name gives way
+    odd = spark.createDataFrame([(None, "x"), (1, "word " * 300_000 + "you idiot")], "doc_id long, text string")
+    assert [r.h for r in toxicity.score(odd, model, "s").select(toxicity.held_out().alias("h"), "s").collect()] == [False, zlib.crc32(b"1") % 5 == 0]
+
+
+def _voted(n=3000, seed=1):
+    """Votes of six voters: two good ones, one weak, one random, and a copy of the
+    weak one; the sixth abstains."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    of = lambda hit, wrong: np.where(rng.random(n) < np.where(y, hit, wrong), 1, -1)
+    weak = of(0.6, 0.35)
+    return np.stack([of(0.8, 0.02), of(0.7, 0.05), weak, of(0.3, 0.3), weak, np.full(n, -1)], axis=1), y
+
+
+def test_label_model_finds_rates_and_dependencies():
+    cast, y = _voted()
+    gold = y.astype(float)
+    post, rates, parent, gain = toxicity.label_model(cast, gold)
+    assert np.abs(rates[:4] - [[0.02, 0.8], [0.05, 0.7], [0.35, 0.6], [0.3, 0.3]]).max() < 0.1
+    pairs = {frozenset((i, int(p))) for i, p in enumerate(parent) if p >= 0 and gain[i] > 0.1}
+    assert pairs == {frozenset((2, 4))}
+    # the copy adds nothing: posteriors are those without it
+    alone = toxicity.label_model(cast[:, [0, 1, 2, 3, 5]], gold)[0]
+    assert np.abs(post - alone).max() < 0.05
+    # brute force: posteriors of the true rates
+    p = np.log(0.3 / 0.7)
+    for k, (hit, wrong) in enumerate(((0.8, 0.02), (0.7, 0.05), (0.6, 0.35))):
+        p = p + np.where(cast[:, k] == 1, np.log(hit / wrong), np.log((1 - hit) / (1 - wrong)))
+    assert np.abs(post - 1 / (1 + np.exp(-p))).mean() < 0.05
+    # wrong labels of a tenth of the rows are overruled by the votes
+    flipped = np.where(np.random.default_rng(2).random(len(y)) < 0.1, 1 - gold, gold)
+    again = toxicity.label_model(cast, flipped)[0]
+    assert ((again >= 0.5) == (post >= 0.5)).mean() > 0.97
+
+
+def test_toxicity_weighs_its_voters(spark):
+    """A word that clean rows hold too, now and then, is no proof: the label
+    model tells a row full of it from a long one that has it once."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        bad = i % 6 == 0
+        words = prose(rng, rng.choice([60, 400])).split()
+        if bad:
+            words[:: 50] = ["schurk" + rng.choice("abc") for _ in words[::50]]
+        elif i % 8 == 1:
+            words[rng.randrange(len(words))] = "schurka"
+        rows.append((i, " ".join(words), int(bad), len(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, n int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, model).filter(toxicity.held_out()).collect()
+    assert any(t.startswith("schurk") for t in model.terms)
+    long_clean = [r.score for r in got if not r.toxic and r.n > 300 and "schurk" in r.text]
+    assert long_clean and max(long_clean) < 0.5 and np.mean([(r.score >= 0.5) == bool(r.toxic) for r in got if r.n > 300]) > 0.97
 
 
 def test_embeddings(spark, monkeypatch):
