@@ -58,7 +58,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.corpus_words(docs))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -75,6 +76,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("hex").alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
+        count("guess").alias("n_guess"),
+        # base assignments whose value is cheap to guess: placeholders, as a rule
+        F.size(F.filter("secrets", lambda s: (s["kind"] == "assign") & (s["bits"] < secrets.MIN_BITS))).cast("long").alias("n_cheap"),
     )
 
 

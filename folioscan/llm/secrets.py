@@ -3,26 +3,35 @@
 Base spans by pattern: assignments to a credential name, access key ids, long
 hexadecimal runs.  Values in a wider credential context (more names, other
 assignment forms) are then rated by their guess cost: the cheapest segmentation
-of the value, by dynamic programming, into common words, dates, repeats,
-keyboard walks and brute-force spans, in bits.  Values of MIN_BITS or more are
-added as spans of kind `guess`, unless a base span already covers them.
+of the value, by dynamic programming, into words, dates, repeats, keyboard walks
+and brute-force spans, in bits.  Values of MIN_BITS or more are added as spans of
+kind `guess`, unless a base span already covers them; the values of base
+assignments are rated too, so that placeholders can be told from credentials.
+
+Words are those of a short fixed list of password words, and the words of the
+corpus (corpus_words): a word costs its share of all word contexts, the distinct
+words that it follows.  Contexts, not occurrences, are counted, so that a secret
+in many copies of a text does not become a word.
 
 Defined results: null and empty texts hold nothing; overlapping kinds are all
 kept; offsets are code points, end exclusive; repeated rows repeat; extra
-columns stay as they are.
+columns stay as they are, but one with the name given for the result gives way
+to it; an empty table has no words, and then the fixed list alone counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 36.0
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -53,8 +62,10 @@ WORDS = (
     "monday tuesday wednesday thursday friday saturday sunday the and for you are that with this "
     "from have not was key your name none null true false enter here placeholder redacted xxxx"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_RANK = {w: log2(i + 2) for i, w in enumerate(WORDS)}
+#: Longest word of the corpus that counts, the fewest contexts of one, and its
+#: least share of all contexts: at most 1 / MIN_SHARE words reach that.
+LONGEST, MIN_CONTEXTS, MIN_SHARE = 24, 20, 1e-5
 _LEET = str.maketrans("013457@$!", "oleasta" + "si")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -69,79 +80,155 @@ def _alphabet(value: str) -> float:
     return log2(max(size, 2))
 
 
+class Guesser:
+    """Guess costs with the words of a corpus (word: bits) next to the fixed list."""
+
+    #: Values whose costs are remembered.
+    KNOWN = 65_536
+
+    def __init__(self, words: Mapping[str, float] | None = None):
+        self.words = dict(words or {})
+        for w, bits in _RANK.items():
+            self.words[w] = min(bits, self.words.get(w, bits))
+        self.longest = max(map(len, self.words))
+        self.known: dict[str, float] = {}
+
+    def bits(self, value: str) -> float:
+        found = self.known.get(value)
+        if found is None:
+            if len(self.known) >= self.KNOWN:
+                self.known.clear()
+            found = self.known[value] = self._cheapest(value)
+        return found
+
+    def _cheapest(self, value: str) -> float:
+        """Bits of the cheapest way to guess value piece by piece.
+
+        best[i] is the cost of the first i characters; a run of brute force pays
+        its characters one by one, so the work is proportional to the length."""
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a letter whose lower case is longer: the value as it stands
+            low = value
+        plain = low.translate(_LEET)
+        letter = _alphabet(value)
+        best = [0.0] + [float("inf")] * n
+        dates = {m.start(): m.end() for m in _DATE.finditer(value)}
+        cost_of = self.words.get
+        for i in range(n):
+            here = best[i] + CUT_BITS * bool(i)
+            if best[i] + letter < best[i + 1]:
+                best[i + 1] = best[i] + letter
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                cost = cost_of(low[i:j]) or cost_of(plain[i:j])
+                if cost:
+                    cost += (value[i:j] != low[i:j]) + (low[i:j] != plain[i:j])
+                    best[j] = min(best[j], here + cost)
+            if i in dates:
+                best[dates[i]] = min(best[dates[i]], here + DATE_BITS)
+            if not i or (low[i - 1], low[i]) not in _NEXT:  # keyboard walks, from where they begin
+                j = i + 1
+                while j < n and (low[j - 1], low[j]) in _NEXT:
+                    j += 1
+                    if j - i >= 3:
+                        best[j] = min(best[j], here + WALK_BITS + log2(j - i))
+            for width in (1, 2, 3, 4):  # repeats, from where they begin
+                if i + 2 * width > n or (i >= width and value[i - width : i] == value[i : i + width]):
+                    continue
+                j = i + width
+                while value[j : j + width] == value[i : i + width] and j + width <= n:
+                    j += width
+                    best[j] = min(best[j], here + width * letter + log2((j - i) // width))
+        return best[n]
+
+
+_PLAIN = Guesser()
+
+
 def guess_bits(value: str) -> float:
-    """Bits of the cheapest way to guess value piece by piece.
-
-    best[i] is the cost of the first i characters; a run of brute force pays
-    its characters one by one, so the work is proportional to the length."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    letter = _alphabet(value)
-    best = [0.0] + [float("inf")] * n
-    dates = {m.start(): m.end() for m in _DATE.finditer(value)}
-    for i in range(n):
-        here = best[i] + CUT_BITS * bool(i)
-        if best[i] + letter < best[i + 1]:
-            best[i + 1] = best[i] + letter
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
-            if rank:
-                cost = log2(rank + 1) + (value[i:j] != low[i:j]) + (low[i:j] != plain[i:j])
-                best[j] = min(best[j], here + cost)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], here + DATE_BITS)
-        if not i or (low[i - 1], low[i]) not in _NEXT:  # keyboard walks, from where they begin
-            j = i + 1
-            while j < n and (low[j - 1], low[j]) in _NEXT:
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], here + WALK_BITS + log2(j - i))
-        for width in (1, 2, 3, 4):  # repeats, from where they begin
-            if i + 2 * width > n or (i >= width and value[i - width : i] == value[i : i + width]):
-                continue
-            j = i + width
-            while value[j : j + width] == value[i : i + width] and j + width <= n:
-                j += width
-                best[j] = min(best[j], here + width * letter + log2((j - i) // width))
-    return best[n]
+    """Guess cost with the fixed words alone."""
+    return _PLAIN.bits(value)
 
 
-@lru_cache(65_536)
-def _bits(value: str) -> float:
-    return guess_bits(value)
+def _values(text: str) -> list[tuple[int, int]]:
+    """Values in a credential context, without closing punctuation."""
+    found = {m.span(2) for m in CONTEXT.finditer(text)} | {m.span(1) for m in URL.finditer(text)}
+    out = []
+    for a, b in sorted(found):
+        while b > a and text[b - 1] in ".:!?)]}":
+            b -= 1
+        if b - a >= 8:
+            out.append((a, b))
+    return out
 
 
-def spans_of(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end), by start, then kind as listed."""
+def rated_spans(text: str | None, guesser: Guesser = _PLAIN) -> list[tuple[str, int, int, float | None]]:
+    """(kind, start, end, bits), by start, then kind as listed; bits are those of
+    the value, for kinds assign and guess."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = []
+    found: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
     if any(x in low for x in _NAMES):
-        found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [("assign", *m.span(), guesser.bits(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
-        found += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    found += [("hex", *m.span()) for m in HEX.finditer(text)]
+        found += [("access", *m.span(), None) for m in ACCESS.finditer(text)]
+    found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
     if any(x in low for x in _WIDER):
-        values = {m.span(2) for m in CONTEXT.finditer(text)} | {m.span(1) for m in URL.finditer(text)}
-        base = list(found)
-        for a, b in sorted(values):
-            while b > a and text[b - 1] in ".:!?)]}":
-                b -= 1
-            if b - a < 8 or any(x <= a and b <= y for _, x, y in base):
+        # base spans by start, with the furthest end so far: one search tells
+        # whether any of them covers a value
+        base = sorted((a, b) for _, a, b, _ in found)
+        starts, ends = [a for a, _ in base], []
+        for _, b in base:
+            ends.append(max(b, ends[-1]) if ends else b)
+        for a, b in _values(text):
+            k = bisect_right(starts, a)
+            if k and ends[k - 1] >= b:
                 continue
-            if _bits(text[a:b]) >= MIN_BITS:
-                found.append(("guess", a, b))
+            bits = guesser.bits(text[a:b])
+            if bits >= MIN_BITS:
+                found.append(("guess", a, b, bits))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        rows = [spans_of(t) for t in batch]
-        yield pd.DataFrame({"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows]})
-
-
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs with a column `secrets`: array of (kind, start, end)."""
-    of = F.pandas_udf(_found, "spans array<struct<kind:string,start:bigint,end:bigint>>").asNondeterministic()
-    return docs.withColumn("secrets", of("text")["spans"])
+def spans_of(text: str | None, guesser: Guesser = _PLAIN) -> list[tuple[str, int, int]]:
+    """(kind, start, end), by start, then kind as listed."""
+    return [s[:3] for s in rated_spans(text, guesser)]
+
+
+def corpus_words(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE) -> dict[str, float]:
+    """Words of all texts (runs of letters, lower-cased) with their costs in bits,
+    from the number of distinct words that each follows.  What comes to the
+    driver is bounded by 1 / min_share words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{3,{LONGEST}}}"), F.lit(0))
+    lists = docs.filter("text is not null").select(words.alias("w")).filter(F.size("w") > 1)
+    n = F.size("w") - 1
+    pairs = F.zip_with(
+        F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n),
+        lambda x, y: F.struct(F.xxhash64(x).alias("after"), y.alias("word")),
+    )
+    contexts = materialize(
+        lists.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.*").distinct().groupBy("word").count(),
+        "word-contexts",
+    )
+    total = contexts.agg(F.sum("count")).first()[0] or 0
+    common = contexts.filter((F.col("count") >= min_contexts) & (F.col("count") >= min_share * total)).collect()
+    return {r["word"]: log2(total / r["count"]) + 1 for r in common}
+
+
+SPANS = "spans array<struct<kind:string,start:bigint,end:bigint,bits:double>>"
+
+
+def find_secrets(docs: DataFrame, words: Mapping[str, float] | None = None, name: str = "secrets") -> DataFrame:
+    """docs with a column `name`: array of (kind, start, end, bits).  words: costs
+    of corpus_words."""
+    sent = docs.sparkSession.sparkContext.broadcast(dict(words or {}))
+
+    @F.pandas_udf(SPANS)
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        guesser = Guesser(sent.value)
+        for batch in texts:
+            rows = [rated_spans(t, guesser) for t in batch]
+            keys = ("kind", "start", "end", "bits")
+            yield pd.DataFrame({"spans": [[dict(zip(keys, s, strict=True)) for s in r] for r in rows]})
+
+    return docs.withColumn(name, found.asNondeterministic()("text")["spans"])

@@ -511,10 +511,79 @@ def test_secrets(spark, docs):
     assert secrets.spans_of(None) == [] and secrets.spans_of("") == []
     assert secrets.guess_bits("password1234") < 20 < 60 < secrets.guess_bits("xK9#mQ2$vL7p")
     assert secrets.guess_bits("a1B" * 30) < secrets.guess_bits("a1B2c3D4e5F6")
+    many = "token=abcdefgh1 pwd=" + "pwd=x1 " * 3 + " ".join(f"password=abcdefg{i} passphrase is kqzv{i}xwpjhgtrmnb" for i in range(20_000))
+    began = time.process_time()
+    assert len(secrets.spans_of(many)) > 40_000 and time.process_time() - began < 20
+    assert secrets.spans_of("pwd=İİİİİİİİİİİİ") is not None
     out = secrets.find_secrets(docs)
     assert out.columns == [*docs.columns, "secrets"] and out.filter("secrets is null").count() == 0
 
 
+def test_secrets_against_plain_patterns():
+    """Base spans of random texts against a scan letter by letter."""
+    rng = random.Random(12)
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    bits = ["password", "PassWD", "secret", "token", "apikey", "API_KEY", '"', "'", " ", "  ", ":", "=", "AKIA", "abc123", "ABCDEFGHIJKL12", "deadbeef" * 4, "0a" * 17, "é", "\n", "zz"]
+
+    def run(text, i, allowed):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        return j
+
+    def scan(text):
+        out, i = [], 0
+        while i < len(text):
+            name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(n)].lower() == n and text[i : i + len(n)].isascii()), None)
+            if name:
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                j = run(text, j, " ")
+                if text[j : j + 1] in (":", "=") and j < len(text):
+                    j = run(text, j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"') and j < len(text)
+                    end = run(text, j, letters)
+                    if end > j:
+                        if end - j >= 8:
+                            out.append(("assign", i, end))
+                        i = end
+                        continue
+            i += 1
+        for kind, first, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+            i = 0
+            while i < len(text):
+                end = run(text, i + len(first), allowed) if text.startswith(first, i) else i
+                if end > i + len(first) or (end > i and not first):
+                    if end - i >= least:
+                        out.append((kind, i, end))
+                    i = end
+                else:
+                    i += 1
+        return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        got = [s for s in secrets.spans_of(text) if s[0] != "guess"]
+        assert got == scan(text), text
+
+
+def test_corpus_words_decide(spark):
+    """With the words of the corpus prose after a credential name is cheap, while
+    a secret that many copies hold stays dear."""
+    rng = random.Random(13)
+    names = ["information", "extraordinary", "correspondence", "unbelievable"]
+    texts = [f"{prose(rng, 5)} w{chr(97 + i % 26)}{chr(97 + i // 26)}rd {rng.choice(names)} of things" for i in range(400)]
+    texts += ["the secret correspondence and pwd=kqzvxwpjhgtrmnbdlf in copies"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = secrets.corpus_words(docs)
+    assert set(names) <= set(words) and "kqzvxwpjhgtrmnbdlf" not in words
+    one = docs.filter("doc_id = 400")
+    spans = lambda w: [(s.kind, texts[400][s.start : s.end]) for s in secrets.find_secrets(one, w).first().secrets]
+    assert spans(None) == [("guess", "correspondence"), ("guess", "kqzvxwpjhgtrmnbdlf")]
+    assert spans(words) == [("guess", "kqzvxwpjhgtrmnbdlf")]
+    assert secrets.corpus_words(docs.limit(0)) == {}
+
+
 @pytest.mark.parametrize(
     "text",
     [
