@@ -43,6 +43,13 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    for file in df.inputFiles():
+        drop_scratch(df.sparkSession, file.rpartition("/")[0])
+        return
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have, in any case."""
     have = {c.lower() for c in df.columns}

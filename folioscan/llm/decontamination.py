@@ -8,7 +8,7 @@ Matches are word positions, which are mapped back to offsets in the original.
 Defined results: null and empty texts have no words and no hits; an item of
 fewer words than a window is one window, one without words none; equal items
 and windows all count; an empty benchmark contaminates nothing; extra columns
-stay as they are.
+stay as they are, but one with the name given for the result gives way to it.
 """
 
 from __future__ import annotations
@@ -138,15 +138,15 @@ def _merge(texts: pd.Series, items: pd.Series, spans: pd.Series) -> pd.DataFrame
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS, name: str = "contamination"
 ) -> DataFrame:
-    """docs with a struct column `contamination`: n_words, n_hit, items (sorted
+    """docs with a struct column `name`: n_words, n_hit, items (sorted
     ids of items of which a window occurs) and spans (hit runs as offsets in the
     original text, in code points, end exclusive)."""
     n = n_parts(benchmark, part_chars)
     send = docs.sparkSession.sparkContext.broadcast
     if n == 1:
-        return docs.withColumn("contamination", _searcher(send(_windows(_part(benchmark, 0, 1), window)))("text"))
+        return docs.withColumn(name, _searcher(send(_windows(_part(benchmark, 0, 1), window)))("text"))
     # one automaton in memory at a time: each part scans by itself and keeps hit rows only
     row = fresh(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
@@ -162,6 +162,5 @@ def find_contamination(
     )
     both = fresh(numbered, "hits")
     merged = numbered.join(by.select(row, F.struct("items", "spans").alias(both)), row, "left")
-    return merged.withColumn("contamination", F.pandas_udf(_merge, RESULT)("text", F.col(both)["items"], F.col(both)["spans"])).select(
-        *docs.columns, "contamination"
-    )
+    found = F.pandas_udf(_merge, RESULT)("text", F.col(both)["items"], F.col(both)["spans"])
+    return merged.withColumn(name, found).select(*[c for c in docs.columns if c.lower() != name.lower()], name)

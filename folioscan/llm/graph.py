@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,14 +37,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    state = mark(now)
     for _ in range(rounds):
-        if not state[0]:
-            break
-        now = materialize(_star(_star(now, True), False), "edges")
-        then, state = state, mark(now)
-        if then == state:
+        then = now
+        now = materialize(_star(_star(then, True), False), "edges")
+        # both are sets of edges: equal if as large and nothing of one is missing in the other
+        same = now.count() == then.count() and now.join(then, ["u", "v"], "left_anti").isEmpty()
+        drop(then)
+        if same:
             break
     else:
         raise RuntimeError("the components did not settle")

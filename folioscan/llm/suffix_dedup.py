@@ -141,18 +141,31 @@ def _all(table: pa.Table, name: str, widths: tuple[int, ...]) -> list[np.ndarray
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def _batches(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(data, offsets, first row, end row) of rows of about BATCH_BYTES."""
-    texts = table.column("text")
-    n, row = table.num_rows, 0
-    sizes = pa.compute.binary_length(texts.cast(pa.binary())).to_numpy().astype(np.int64)
-    edge = np.cumsum(sizes)
-    while row < n:
-        base = edge[row - 1] if row else 0
-        end = max(row + 1, int(np.searchsorted(edge, base + BATCH_BYTES, "right")))
-        raw = b"".join(texts.slice(row, end - row).cast(pa.binary()).to_pylist())
-        yield np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes[row:end])]), row, end
-        row = end
+def _batches(table: pa.Table, length: int = MIN_LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, offsets, row of each text, its first byte in that row's text) of
+    about BATCH_BYTES.  A longer text comes in segments that overlap by less than
+    a window, so that each of its windows is in one segment."""
+    texts = table.column("text").cast(pa.binary())
+    waiting: list[tuple[int, int, bytes]] = []
+    held = 0
+
+    def out():
+        sizes = [len(x) for _, _, x in waiting]
+        where = np.array([w[:2] for w in waiting], dtype=np.int64).reshape(-1, 2)
+        data = np.frombuffer(b"".join(x for _, _, x in waiting), np.uint8)
+        return data, np.concatenate([[0], np.cumsum(sizes)]), where[:, 0], where[:, 1]
+
+    for row, value in enumerate(texts):
+        raw = value.as_py() or b""
+        for at in range(0, max(1, len(raw) - length + 1), BATCH_BYTES):
+            part = raw[at : at + BATCH_BYTES + length - 1]
+            if waiting and held + len(part) > BATCH_BYTES:
+                yield out()
+                waiting, held = [], 0
+            waiting.append((row, at, part))
+            held += len(part)
+    if waiting:
+        yield out()
 
 
 def _grouped(order_keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +191,7 @@ def _entries(n_buckets: int):
         found = []
         for data, offsets, row, _ in _batches(table):
             text, _, _, anchor, digest = text_runs(data, offsets)
-            found.append((anchor, digest, least[row + text]))
+            found.append((anchor, digest, least[row[text]]))
         anchor, digest, doc = (np.concatenate(c) for c in zip(*found, strict=True))
         order, start = _grouped((doc, digest, anchor))
         doc = doc[order]
@@ -243,10 +256,36 @@ def _shared(table: pa.Table) -> pa.Table:
 # --- step 3: the strings of the shared runs ---------------------------------
 
 
-def _lookup(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
+def _mix_key(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return anchor.astype(np.uint64) * _M1 ^ digest.astype(np.uint64) * _M2
 
 
+class _Runs:
+    """Finds runs by anchor and digest.  The search goes by a mix of both, and
+    both are compared; keys whose mixes are equal are told apart."""
+
+    def __init__(self, anchor: np.ndarray, digest: np.ndarray):
+        mixed = _mix_key(anchor, digest)
+        self.order = np.argsort(mixed, kind="stable")
+        self.key = mixed[self.order]
+        self.anchor, self.digest = anchor.astype(np.uint64), digest.astype(np.uint64)
+        # the most keys that share one mix
+        turns = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1], True])
+        self.most = int(np.diff(turns).max()) if len(self.key) else 0
+
+    def find(self, anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        """Place of each run among those given, -1 where it is none of them."""
+        found = np.full(len(anchor), -1, dtype=np.int64)
+        if not len(self.key):
+            return found
+        first = np.searchsorted(self.key, _mix_key(anchor, digest))
+        for step in range(self.most):
+            at = self.order[np.minimum(first + step, len(self.key) - 1)]
+            same = (self.anchor[at] == anchor.astype(np.uint64)) & (self.digest[at] == digest.astype(np.uint64))
+            found[same & (found < 0)] = at[same & (found < 0)]
+        return found
+
+
 def _strings(texts: pa.Table, requests: pa.Table) -> pa.Table:
     out: dict[int, list[bytes]] = {}
     if texts.num_rows and requests.num_rows:
@@ -255,15 +294,12 @@ def _strings(texts: pa.Table, requests: pa.Table) -> pa.Table:
             [int(np.frombuffer(x, np.int64, 1)[0]) for x in requests.column("data").to_pylist()],
         )
         anchor, digest, doc = _all(requests, "data", (6, 6, 8))
-        key = _lookup(anchor, digest)
-        order = np.argsort(key)
-        key, anchor, digest, doc, buckets = (c[order] for c in (key, anchor, digest, doc, buckets))
-        open_ = np.ones(len(key), dtype=bool)
+        runs = _Runs(anchor, digest)
+        open_ = np.ones(len(anchor), dtype=bool)
         for data, offsets, _, _ in _batches(texts):
             _, s, count, a, h = text_runs(data, offsets)
-            mine = _lookup(a, h)
-            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            hit = np.flatnonzero(key[at] == mine)
+            at = runs.find(a, h)
+            hit = np.flatnonzero(at >= 0)
             which, first = np.unique(at[hit], return_index=True)
             fresh = open_[which]
             which, run = which[fresh], hit[first[fresh]]
@@ -424,12 +460,8 @@ def _decide(strings: pa.Table, shared: pa.Table) -> pa.Table:
     first = np.cumsum(pieces) - pieces
     # fan out to the chunks
     a2, h2, chunk = _all(shared, "data", (6, 6, 4))
-    key = _lookup(anchor, digest)
-    by_key = np.argsort(key)
-    at = np.minimum(np.searchsorted(key[by_key], _lookup(a2, h2)), len(key) - 1)
-    at = by_key[at]
-    ok = (anchor[at] == a2) & (digest[at] == h2)
-    at, chunk = at[ok], chunk[ok]
+    at = _Runs(anchor, digest).find(a2, h2)
+    at, chunk = at[at >= 0], chunk[at >= 0]
     o = np.argsort(chunk, kind="stable")
     at, chunk = at[o], chunk[o]
     homes, edges = np.unique(chunk, return_index=True)
@@ -447,6 +479,21 @@ def _decide(strings: pa.Table, shared: pa.Table) -> pa.Table:
 RESULT = "sha string, least bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans binary"
 
 
+def _merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of rows, overlapping and touching ones as one."""
+    order = np.lexsort((end, begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    if not len(row):
+        return row, begin, end
+    # ends so far, each row's above all of the rows before
+    lift = row * (int(end.max()) + 1)
+    upto = np.maximum.accumulate(end + lift)
+    new = np.r_[True, begin[1:] + lift[1:] > upto[:-1]] | np.r_[True, row[1:] != row[:-1]]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], begin[first], upto[last] - lift[last]
+
+
 def _remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
     n = texts.num_rows
     removed, spans, kept = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), [None] * n
@@ -462,33 +509,30 @@ def _remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         first = np.cumsum(k) - k
         from_ = np.cumsum(number) - number
         from_ = from_ - np.repeat(from_[first], k)  # window of the run at which a piece begins
-        key = _lookup(anchor, digest)
-        order = np.argsort(key)
-        key = key[order]
-        for data, offsets, row, end in _batches(texts):
+        runs = _Runs(anchor, digest)
+        found = []
+        for data, offsets, row, base in _batches(texts):
             text, s, _, a, h = text_runs(data, offsets)
-            mine = _lookup(a, h)
-            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            hit = np.flatnonzero(key[at] == mine)
-            run = order[at[hit]]
-            n_p = k[run]
-            p = np.repeat(first[run] - (np.cumsum(n_p) - n_p), n_p) + np.arange(int(n_p.sum()))
+            at = runs.find(a, h)
+            hit = np.flatnonzero(at >= 0)
+            n_p = k[at[hit]]
+            p = np.repeat(first[at[hit]] - (np.cumsum(n_p) - n_p), n_p) + np.arange(int(n_p.sum()))
             of = np.repeat(hit, n_p)
-            go = doc[p] < least[row + text[of]]
-            a0 = s[of[go]] + from_[p[go]]
-            a1 = a0 + number[p[go]] - 1 + MIN_LENGTH
-            if not len(a0):
-                continue
-            depth = np.bincount(a0, minlength=len(data) + 1) - np.bincount(a1, minlength=len(data) + 1)
-            cover = np.cumsum(depth[: len(data)]) > 0
-            sums = np.concatenate([[0], np.cumsum(cover)])
-            removed[row:end] = sums[offsets[1:]] - sums[offsets[:-1]]
-            for i in np.flatnonzero(removed[row:end]):
-                mask = cover[offsets[i] : offsets[i + 1]]
-                turn = np.flatnonzero(np.diff(np.r_[0, mask.view(np.int8), 0]))
-                spans[row + i] = len(turn) // 2
-                where[row + i] = turn.astype(np.int64).tobytes()
-                kept[row + i] = hashlib.sha256(data[offsets[i] : offsets[i + 1]][~mask].tobytes()).hexdigest()
+            go = doc[p] < least[row[text[of]]]
+            of, p = of[go], p[go]
+            begin = s[of] + from_[p] - offsets[text[of]] + base[text[of]]
+            found.append(_merged(row[text[of]], begin, begin + number[p] - 1 + MIN_LENGTH))
+        rows, begin, end = _merged(*[np.concatenate(c) for c in zip(*found, strict=True)])
+        edges = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True]) if len(rows) else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            r = int(rows[i])
+            raw, digest_, at = texts.column("text")[r].as_py().encode(), hashlib.sha256(), 0
+            for x, y in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True):
+                digest_.update(raw[at:x])
+                at = y
+            digest_.update(raw[at:])
+            removed[r], spans[r], kept[r] = (end[i:j] - begin[i:j]).sum(), j - i, digest_.hexdigest()
+            where[r] = np.stack([begin[i:j], end[i:j]], axis=1).astype(np.int64).tobytes()
     return pa.table(
         {
             "sha": texts.column("sha"),

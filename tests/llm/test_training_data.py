@@ -271,6 +271,55 @@ def test_suffix_dedup(spark, docs, rows, none):
     assert suffix_dedup.dedup_digest(none).count() == 0
 
 
+def test_suffix_dedup_in_segments(spark, docs, rows, monkeypatch):
+    """Segments of long texts, and keys whose mixes collide, change nothing."""
+    want = sorted(map(str, suffix_dedup.dedup_digest(docs).collect()))
+    table = suffix_dedup.pa.table({"text": [t for _, t, _, _ in rows if t and len(t) > 50]})
+    windows = lambda: sorted(
+        (int(r[k]), bytes(d[s + x : s + x + 50]))
+        for d, o, r, _ in suffix_dedup._batches(table)
+        for k, s, c in zip(*suffix_dedup.text_runs(d, o)[:3], strict=True)
+        for x in range(c)
+    )
+    every = windows()
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 300)
+    assert windows() == every
+    texts = suffix_dedup.pa.table({"sha": ["a", "b"], "least": [1, 2], "text": ["abc " * 500, "q" + "abc " * 400]})
+    assert all(len(d) <= 2 * 300 + 49 for d, _, _, _ in suffix_dedup._batches(texts))
+    monkeypatch.setattr(suffix_dedup, "_mix_key", lambda a, d: a.astype(np.uint64) & np.uint64(1))
+    runs = suffix_dedup._Runs(np.array([5, 7, 5, 9, 2]), np.array([1, 1, 2, 1, 0]))
+    assert runs.find(np.array([5, 9, 8, 2, 5, 7]), np.array([2, 1, 1, 0, 3, 1])).tolist() == [2, 3, -1, 4, -1, 1]
+    assert len(want) == len(rows)
+
+
+def test_merged_intervals():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(0, 30))
+        row, begin = rng.integers(0, 3, n), rng.integers(0, 40, n)
+        end = begin + rng.integers(1, 8, n)
+        cover = np.zeros((3, 60), dtype=bool)
+        for r, a, b in zip(row, begin, end, strict=True):
+            cover[r, a:b] = True
+        want = []
+        for r in range(3):
+            turn = np.flatnonzero(np.diff(np.r_[0, cover[r].astype(int), 0]))
+            want += [(r, a, b) for a, b in turn.reshape(-1, 2)]
+        assert list(zip(*suffix_dedup._merged(row, begin, end), strict=True)) == want
+
+
+def test_one_anchor_in_every_document(spark):
+    """One gram that all windows of all texts have as their anchor."""
+    rng = random.Random(15)
+    grams = ["".join(rng.choice("abcdefgh") for _ in range(16)) for _ in range(400)]
+    hashes = [int(suffix_dedup.text_runs(np.frombuffer((g * 4)[:50].encode(), np.uint8), np.array([0, 50]))[3][0]) for g in grams]
+    hot = grams[int(np.argmin(hashes))]
+    texts = [(i, "".join(rng.choice("xyz") for _ in range(34)) + hot + "".join(rng.choice("xyz") for _ in range(34))) for i in range(200)]
+    texts += [(1000 + i, texts[i][1][5:75]) for i in range(50)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == 70 for i in range(50)) and all(got[i] == 0 for i in range(200))
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     for _ in range(60):
