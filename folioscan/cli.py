@@ -1,16 +1,19 @@
-"""Command line: fetch, ingest, chunk, preview, index, retrieve, answer, evaluate."""
+"""Command line: fetch, ingest, chunk, terms, preview, index, retrieve, answer, evaluate."""
 
 from __future__ import annotations
 
 import argparse
 import json
+from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.config import BoundaryConfig, ChunkConfig, Constraints, TermAssets
-from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, normalize, panels, retrieve, sections
-from folioscan.sources import markup, scan
+from folioscan.functions import text as T
+from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, normalize, panels, render, retrieve, sections, terms
+from folioscan.sources import markup, scan, store
 
 
 def fetch(spark, args) -> None:
@@ -20,24 +23,46 @@ def fetch(spark, args) -> None:
 
 def ingest(spark, args) -> None:
     files = scan.read_rich_text(spark, args.root, args.limit)
-    made = blocks.build_blocks(markup.spans(files))
     names = files.select("file", "file_name", "file_stem")
-    bare = made.select("file").limit(0).select(F.lit("").alias("file"), F.lit(0).alias("start"), F.lit(0).alias("fields_end"), F.lit(0).alias("end"), *[F.lit("").alias(c) for c in ("entry_title", "entry_type", "entry_category", "entry_chunk_type", "shape_family")])
-    annotated = entries.annotate(made, bare).join(names, "file")
-    decided = sections.boundary_decisions(sections.split_sections(annotated).join(names, "file"), BoundaryConfig())
-    found = sections.canonical_documents(sections.merge_sections(decided), names, args.source_id)
+    kinds = scan.read_content_types(args.types) if args.types else []
+    demoted = names.filter(F.col("file_name").isin(*args.demote.split(","))) if args.demote else None
+    spans = markup.spans(files)
+    made = store.stored(blocks.build_blocks(spans, demoted), "blocks").join(names, "file")
+    annotated = store.stored(entries.annotate(made.drop("file_name", "file_stem"), entries.find_matches(made, kinds)), "annotated").join(names, "file")
+    config = BoundaryConfig(boilerplate=tuple(p for p in args.boilerplate.lower().split("|") if p))
+    decided = store.stored(sections.boundary_decisions(sections.split_sections(annotated).join(names, "file"), config), "decisions")
+    found = sections.with_fallback(sections.merge_sections(decided), names)
+    found = sections.canonical_documents(found, names, args.source_id)
     refs = {"source_id": args.source_id, "edition": args.edition, "source_type": args.source_type, "authority_level": args.authority}
     cut = F.struct(F.col("cut_at").alias("offset"), F.lit("stat_block").alias("type"))
     none = F.array().cast("array<struct<offset:int,type:string>>")
     out = found.withColumns({k: F.lit(v) for k, v in refs.items()}).withColumn(
         "cuts", F.when(F.col("cut_at").isNotNull(), F.array(cut)).otherwise(none).cast("array<struct<offset:int,type:string>>")
     )
-    out.write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
+    mode = "overwrite" if args.force else "errorifexists"
+    out.write.mode(mode).parquet(args.output)
+    if args.extracted:
+        text = spans.groupBy("file").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), "").alias("text")
+        )
+        text.withColumn("text", T.normal_text(F.col("text"))).join(names, "file").write.mode(mode).parquet(f"{args.extracted}/text")
+        annotated.write.mode(mode).parquet(f"{args.extracted}/blocks")
+        sections.decision_log(decided).write.mode(mode).parquet(f"{args.extracted}/decisions")
 
 
 def chunk(spark, args) -> None:
     docs = spark.read.parquet(args.documents)
-    chunks.build_chunks(docs, ChunkConfig()).write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
+    made = chunks.build_chunks(docs, ChunkConfig.of(scan.read_settings(args.settings) if args.settings else None))
+    made.write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
+
+
+def mine(spark, args) -> None:
+    """Term assets: reviewed phrases, aliases and variants as given, mined phrases as candidates."""
+    given = scan.read_settings(args.reviewed) if args.reviewed else {}
+    docs, made = spark.read.parquet(args.documents), spark.read.parquet(args.chunks)
+    buckets = terms.term_buckets(terms.title_terms(docs), terms.content_terms(made))
+    assets = terms.term_assets(buckets, given.get("phrases", []), given.get("aliases", {}), given.get("variants", {}))
+    print("\n".join(terms.write_term_assets(assets, args.output)))
 
 
 def preview(spark, args) -> None:
@@ -50,13 +75,11 @@ def build(spark, args) -> None:
 
 def _ask(spark, args, rows):
     assets = json.loads(open(args.terms).read()) if args.terms else {}
-    terms = TermAssets(assets.get("aliases", {}), tuple(assets.get("phrases", ())))
+    known = TermAssets(assets.get("aliases", {}), tuple(assets.get("phrases", ())))
     found = index.open_index(spark, args.index)
+    # without a registry nothing is filtered
     limits = Constraints.of(scan.read_registry(args.registry)) if args.registry else None
-    if limits is None:
-        pick = lambda c: tuple(r[0] for r in found.chunks.select(c).distinct().limit(1000).collect())
-        limits = Constraints(pick("edition"), pick("source_type"), pick("authority_level"))
-    queries = normalize.normalize(rows, terms)
+    queries = normalize.normalize(rows, known)
     return queries, retrieve.retrieve(queries, found, limits, args.top_k)
 
 
@@ -69,7 +92,12 @@ def show(spark, args) -> None:
         items = evidence.evidence(found)
         decided = answer.support(queries, items)
         segments = answer.compose(items, decided)
-        out = answer.to_json(answer.answers(queries, decided, segments))
+        whole = answer.answers(queries, decided, segments)
+        if args.text:
+            named = whole.join(queries.select("query_id", "normalized_text"), "query_id")
+            print("\n\n".join(render.answer_text(named, evidence.traces(found))))
+            return
+        out = answer.to_json(whole)
         if args.debug:
             for table in (panels.candidate_rows(items).orderBy("rank"), answer.slot_decisions(items, decided), panels.segment_rows(segments), panels.citation_rows(segments)):
                 for line in table.toJSON().collect():
@@ -85,22 +113,20 @@ def run_evaluation(spark, args) -> None:
     items = evidence.evidence(found)
     decided = answer.support(queries, items)
     segments = answer.compose(items, decided)
-    cites = answer.cite(segments).select("query_id", "citation_id", "source_id", "edition", "section_path", F.lit(None).cast("string").alias("entry_title"), F.col("text").alias("excerpt")).distinct()
-    cases = gold.select(F.col("eval_id").alias("query_id"), "question", F.col("expected_source_ids").alias("expected_sources"), F.col("expected_section_or_entry").alias("expected_path"), "expected_behavior")
+    cites = answer.cite(segments).withColumn("excerpt", F.col("text"))
+    cases = gold.select(F.col("eval_id").alias("query_id"), "question", "question_type", F.col("expected_source_ids").alias("expected_sources"), F.col("expected_section_or_entry").alias("expected_path"), "expected_behavior")
     first = segments.filter("slot = 1").select("query_id", F.col("support_type").alias("primary_support"))
-    done = evaluate.outcomes(cases, decided.select("query_id", "answer_type").join(first, "query_id", "left"), evaluate.citation_checks(cases, cites, args.edition))
-    print(markdown(done))
-
-
-def markdown(outcomes) -> str:
-    """The report: counts, then failing cases by their first tag, clean ones at the end."""
-    lines = ["| tag | cases |", "|---|---|"]
-    lines += [f"| {r['tag']} | {r['n']} |" for r in evaluate.tag_counts(outcomes).orderBy("ord").collect()]
-    total = evaluate.report(outcomes).first()
-    lines += ["", f"{total['case_count']} cases, behaviour match rate {total['behavior_match_rate']}", ""]
-    for r in outcomes.filter(F.size("tags") > 0).orderBy(F.get("tags", F.lit(0)), "query_id").collect():
-        lines.append(f"- {r['query_id']}: {', '.join(r['tags'])}")
-    return "\n".join(lines)
+    distinct = cites.select("query_id", "citation_id", "source_id", "edition", "section_path", "entry_title", "excerpt").distinct()
+    checks = store.stored(evaluate.citation_checks(cases, distinct, args.edition), "checks")
+    done = store.stored(evaluate.outcomes(cases, decided.select("query_id", "answer_type").join(first, "query_id", "left"), checks), "outcomes")
+    rows = store.stored(render.cases(cases, decided, segments, cites, checks, done), "cases")
+    name = args.dataset or Path(args.gold).stem
+    started = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    for path, make in ((args.json, render.report_json), (args.markdown, render.report_markdown)):
+        if path:
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
+            Path(path).write_text(make(name, started, done, rows), encoding="utf-8")
+    print(render.counts_text(name, done))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -118,13 +144,14 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("fetch", fetch, "manifest", "root", dry_run=False, force=False)
-    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", force=False).add_argument("--limit", type=int)
-    command("chunk", chunk, "documents", "output", force=False)
+    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", types=None, demote="", boilerplate="", extracted=None, force=False).add_argument("--limit", type=int)
+    command("chunk", chunk, "documents", "output", settings=None, force=False)
+    command("terms", mine, "documents", "chunks", "output", reviewed=None)
     command("preview", preview, "chunks")
     command("index", build, "chunks", "output")
     command("retrieve", show, "query", "index", top_k=10, terms=None, registry=None)
-    command("answer", show, "query", "index", top_k=10, terms=None, registry=None, debug=False)
-    command("evaluate", run_evaluation, "gold", "index", top_k=10, terms=None, registry=None, edition="")
+    command("answer", show, "query", "index", top_k=10, terms=None, registry=None, debug=False, text=False)
+    command("evaluate", run_evaluation, "gold", "index", top_k=10, terms=None, registry=None, edition="", dataset="", json=None, markdown=None)
     return p
 
 

@@ -84,6 +84,8 @@ class BoundaryConfig:
     fragment: int = 200
     lookalike_title: int = 80
     boilerplate: tuple[str, ...] = ()
+    #: Fixed value: names, in lower case, of files that are legal texts.
+    legal_files: tuple[str, ...] = ("legal.rtf",)
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,18 @@ class EntryType:
     min_blocks: int = 3
     pattern: str = ""
 
+    @classmethod
+    def of(cls, raw: dict) -> EntryType:
+        """From an entry of a content-type registry; unknown parameters are left out."""
+        names = {"max_title_len": "title_max", "max_subtitle_len": "subtitle_max", "min_fields": "min_fields", "min_blocks": "min_blocks"}
+        given = raw.get("shape_params") or {}
+        more = {names[k]: v for k, v in given.items() if k in names}
+        pattern = given.get("field_pattern") or given.get("term_pattern") or ""
+        files = raw.get("file_match")
+        if "\\w" in pattern and not pattern.startswith("(?"):
+            pattern = "(?U)" + pattern  # word characters of any script
+        return cls(raw["name"], raw["category"], raw["chunk_type"], raw["shape"], tuple(files) if files is not None else None, pattern=pattern, **more)
+
 
 @dataclass(frozen=True)
 class TermAssets:

@@ -70,7 +70,8 @@ def words(c: Column) -> Column:
 
 def has_phrase(text: Column, phrase: Column) -> Column:
     """The phrase stands in the text between word boundaries; an empty one does not."""
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), phrase, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    whole = F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), whole, F.lit(r"\E(?![\p{L}\p{N}_])"))
     return (phrase != "") & F.regexp_like(text, pattern)
 
 

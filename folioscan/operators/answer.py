@@ -70,11 +70,12 @@ def compose(items: DataFrame, grounded: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("slot"))
     role = F.when(F.col("slot") == 1, "primary").when(F.col("slot") == 3, "cross-section").otherwise("sibling")
     direct = F.size("hits") > 0
-    return chosen.select(
+    title = F.col("entry_title") if "entry_title" in items.columns else F.lit(None).cast("string")
+    return chosen.withColumn("entry_title", title).select(
         "query_id",
         F.format_string("seg_%d", number).alias("segment_id"),
         role.alias("role"),
-        "chunk_id", "document_id", "section_path", "source_id", "edition", "rank", "slot",
+        "chunk_id", "document_id", "section_path", "entry_title", "source_id", "edition", "rank", "slot",
         T.excerpt(F.col("content")).alias("text"),
         F.when(direct, "direct_support").otherwise("supported_inference").alias("support_type"),
     )

@@ -110,6 +110,11 @@ def definitions(blocks: DataFrame, kind: EntryType) -> DataFrame:
 
 
 def find_matches(blocks: DataFrame, kinds: list[EntryType], file: str = "file_name") -> DataFrame:
+    """Matches of all kinds, each in the files it is meant for."""
+    if not kinds:
+        none = {"start": "int", "fields_end": "int", "end": "int"}
+        names = ("start", "fields_end", "end", "entry_title", "entry_type", "entry_category", "entry_chunk_type", "shape_family")
+        return blocks.limit(0).select("file", *[F.lit(None).cast(none.get(n, "string")).alias(n) for n in names])
     shapes = {"entry_with_statblock": statblocks, "definition_list": definitions}
     parts = []
     for kind in kinds:

@@ -52,6 +52,7 @@ def citation_checks(gold: DataFrame, citations: DataFrame, edition: str) -> Data
         F.when(known, entry_matches(F.col("section_path"), F.col("entry_title"), expected_tail(path))).alias("entry_match"),
         (F.col("edition") == edition).alias("edition_match"),
         F.size(shared).alias("token_overlap"),
+        shared.alias("shared_tokens"),
         (F.size(shared) == 0).alias("citation_mismatch"),
     )
 

@@ -14,7 +14,17 @@ EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def _quoted(phrase: str) -> str:
-    return EDGE_L + r"\Q" + phrase + r"\E" + EDGE_R
+    return EDGE_L + _literal(phrase) + EDGE_R
+
+
+def _literal(phrase: str) -> str:
+    """The phrase as a pattern of itself."""
+    return "".join(ch if ch.isalnum() or ch in " _" else "\\" + ch for ch in phrase)
+
+
+def _target(text: str) -> str:
+    """The text as a replacement by itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
 def cleaned(c: Column) -> Column:
@@ -23,7 +33,7 @@ def cleaned(c: Column) -> Column:
 
 def with_aliases(c: Column, aliases: dict[str, str]) -> Column:
     """Aliases in order; what one puts in the next one may match."""
-    out = reduce(lambda x, kv: F.regexp_replace(x, _quoted(kv[0]), kv[1]), aliases.items(), c)
+    out = reduce(lambda x, kv: F.regexp_replace(x, _quoted(kv[0]), _target(kv[1])), aliases.items(), c)
     return T.strip(T.squeeze(out))
 
 
@@ -31,7 +41,7 @@ def aliases_applied(c: Column, aliases: dict[str, str]) -> Column:
     hits, now = [], c
     for source, target in aliases.items():
         hits.append(F.when(now.rlike(_quoted(source)), F.lit(source)))
-        now = F.regexp_replace(now, _quoted(source), target)
+        now = F.regexp_replace(now, _quoted(source), _target(target))
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
@@ -50,7 +60,7 @@ def tokens_of(c: Column, assets: TermAssets) -> Column:
     """Words, with protected phrases whole.  The alternation tries the longest
     phrase first at each word, then the word alone: a greedy longest match."""
     known = ordered_phrases(assets)
-    either = [r"\Q" + p + r"\E" + r"(?!\S)" for p in known] + [r"\S+"]
+    either = [_literal(p) + r"(?!\S)" for p in known] + [r"\S+"]
     return F.regexp_extract_all(c, F.lit(r"(?<!\S)(?:" + "|".join(either) + ")"), F.lit(0))
 
 

@@ -146,16 +146,17 @@ def composite_score() -> Column:
     return F.round(score, DIGITS)
 
 
-def retrieve(queries: DataFrame, index: Index, constraints: C.Constraints, k: int = 10, prefilter: bool = False) -> DataFrame:
+def retrieve(queries: DataFrame, index: Index, constraints: C.Constraints | None, k: int = 10, prefilter: bool = False) -> DataFrame:
     """Ranked candidates of every query.  The search takes 2k, hard filters and
     the rerank work on those, so fewer than k may be left; prefilter=True
-    filters before the search takes its rows."""
+    filters before the search takes its rows; constraints None filters nothing."""
+    refused = F.lit(None).cast("string") if constraints is None else rejection(constraints)
     scores = bm25(queries, index)
     meta = index.chunks
     if prefilter:
-        scores = scores.join(meta.filter(rejection(constraints).isNull()).select("chunk_id"), "chunk_id", "left_semi")
+        scores = scores.join(meta.filter(refused.isNull()).select("chunk_id"), "chunk_id", "left_semi")
     first = top(scores, "raw_score", 2 * k).drop("rank")
-    found = first.join(meta, "chunk_id").filter(rejection(constraints).isNull())
+    found = first.join(meta, "chunk_id").filter(refused.isNull())
     asked = queries.select("query_id", "normalized_text", "tokens", "protected_phrases")
     rated = match_signals(found.join(asked, "query_id")).withColumn("score", composite_score())
     return top(rated, "score", k)

@@ -126,6 +126,11 @@ def boilerplate_stub(config: BoundaryConfig) -> Column:
     )
 
 
+def is_legal_file(config: BoundaryConfig) -> Column:
+    """Files whose sections are all kept as they are."""
+    return F.lower("file_name").isin(*config.legal_files)
+
+
 def table_fragment(config: BoundaryConfig) -> Column:
     return (F.col("n_table_row") > 0) & ((F.col("n_paragraph") < 1) | (F.col("body_char_count") < config.fragment))
 
@@ -139,8 +144,10 @@ def boundary_decisions(sections: DataFrame, config: BoundaryConfig = BoundaryCon
     the group of each row."""
     is_entry = F.col("entry_index").isNotNull()
     size = F.count(F.lit(1)).over(Window.partitionBy("file"))
+    legal = is_legal_file(config) if "file_name" in sections.columns else F.lit(False)
     reason = (
-        F.when(is_entry, "entry_annotated")
+        F.when(legal, "legal_source_passthrough")
+        .when(is_entry, "entry_annotated")
         .when((F.col("section_no") == 1) & boilerplate_stub(config), "boilerplate_opener_stub")
         .when(table_label(), "table_label_title")
         .when(stat_field_lookalike(config), "stat_field_lookalike")
@@ -149,7 +156,7 @@ def boundary_decisions(sections: DataFrame, config: BoundaryConfig = BoundaryCon
         .otherwise("accepted_clean")
     )
     rated = sections.withColumn("reason_code", reason).withColumn("n_sections", size)
-    accepted = F.col("reason_code").isin("entry_annotated", "accepted_clean")
+    accepted = F.col("reason_code").isin("legal_source_passthrough", "entry_annotated", "accepted_clean")
     parts = number_heads(rated, ["file"], "section_no", accepted, "part")
     return parts.withColumn(
         "action",
@@ -160,6 +167,36 @@ def boundary_decisions(sections: DataFrame, config: BoundaryConfig = BoundaryCon
     )
 
 
+def promoted_heads(decided: DataFrame) -> DataFrame:
+    """The further decision of files whose head becomes a section of its own:
+    ahead of an entry, or because no section of the file is accepted."""
+    head = decided.filter("part = 0 and action = 'merged_forward'").groupBy("file").agg(
+        F.min_by("section_title", "section_no").alias("section_title"),
+        # contents are joined by blank lines
+        (F.sum("body_char_count") + 2 * (F.count(F.lit(1)) - 1)).cast("int").alias("body_char_count"),
+        F.max("n_sections").alias("n_sections"),
+    )
+    first = decided.filter("part = 1 and action = 'accepted'").select(
+        "file", F.col("section_no").alias("at"), F.col("reason_code").alias("code")
+    )
+    found = head.join(first, "file", "left").filter("code is null or code = 'entry_annotated'")
+    return found.select(
+        "file",
+        F.coalesce("at", F.col("n_sections") + 1).cast("int").alias("section_no"),
+        "section_title",
+        F.lit("accepted").alias("action"),
+        F.when(F.col("code").isNull(), "forward_bucket_promoted_fallback").otherwise("forward_bucket_promoted_before_entry").alias("reason_code"),
+        "body_char_count",
+    )
+
+
+def decision_log(decided: DataFrame) -> DataFrame:
+    """All decisions of a file: those of its sections, and those of its head."""
+    columns = ["file", "section_no", "section_title", "action", "reason_code", "body_char_count"]
+    own = decided.select("file", F.col("section_no").cast("int").alias("section_no"), *columns[2:])
+    return own.unionByName(promoted_heads(decided))
+
+
 def merge_sections(decided: DataFrame) -> DataFrame:
     """The kept sections of a file.  Its head goes before the first accepted
     section, or stands alone if that one is an entry or none is accepted."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +43,44 @@ def title_terms(docs: DataFrame) -> DataFrame:
 
 def content_terms(chunks: DataFrame) -> DataFrame:
     """Counts of runs of 2 to 5 plain lower-cased words, left to right without
-    overlap.  Counted per task before the exchange."""
-    runs = chunks.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(RUN), F.lit(0))).alias("run"))
-    phrases = runs.select(normal_phrase(F.col("run")).alias("phrase")).filter(acceptable(F.col("phrase")))
-    return phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    overlap.  A run is a normal phrase already, so runs are counted, per task
+    before the exchange, and only distinct ones are judged."""
+    runs = chunks.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(RUN), F.lit(0))).alias("phrase"))
+    counted = runs.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(acceptable(F.col("phrase")))
 
 
 def term_buckets(titles: DataFrame, counts: DataFrame, promote: int = 3, keep: int = 4) -> DataFrame:
-    """phrase, is_protected (a title, or promoted by a keyword), is_content."""
+    """phrase, is_protected (a title, or promoted by a keyword), is_content.  Each
+    phrase once, with both of its marks: the corpus is read once."""
     keyword = F.arrays_overlap(F.split("phrase", " "), F.array(*map(F.lit, TERM_KEYWORDS)))
-    promoted = counts.filter((F.col("n") >= promote) & keyword).select("phrase")
-    protected = titles.unionByName(promoted).distinct().withColumn("is_protected", F.lit(True))
-    frequent = counts.filter(F.col("n") >= keep).select("phrase", F.lit(True).alias("is_content"))
-    no = F.lit(False)
-    return protected.join(frequent, "phrase", "full").select(
-        "phrase", F.coalesce("is_protected", no).alias("is_protected"), F.coalesce("is_content", no).alias("is_content")
+    zero = F.lit(0).cast("long")
+    seen = titles.select("phrase", F.lit(True).alias("title"), zero.alias("n")).unionByName(
+        counts.filter(F.col("n") >= min(promote, keep)).select("phrase", F.lit(False).alias("title"), "n")
     )
+    by = seen.groupBy("phrase").agg(F.bool_or("title").alias("title"), F.max("n").alias("n"))
+    return by.select(
+        "phrase",
+        (F.col("title") | ((F.col("n") >= promote) & keyword)).alias("is_protected"),
+        (F.col("n") >= keep).alias("is_content"),
+    ).filter("is_protected or is_content")
+
+
+def term_assets(buckets: DataFrame, reviewed: list[str], aliases: dict[str, str], variants: dict[str, list[str]] | None = None) -> dict:
+    """The assets of retrieval: the reviewed phrases and maps as given, and the
+    mined phrases as candidates.  Candidates are a report for review, one line
+    per phrase of term_buckets."""
+    candidates = sorted(r["phrase"] for r in buckets.select("phrase").distinct().collect())
+    return {
+        "protected_phrases": sorted(set(reviewed)), "canonical_aliases": dict(aliases),
+        "surface_variants": dict(variants or {}), "extraction_candidates": candidates,
+    }
+
+
+def write_term_assets(assets: dict, root: str) -> list[str]:
+    """One JSON file per asset."""
+    folder = Path(root)
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, value in assets.items():
+        (folder / f"{name}.json").write_text(json.dumps(value, indent=2, ensure_ascii=True) + "\n", encoding="utf-8")
+    return sorted(f"{name}.json" for name in assets)

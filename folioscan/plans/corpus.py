@@ -15,7 +15,7 @@ from folioscan.operators import terms as R
 from folioscan.sources import markup, store
 
 from . import tables as D
-from .tables import CANONICAL_SQL, SPANS_SQL
+from .tables import CANONICAL_SQL, FILE_NAME_SQL, SPANS_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,11 +63,11 @@ def ext3_normal_text(spark, sf):
 
 @query(
     "sec1_slug",
-    r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug
+    r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug
     FROM documents""",
 )
 def sec1_slug(spark, sf):
-    return docs(spark, sf).select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 # --- blocks -------------------------------------------------------------------
@@ -316,7 +316,7 @@ def sec3_sections(spark, sf):
 DECISIONS_SQL = SECTIONS_SQL + r""",
 rated AS (
   SELECT s.*, count(*) OVER (PARTITION BY file) AS n_sections, CASE
-    WHEN entry_index IS NOT NULL THEN 'entry_annotated'
+    WHEN d.source = 'src9' THEN 'legal_source_passthrough' WHEN entry_index IS NOT NULL THEN 'entry_annotated'
     WHEN section_no = 1 AND body_char_count <= 220 AND (contains(lower(content), 'license') OR contains(lower(content), 'copyright')
       OR (section_slug = coalesce(nullif(regexp_replace(lower(d.source), '[^a-z0-9]+', '_', 'g'), ''), 'unknown') AND body_char_count < 40)) THEN 'boilerplate_opener_stub'
     WHEN contains(section_title, '|') OR starts_with(lower(section_title), 'table:') THEN 'table_label_title'
@@ -328,9 +328,9 @@ rated AS (
         AND lower(regexp_extract_all(section_title, '[A-Za-z]+')[-1]) IN ('and', 'or', 'the', 'of', 'to', 'for', 'a', 'an')) THEN 'suspicious_short_or_truncated'
     ELSE 'accepted_clean' END AS reason_code
   FROM sections s JOIN documents d ON d.doc_id = s.file),
-parted AS (SELECT *, sum((reason_code IN ('entry_annotated', 'accepted_clean'))::INT) OVER (PARTITION BY file ORDER BY section_no) AS part FROM rated),
+parted AS (SELECT *, sum((reason_code IN ('legal_source_passthrough', 'entry_annotated', 'accepted_clean'))::INT) OVER (PARTITION BY file ORDER BY section_no) AS part FROM rated),
 decisions AS MATERIALIZED (
-  SELECT *, CASE WHEN reason_code IN ('entry_annotated', 'accepted_clean') THEN 'accepted' WHEN reason_code = 'boilerplate_opener_stub' AND n_sections = 1 THEN 'dropped'
+  SELECT *, CASE WHEN reason_code IN ('legal_source_passthrough', 'entry_annotated', 'accepted_clean') THEN 'accepted' WHEN reason_code = 'boilerplate_opener_stub' AND n_sections = 1 THEN 'dropped'
     WHEN part > 0 AND reason_code <> 'boilerplate_opener_stub' THEN 'merged_backward' ELSE 'merged_forward' END AS action
   FROM parted)"""
 
@@ -341,9 +341,19 @@ def decisions(spark, sf) -> DataFrame:
     return S.boundary_decisions(sections(spark, sf).join(D.files(docs(spark, sf)), "file"), BOUNDARY)
 
 
-@query("sec12_decisions", f"WITH {DECISIONS_SQL} SELECT file, section_no, section_title, action, reason_code, body_char_count FROM decisions")
+@query(
+    "sec12_decisions",
+    f"""WITH {DECISIONS_SQL},
+    heads AS (SELECT file, arg_min(section_title, section_no) AS section_title, sum(body_char_count) + 2 * (count(*) - 1) AS body_char_count, max(n_sections) AS n_sections
+      FROM decisions WHERE part = 0 AND action = 'merged_forward' GROUP BY file),
+    firsts AS (SELECT file, section_no, reason_code FROM decisions WHERE part = 1 AND action = 'accepted')
+    SELECT file, section_no::INT AS section_no, section_title, action, reason_code, body_char_count::INT AS body_char_count FROM decisions
+    UNION ALL SELECT h.file, coalesce(f.section_no, h.n_sections + 1)::INT, h.section_title, 'accepted',
+      CASE WHEN f.file IS NULL THEN 'forward_bucket_promoted_fallback' ELSE 'forward_bucket_promoted_before_entry' END, h.body_char_count::INT
+    FROM heads h LEFT JOIN firsts f ON f.file = h.file WHERE f.file IS NULL OR f.reason_code = 'entry_annotated' """,
+)
 def sec12_decisions(spark, sf):
-    return decisions(spark, sf).select("file", "section_no", "section_title", "action", "reason_code", "body_char_count")
+    return S.decision_log(store.stored(decisions(spark, sf), "decisions"))
 
 
 CANON_SQL = DECISIONS_SQL + r""",
@@ -362,10 +372,10 @@ canon AS (
   SELECT 'src::' || d.source || '::' || lpad(section_no::VARCHAR, 3, '0') || '_' || section_slug AS document_id, file, section_no,
     CASE WHEN entry_category IS NOT NULL THEN entry_category || ' > ' || section_title ELSE d.source || ' > ' || section_title END AS path,
     CASE WHEN entry_category IS NOT NULL THEN section_title END AS entry_title,
-    d.source || '.txt#' || lpad(section_no::VARCHAR, 3, '0') || '_' || section_slug AS source_location,
+    __FILE_NAME__ || '#' || lpad(section_no::VARCHAR, 3, '0') || '_' || section_slug AS source_location,
     sha1(content) AS source_checksum, length(content) AS n_chars, entry_chunk_type AS chunk_type_hint,
     CASE WHEN entry_category IS NOT NULL AND stat_block_end_char > 0 THEN stat_block_end_char END AS cut_at
-  FROM merged m JOIN documents d ON d.doc_id = m.file)"""
+  FROM merged m JOIN documents d ON d.doc_id = m.file)""".replace("__FILE_NAME__", FILE_NAME_SQL)
 
 
 def canonical_sections(spark, sf) -> DataFrame:
@@ -501,9 +511,25 @@ def chk10_packing(spark, sf):
     return groups.select("doc_id", (F.col("no") + 1).alias("group_no"), "content")
 
 
-@query("chk14_validation", f"WITH {CHUNKS_SQL} SELECT chunk_id, 'empty_content' AS broken_rule FROM chunks WHERE content = ''")
+@query(
+    "chk14_validation",
+    f"""WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN length(content) < 60 THEN 'empty_content' WHEN source_id = 'src3' THEN 'unknown_type'
+      WHEN source_id = 'src5' THEN 'missing_locator' ELSE 'child_without_parent' END AS broken_rule
+    FROM chunks WHERE length(content) < 60 OR source_id IN ('src3', 'src5') OR split_origin = 'structure_cut' """,
+)
 def chk14_validation(spark, sf):
-    return K.invalid_chunks(chunks(spark, sf))
+    """All chunks, with faults put into those that have the marks named here."""
+    marked = lambda c, fault, none: F.when(fault, none).otherwise(F.col(c))
+    source = F.col("source_id")
+    faulty = chunks(spark, sf).select(
+        "chunk_id", "document_id",
+        marked("content", F.length("content") < 60, F.lit("")).alias("content"),
+        marked("chunk_type", source == "src3", F.lit("no_such_type")).alias("chunk_type"),
+        marked("section_path", source == "src5", F.array().cast("array<string>")).alias("section_path"),
+        "split_origin",
+        marked("parent_chunk_id", F.col("split_origin") == "structure_cut", F.lit(None).cast("string")).alias("parent_chunk_id"),
+    )
+    return K.invalid_chunks(faulty)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan import config as C
+from folioscan.config import Constraints
 from folioscan.functions import text as T
 from folioscan.operators import answer as A
 from folioscan.operators import evaluate as V
@@ -211,13 +212,29 @@ def ret4_top_search(spark, sf):
 
 @query(
     "ret6_constraints",
-    """SELECT 'edition' AS field, lang AS value FROM documents WHERE doc_id % 10 <> 0 GROUP BY lang
-    UNION ALL SELECT 'source_id', source FROM documents WHERE doc_id % 10 <> 0 GROUP BY source""",
+    """WITH registry AS (SELECT source || ' ' || lang AS edition, source, CASE WHEN count(*) % 4 = 0 THEN 'errata' WHEN count(*) % 2 = 0 THEN 'core' ELSE 'supplement' END AS source_type,
+      'level ' || (min(length(text)) % 3)::VARCHAR AS authority_level, CASE WHEN max(doc_id) % 3 = 0 THEN 'planned_later' ELSE 'admitted' END AS status
+      FROM documents WHERE text IS NOT NULL GROUP BY source, lang)
+    SELECT DISTINCT 'edition' AS field, edition AS value FROM registry WHERE status <> 'planned_later'
+    UNION ALL SELECT DISTINCT 'source_type', source_type FROM registry WHERE status <> 'planned_later'
+    UNION ALL SELECT DISTINCT 'authority_level', authority_level FROM registry WHERE status <> 'planned_later'
+    UNION ALL SELECT DISTINCT 'excluded', source FROM registry WHERE status = 'planned_later' """,
 )
 def ret6_constraints(spark, sf):
-    admitted = D.table(spark, sf, "documents").filter("doc_id % 10 <> 0")
-    field = lambda name, c: admitted.select(F.lit(name).alias("field"), F.col(c).alias("value")).distinct()
-    return field("edition", "lang").unionByName(field("source_id", "source"))
+    """A registry of all sources, and the limits that the operator takes from it."""
+    n = F.count(F.lit(1))
+    by = D.table(spark, sf, "documents").filter("text is not null").groupBy("source", "lang").agg(
+        F.when(n % 4 == 0, "errata").when(n % 2 == 0, "core").otherwise("supplement").alias("source_type"),
+        F.concat(F.lit("level "), (F.min(F.length("text")) % 3).cast("string")).alias("authority_level"),
+        F.when(F.max("doc_id") % 3 == 0, "planned_later").otherwise("admitted").alias("status"),
+    )
+    # a registry is a settings file: one row per source and language
+    entries = [r.asDict() | {"edition": f"{r['source']} {r['lang']}"} for r in by.collect()]
+    planned = sorted({r["source"] for r in entries if r["status"] == "planned_later"})
+    limits = Constraints.of(entries, tuple(planned))
+    rows = [("edition", v) for v in limits.editions] + [("source_type", v) for v in limits.source_types]
+    rows += [("authority_level", v) for v in limits.authority_levels] + [("excluded", v) for v in limits.excluded]
+    return spark.createDataFrame(rows, "field string, value string")
 
 
 @query(
@@ -476,7 +493,7 @@ def checked(spark, sf):
     f"WITH {CHECKS_SQL} SELECT *, token_overlap = 0 AS citation_mismatch FROM checks",
 )
 def evl5_citation_checks(spark, sf):
-    return checked(spark, sf)[0]
+    return checked(spark, sf)[0].drop("shared_tokens")
 
 
 OUTCOME_SQL = f"""{CHECKS_SQL},

@@ -84,9 +84,13 @@ def styled_spans(docs: DataFrame) -> DataFrame:
     )
     short = F.concat(F.substring("t", 1, 30), F.lit("\n"))
     one = lambda text, size: F.array(F.struct(text.alias("text"), size.alias("font_size"), F.lit(False).alias("bold")))
+    # what a title leaves of its line is a line of small text
+    following = F.when(
+        F.length("t") > 30, one(F.concat(F.expr("substring(t, 31)"), F.lit("\n")), F.lit(22))
+    ).otherwise(F.array().cast("array<struct<text:string,font_size:int,bold:boolean>>"))
     kinds = (
-        F.when(k == 0, one(short, F.lit(28)))
-        .when(k == 1, one(short, F.lit(24)))
+        F.when(k == 0, F.concat(one(short, F.lit(28)), following))
+        .when(k == 1, F.concat(one(short, F.lit(24)), following))
         .when(k.isin(2, 3), field)
         .otherwise(one(F.concat("t", F.lit("\n")), F.lit(24) - F.length("t") % 2 * 2))
     )
@@ -110,12 +114,16 @@ styled AS (
 spans AS (
   SELECT file, line * 2 AS span_no, left(t, 30) || chr(10) AS text, 28 AS font_size, false AS bold FROM styled WHERE k = 0
   UNION ALL SELECT file, line * 2, left(t, 30) || chr(10), 24, false FROM styled WHERE k = 1
+  UNION ALL SELECT file, line * 2 + 1, substring(t, 31) || chr(10), 22, false FROM styled WHERE k IN (0, 1) AND length(t) > 30
   UNION ALL SELECT file, line * 2, word || ':', 24, true FROM styled WHERE k IN (2, 3)
   UNION ALL SELECT file, line * 2 + 1, ' ' || rest || chr(10), 24, false FROM styled WHERE k IN (2, 3)
   UNION ALL SELECT file, line * 2, t || chr(10), 24 - length(t) % 2 * 2, false FROM styled WHERE k > 3)"""
 
 
 def files(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").alias("file"), F.concat(F.col("source"), F.lit(".txt")).alias("file_name"), F.col("source").alias("file_stem")
-    )
+    """One source is a legal text."""
+    name = F.when(F.col("source") == "src9", "Legal.rtf").otherwise(F.concat(F.col("source"), F.lit(".txt")))
+    return docs.select(F.col("doc_id").alias("file"), name.alias("file_name"), F.col("source").alias("file_stem"))
+
+
+FILE_NAME_SQL = "CASE WHEN d.source = 'src9' THEN 'Legal.rtf' ELSE d.source || '.txt' END"

@@ -14,6 +14,8 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.config import EntryType
+
 SOURCE_REF = "struct<source_id:string,title:string,edition:string,source_type:string,authority_level:string>"
 LOCATOR = (
     "struct<section_path:array<string>,entry_id:string,entry_title:string,"
@@ -76,7 +78,7 @@ def as_documents(canonical: DataFrame) -> DataFrame:
     )
     return canonical.select(
         "document_id", "source_ref.source_id", "source_ref.edition", "source_ref.source_type", "source_ref.authority_level",
-        "locator.section_path", "locator.source_location", "document_title", "content",
+        "locator.section_path", "locator.source_location", "locator.entry_title", "document_title", "content",
         F.when(F.col("processing_hints").isNotNull(), F.coalesce("processing_hints.chunk_type_hint", F.lit("subsection"))).alias("chunk_type_hint"),
         F.coalesce(cuts, F.array().cast("array<struct<offset:int,type:string>>")).alias("cuts"),
     )
@@ -87,7 +89,7 @@ def as_chunks(nested: DataFrame) -> DataFrame:
     number = F.coalesce(F.nullif(F.regexp_extract("chunk_id", r"child_(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
     return nested.select(
         "chunk_id", "document_id", "source_ref.source_id", "source_ref.edition", "source_ref.source_type",
-        "source_ref.authority_level", "locator.section_path", "chunk_type", "content", "parent_chunk_id",
+        "source_ref.authority_level", "locator.section_path", "locator.entry_title", "chunk_type", "content", "parent_chunk_id",
         "previous_chunk_id", "next_chunk_id", "chunk_version", "split_origin", number.alias("child_no"),
     )
 
@@ -100,6 +102,14 @@ def read_yaml(path: str) -> dict | list:
     return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
 
 
+def read_settings(path: str) -> dict:
+    """A settings file, JSON or YAML, that holds a mapping."""
+    data = json.loads(Path(path).read_text(encoding="utf-8")) if path.endswith(".json") else read_yaml(path)
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: a mapping is wanted")
+    return data
+
+
 def read_registry(path: str) -> list[dict]:
     data = json.loads(Path(path).read_text(encoding="utf-8")) if path.endswith(".json") else read_yaml(path)
     if not isinstance(data, dict) or not isinstance(data.get("sources", []), list):
@@ -107,6 +117,14 @@ def read_registry(path: str) -> list[dict]:
     return data.get("sources", [])
 
 
+def read_content_types(path: str) -> list[EntryType]:
+    """The entry types of a content-type registry, in its order."""
+    data = json.loads(Path(path).read_text(encoding="utf-8")) if path.endswith(".json") else read_yaml(path)
+    if not isinstance(data, dict) or not isinstance(data.get("content_types"), list):
+        raise ValueError(f"{path}: a mapping with a list `content_types` is wanted")
+    return [EntryType.of(entry) for entry in data["content_types"]]
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold cases: a list of mappings, each with all seven fields."""
     data = json.loads(Path(path).read_text(encoding="utf-8")) if path.endswith(".json") else read_yaml(path)

@@ -33,23 +33,28 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, the newest last."""
+    p, fs = _fs(spark, f"{root}/CURRENT")
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes the tables as a new version under root, then points CURRENT at it;
-    a failed write leaves the old version in place."""
+    """Writes the tables as a new version under root, then marks it as the
+    newest by one empty file; at every moment readers find a whole version."""
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
+    last = _versions(spark, root)
+    version = f"{int(last[-1].split('-')[0]) + 1 if last else 1:012d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").parquet(f"{root}/CURRENT.next")
-    here, fs = _fs(spark, f"{root}/CURRENT.next")
-    there, _ = _fs(spark, f"{root}/CURRENT")
-    fs.delete(there, True)
-    if not fs.rename(here, there):
+    mark, fs = _fs(spark, f"{root}/CURRENT/{version}")
+    if not fs.createNewFile(mark):
         raise OSError(f"could not publish {root}")
     return version
 
 
 def published(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
-    version = spark.read.parquet(f"{root}/CURRENT").first()[0]
-    return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
+    found = _versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"nothing is published under {root}")
+    return {n: spark.read.parquet(f"{root}/{found[-1]}/{n}") for n in names}

@@ -196,3 +196,110 @@ def test_preview(spark):
     text = panels.preview(made)
     assert "| `generic` | 2 |" in text and "- path: a > b" in text and "4\n...\n" in text and "5" not in text
     assert panels.preview(made.limit(0)) == "No chunks.\n"
+
+
+SECTION = (
+    "file string, file_name string, file_stem string, section_no int, section_title string, section_slug string, content string, "
+    "body_char_count int, block_start_index int, block_end_index int, title_starts_with_bold boolean, n_table_row int, n_paragraph int, entry_index int"
+)
+
+
+def section_rows(spark, name, *rows):
+    """rows: (title, content, is_entry)."""
+    made = [
+        (name, name, name.split(".")[0], i + 1, t, t.lower(), c, len(c), i, i, False, 0, 1, i if e else None)
+        for i, (t, c, e) in enumerate(rows)
+    ]
+    return spark.createDataFrame(made, SECTION)
+
+
+LONG = "A line of text that is long enough for a section of its own, with a stop."
+
+
+def log_of(spark, name, *rows):
+    from folioscan.config import BoundaryConfig
+
+    decided = sections.boundary_decisions(section_rows(spark, name, *rows), BoundaryConfig(boilerplate=("license",)))
+    log = sorted((r.section_no, r.action, r.reason_code, r.body_char_count) for r in sections.decision_log(decided).collect())
+    return log, decided
+
+
+def test_legal_files_pass(spark):
+    log, _ = log_of(spark, "Legal.rtf", ("Open", "license", False), ("And", "x", False))
+    assert log == [(1, "accepted", "legal_source_passthrough", 7), (2, "accepted", "legal_source_passthrough", 1)]
+    log, _ = log_of(spark, "Other.rtf", ("Opening", "license", False), ("Whole Thing", LONG, False))
+    assert [x[1:3] for x in log] == [("merged_forward", "boilerplate_opener_stub"), ("accepted", "accepted_clean")]
+
+
+def test_heads_before_entries_stand_alone(spark):
+    log, decided = log_of(spark, "a.rtf", ("Opening", "license", False), ("And", "short", False), ("Fire", LONG, True))
+    assert log == [
+        (1, "merged_forward", "boilerplate_opener_stub", 7), (2, "merged_forward", "suspicious_short_or_truncated", 5),
+        (3, "accepted", "entry_annotated", len(LONG)), (3, "accepted", "forward_bucket_promoted_before_entry", 14),
+    ]
+    log, _ = log_of(spark, "b.rtf", ("Opening", "license", False), ("And", "short", False))
+    assert log[-1] == (3, "accepted", "forward_bucket_promoted_fallback", 14)
+    log, _ = log_of(spark, "c.rtf", ("Opening", "license", False))
+    assert log == [(1, "dropped", "boilerplate_opener_stub", 7)]
+
+
+def test_slices_by_rule():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b ", "c. ", "\n", "\n\n", "dd", ". "]) for _ in range(rng.randrange(0, 60)))
+        limit = rng.randrange(2, 20)
+        pieces = chunks.slice_text(text, limit)
+        flat = lambda s: s.replace("\n", "").replace(" ", "")
+        assert flat("".join(pieces)) == flat(text) and all(len(p) <= limit for p in pieces) and "" not in pieces
+        at = 0
+        for p in pieces[:-1]:
+            at = text.index(p, at)
+            end, window = at + len(p), text[at : at + limit]
+            if "\n\n" in window.lstrip("\n") and window.find("\n\n", 1) > 0:
+                assert text[end : end + 1] == "\n"  # a blank line comes before every other mark
+            elif len(p) == limit and text[end - 1] != ".":
+                assert "\n" not in window[1:] and ". " not in window[1:]
+            at = end
+    assert chunks.slice_text("One. Two three. Four", 12) == ["One.", "Two three.", "Four"]
+    assert chunks.slice_text("one\ntwo. three four", 10) == ["one\ntwo.", "three four"]
+    assert chunks.slice_text("abcdefgh", 3) == ["abc", "def", "gh"] and chunks.slice_text("x\n", 9) == ["x\n"] and chunks.slice_text(None, 3) == []
+
+
+def test_marks_in_phrases_and_targets(spark):
+    terms = TermAssets({"a+b": r"c$1 \d", r"x\ey": "plain"}, (r"p\eq", "r*s"))
+    text = F.lit(r"see a+b and x\ey or p\eq or r*s")
+    assert value(spark, normalize.with_aliases(text, terms.aliases)) == r"see c$1 \d and plain or p\eq or r*s"
+    assert value(spark, normalize.phrases_in(text, terms)) == [r"p\eq", "r*s"]
+    assert value(spark, T.has_phrase(F.lit(r"a p\Eq b"), F.lit(r"p\Eq"))) is True
+
+
+def test_term_buckets_and_assets(spark, tmp_path):
+    import json
+
+    from folioscan.operators import terms
+
+    titles = spark.createDataFrame([("old title",)], "phrase string")
+    counts = spark.createDataFrame([("old title", 9), ("attack roll", 3), ("plain words", 4), ("rare words", 3)], "phrase string, n long")
+    got = {r.phrase: (r.is_protected, r.is_content) for r in terms.term_buckets(titles, counts).collect()}
+    assert got == {"old title": (True, True), "attack roll": (True, False), "plain words": (False, True)}
+    assets = terms.term_assets(terms.term_buckets(titles, counts), ["b c", "a b"], {"x": "y"})
+    assert assets["protected_phrases"] == ["a b", "b c"] and assets["extraction_candidates"] == sorted(got)
+    assert terms.write_term_assets(assets, str(tmp_path)) == ["canonical_aliases.json", "extraction_candidates.json", "protected_phrases.json", "surface_variants.json"]
+    assert json.loads((tmp_path / "canonical_aliases.json").read_text()) == {"x": "y"}
+
+
+def test_entry_types_from_a_registry(tmp_path):
+    import json
+
+    from folioscan.sources import scan
+
+    path = tmp_path / "types.json"
+    kind = {"name": "n", "category": "C", "chunk_type": "t", "shape": "definition_list", "shape_params": {"min_blocks": 5, "term_pattern": r"^\w+:"}}
+    path.write_text(json.dumps({"content_types": [kind, kind | {"file_match": ["A*.rtf"]}]}))
+    first, second = scan.read_content_types(str(path))
+    assert (first.files, first.min_blocks, first.pattern) == (None, 5, r"(?U)^\w+:") and second.files == ("A*.rtf",)
+    path.write_text("[]")
+    with pytest.raises(ValueError):
+        scan.read_content_types(str(path))

@@ -92,3 +92,46 @@ def test_index_stream(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     index_stream(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ix/postings")).select("chunk_id").distinct().count() == spark.read.parquet(source).count()
+
+
+def rich(*lines):
+    """A rich text of (text, size, bold) lines."""
+    return b"{\\rtf1 " + b"".join(b"{\\fs%d%s %s}\\par\n" % (size, b"\\b" if bold else b"", text.encode()) for text, size, bold in lines) + b"}"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Files to documents, chunks, an index, an answer and a report; entries come
+    from a registry and give their titles to citations."""
+    from folioscan import cli
+
+    root = tmp_path / "raw"
+    root.mkdir()
+    body = "The flame burns all creatures near the caster, and each of them takes damage at once. " * 2
+    (root / "Spells.rtf").write_bytes(
+        rich(("Fire Ball", 28, False), ("Evocation", 24, False), ("Level: 3", 24, True), ("Range: far", 24, True), (body, 24, False))
+    )
+    (root / "Plain.rtf").write_bytes(rich(("Combat Rules", 28, False), (body.replace("flame", "blade"), 24, False), (body, 24, False)))
+    kind = {"name": "spell", "category": "Spells", "chunk_type": "spell_entry", "shape": "entry_with_statblock", "file_match": ["Spell*.rtf"]}
+    (tmp_path / "types.json").write_text(json.dumps({"content_types": [kind]}))
+    case = dict.fromkeys(("question_type", "expected_answer_notes"), "x") | {"expected_source_ids": ["s"], "expected_behavior": "direct_answer"}
+    cases = [case | {"eval_id": "c1", "question": "fire ball", "expected_section_or_entry": ["Spells", "Fire Ball"]}]
+    cases += [case | {"eval_id": "c2", "question": "no such thing", "expected_section_or_entry": [], "expected_behavior": "abstain"}]
+    (tmp_path / "gold.json").write_text(json.dumps(cases))
+    (tmp_path / "chunking.json").write_text(json.dumps({"child_threshold_chars": 50}))
+    at = lambda n: str(tmp_path / n)
+    cli.ingest(spark, cli.parser().parse_args(["ingest", "--root", str(root), "--output", at("docs"), "--source-id", "s", "--edition", "e", "--source-type", "core", "--types", at("types.json"), "--extracted", at("ext")]))
+    docs = {r.document_title: r for r in spark.read.parquet(at("docs")).collect()}
+    assert docs["Fire Ball"].entry_title == "Fire Ball" and docs["Fire Ball"].section_path == ["Spells", "Fire Ball"] and docs["Combat Rules"].entry_title is None
+    assert spark.read.parquet(at("ext/text")).count() == 2 and spark.read.parquet(at("ext/decisions")).filter("reason_code = 'entry_annotated'").count() == 1
+    cli.chunk(spark, cli.parser().parse_args(["chunk", "--documents", at("docs"), "--output", at("chunks"), "--settings", at("chunking.json")]))
+    assert spark.read.parquet(at("chunks")).filter("parent_chunk_id is not null and entry_title = 'Fire Ball'").count() > 0
+    cli.build(spark, cli.parser().parse_args(["index", "--chunks", at("chunks"), "--output", at("ix")]))
+    cli.show(spark, cli.parser().parse_args(["answer", "--query", "fire ball", "--index", at("ix"), "--text"]))
+    out = capsys.readouterr().out
+    assert "ANSWER (" in out and "locator: Spells > Fire Ball" in out and "Candidates entering shaping" in out
+    cli.run_evaluation(spark, cli.parser().parse_args(["evaluate", "--gold", at("gold.json"), "--index", at("ix"), "--edition", "e", "--json", at("r/r.json"), "--markdown", at("r/r.md")]))
+    report = json.loads((tmp_path / "r/r.json").read_text())
+    assert report["case_count"] == 2 and report["tag_counts"]["_clean"] == 2 and report["behavior_match_rate"] == 1.0
+    first = report["cases"][0]
+    assert first["actual_summary"]["citations"][0]["entry_title"] == "Fire Ball" and first["citation_checks"][0]["entry_match"] is True
+    assert "_2 clean cases (c1, c2)_" in (tmp_path / "r/r.md").read_text() and "_No failing cases._" in (tmp_path / "r/r.md").read_text()
