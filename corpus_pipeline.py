@@ -1,6 +1,13 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
 Part of the training-data subpackage: it is deleted with it.
+
+Defined results, for every stage: columns beyond those of documents stay, under
+any name; repeated rows are rows of their own; an empty table gives an empty one.
+Null and empty texts are not toxic, share the fingerprint zero (so one of them
+stays), hold no benchmark passage, and have no words, so the mix leaves them out.
+A null doc_id is an id like any other.  Rows that are equal in every column are
+told apart by nothing, so near-dedup keeps one of them.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import decontamination, mixing, sharding, simhash, toxicity
-from folioscan.llm.common import fresh, scratch_path
+from folioscan.llm.common import drop_scratch, fresh, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,18 +35,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies one document with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return found.filter(F.col("contamination")["n_hit"] == 0).select(*docs.columns)
+    name = fresh(docs, "contamination")
+    found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"), name=name)
+    return found.filter(F.col(name)["n_hit"] == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all up to three times."""
+    """Documents as often as the mix takes them, not at all up to three times, in
+    the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
@@ -62,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, last = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_scratch(spark, last)
+        last = path
     return docs
