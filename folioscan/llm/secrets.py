@@ -9,9 +9,9 @@ kind `guess`, unless a base span already covers them; the values of base
 assignments are rated too, so that placeholders can be told from credentials.
 
 Words are those of a short fixed list of password words, and the words of the
-corpus (corpus_words): a word costs its share of all word contexts, the distinct
-words that it follows.  Contexts, not occurrences, are counted, so that a secret
-in many copies of a text does not become a word.
+corpus (corpus_words), which cost their share of all words.  A word of the corpus
+is one that follows many different words, so that a secret in many copies of a
+text does not become one.
 
 Defined results: null and empty texts hold nothing; overlapping kinds are all
 kept; offsets are code points, end exclusive; repeated rows repeat; extra
@@ -63,9 +63,10 @@ WORDS = (
     "from have not was key your name none null true false enter here placeholder redacted xxxx"
 ).split()
 _RANK = {w: log2(i + 2) for i, w in enumerate(WORDS)}
-#: Longest word of the corpus that counts, the fewest contexts of one, and its
-#: least share of all contexts: at most 1 / MIN_SHARE words reach that.
-LONGEST, MIN_CONTEXTS, MIN_SHARE = 24, 20, 1e-5
+#: Longest word of the corpus that counts; the fewest contexts of one, out of 64
+#: classes of the words before it; and its least share of all words: at most
+#: 1 / MIN_SHARE words reach that.
+LONGEST, MIN_CONTEXTS, MIN_SHARE = 24, 16, 1e-5
 _LEET = str.maketrans("013457@$!", "oleasta" + "si")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -196,23 +197,24 @@ def spans_of(text: str | None, guesser: Guesser = _PLAIN) -> list[tuple[str, int
 
 
 def corpus_words(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE) -> dict[str, float]:
-    """Words of all texts (runs of letters, lower-cased) with their costs in bits,
-    from the number of distinct words that each follows.  What comes to the
-    driver is bounded by 1 / min_share words."""
+    """Words of all texts (runs of letters, lower-cased) with their costs in bits.
+    A word's contexts are one mask of 64 classes of the words before it, which
+    tasks merge before the exchange.  What comes to the driver is bounded by
+    1 / min_share words."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{3,{LONGEST}}}"), F.lit(0))
     lists = docs.filter("text is not null").select(words.alias("w")).filter(F.size("w") > 1)
     n = F.size("w") - 1
     pairs = F.zip_with(
         F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n),
-        lambda x, y: F.struct(F.xxhash64(x).alias("after"), y.alias("word")),
+        lambda x, y: F.struct(F.pmod(F.xxhash64(x), F.lit(64)).cast("int").alias("class"), y.alias("word")),
     )
-    contexts = materialize(
-        lists.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.*").distinct().groupBy("word").count(),
-        "word-contexts",
+    seen = lists.select(F.explode(pairs).alias("p")).select("p.word", F.expr("shiftleft(1L, p.class)").alias("mask"))
+    counted = materialize(
+        seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or("mask")).alias("contexts")), "word-contexts"
     )
-    total = contexts.agg(F.sum("count")).first()[0] or 0
-    common = contexts.filter((F.col("count") >= min_contexts) & (F.col("count") >= min_share * total)).collect()
-    return {r["word"]: log2(total / r["count"]) + 1 for r in common}
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = counted.filter((F.col("contexts") >= min_contexts) & (F.col("n") >= min_share * total)).collect()
+    return {r["word"]: log2(total / r["n"]) + 1 for r in common}
 
 
 SPANS = "spans array<struct<kind:string,start:bigint,end:bigint,bits:double>>"
