@@ -568,52 +568,57 @@ def test_secrets(spark, docs):
     assert out.columns == [*docs.columns, "secrets"] and out.filter("secrets is null").count() == 0
 
 
+_LETTERS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+
+def _run(text, i, allowed):
+    j = i
+    while j < len(text) and text[j] in allowed:
+        j += 1
+    return j
+
+
+def plain_scan(text):
+    """Base spans of a text, letter by letter."""
+    out, i = [], 0
+    while i < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(n)].lower() == n and text[i : i + len(n)].isascii()), None)
+        if name:
+            j = i + len(name)
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            j = _run(text, j, " ")
+            if text[j : j + 1] in (":", "=") and j < len(text):
+                j = _run(text, j + 1, " ")
+                j += text[j : j + 1] in ("'", '"') and j < len(text)
+                end = _run(text, j, _LETTERS)
+                if end > j:
+                    if end - j >= 8:
+                        out.append(("assign", i, end))
+                    i = end
+                    continue
+        i += 1
+    for kind, first, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            end = _run(text, i + len(first), allowed) if text.startswith(first, i) else i
+            if end > i + len(first) or (end > i and not first):
+                if end - i >= least:
+                    out.append((kind, i, end))
+                i = end
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
 def test_secrets_against_plain_patterns():
     """Base spans of random texts against a scan letter by letter."""
     rng = random.Random(12)
-    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
     bits = ["password", "PassWD", "secret", "token", "apikey", "API_KEY", '"', "'", " ", "  ", ":", "=", "AKIA", "abc123", "ABCDEFGHIJKL12", "deadbeef" * 4, "0a" * 17, "é", "\n", "zz"]
 
-    def run(text, i, allowed):
-        j = i
-        while j < len(text) and text[j] in allowed:
-            j += 1
-        return j
-
-    def scan(text):
-        out, i = [], 0
-        while i < len(text):
-            name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(n)].lower() == n and text[i : i + len(n)].isascii()), None)
-            if name:
-                j = i + len(name)
-                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
-                j = run(text, j, " ")
-                if text[j : j + 1] in (":", "=") and j < len(text):
-                    j = run(text, j + 1, " ")
-                    j += text[j : j + 1] in ("'", '"') and j < len(text)
-                    end = run(text, j, letters)
-                    if end > j:
-                        if end - j >= 8:
-                            out.append(("assign", i, end))
-                        i = end
-                        continue
-            i += 1
-        for kind, first, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
-            i = 0
-            while i < len(text):
-                end = run(text, i + len(first), allowed) if text.startswith(first, i) else i
-                if end > i + len(first) or (end > i and not first):
-                    if end - i >= least:
-                        out.append((kind, i, end))
-                    i = end
-                else:
-                    i += 1
-        return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
-
     for _ in range(3000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
         got = [s for s in secrets.spans_of(text) if s[0] != "guess"]
-        assert got == scan(text), text
+        assert got == plain_scan(text), text
 
 
 def test_corpus_words_decide(spark):
