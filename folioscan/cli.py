@@ -98,6 +98,9 @@ def show(spark, args) -> None:
             print("\n\n".join(render.answer_text(named, evidence.traces(found))))
             return
         out = answer.to_json(whole)
+        if args.debug and args.registry:
+            refused = retrieve.rejected(queries, index.open_index(spark, args.index), Constraints.of(scan.read_registry(args.registry)), args.top_k)
+            print("\n".join(refused.toJSON().collect()))
         if args.debug:
             for table in (panels.candidate_rows(items).orderBy("rank"), answer.slot_decisions(items, decided), panels.segment_rows(segments), panels.citation_rows(segments)):
                 for line in table.toJSON().collect():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
+from string import ascii_lowercase
 
 # Score boosts (subtracted; lower scores are better) and priors by chunk type.
 PATH_BOOST, EXACT_BOOST, PROTECTED_BOOST, OVERLAP_BOOST = 2.0, 1.5, 1.0, 0.1
@@ -62,9 +64,20 @@ LEGAL_TOKENS = ("legal", "license", "ogl")
 LEGAL_PHRASES = ("open game license", "open game content")
 # Last words of cut-off titles.
 TRUNCATED_SUFFIXES = ("and", "or", "the", "of", "to", "for", "a", "an")
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters with one mark over a letter of a to z, and those letters."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2 and parts[0] in ascii_lowercase and unicodedata.combining(parts[1]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 #: Letters with marks and what they fold to, for index terms.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+FOLD_FROM, FOLD_TO = _folds()
 
 
 @dataclass(frozen=True)

@@ -146,6 +146,14 @@ def composite_score() -> Column:
     return F.round(score, DIGITS)
 
 
+def rejected(queries: DataFrame, index: Index, constraints: C.Constraints, k: int = 10) -> DataFrame:
+    """query_id, chunk_id and reason of what the search found and the hard
+    filters refused, among the 2k rows that retrieve looks at."""
+    first = top(bm25(queries, index), "raw_score", 2 * k).select("query_id", "chunk_id")
+    told = first.join(index.chunks, "chunk_id").select("query_id", "chunk_id", rejection(constraints).alias("reason"))
+    return told.filter("reason is not null")
+
+
 def retrieve(queries: DataFrame, index: Index, constraints: C.Constraints | None, k: int = 10, prefilter: bool = False) -> DataFrame:
     """Ranked candidates of every query.  The search takes 2k, hard filters and
     the rerank work on those, so fewer than k may be left; prefilter=True
@@ -155,8 +163,7 @@ def retrieve(queries: DataFrame, index: Index, constraints: C.Constraints | None
     meta = index.chunks
     if prefilter:
         scores = scores.join(meta.filter(refused.isNull()).select("chunk_id"), "chunk_id", "left_semi")
-    first = top(scores, "raw_score", 2 * k).drop("rank")
-    found = first.join(meta, "chunk_id").filter(refused.isNull())
+    found = top(scores, "raw_score", 2 * k).drop("rank").join(meta, "chunk_id").filter(refused.isNull())
     asked = queries.select("query_id", "normalized_text", "tokens", "protected_phrases")
     rated = match_signals(found.join(asked, "query_id")).withColumn("score", composite_score())
     return top(rated, "score", k)

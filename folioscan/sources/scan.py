@@ -53,21 +53,26 @@ def read_rich_text(spark: SparkSession, root: str, limit: int | None = None) ->
     return files if limit is None else files.orderBy("file_name").limit(limit)
 
 
-def _json(spark: SparkSession, path: str, schema: str, without: tuple[str, ...]) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, without: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.filter(~F.col("_metadata.file_name").isin(*without))
+    kept = rows.filter(~F.col("_metadata.file_name").isin(*without))
+    # a file without one of these is an error, as any other broken file
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in required]
+    told = F.concat(F.lit("missing "), F.array_join(F.array(*missing), ", "), F.lit(" in "), F.col("_metadata.file_path"))
+    whole = F.size(F.array_compact(F.array(*missing))) == 0
+    return kept.filter(F.when(whole, True).otherwise(F.raise_error(told).cast("boolean")))
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     """Canonical documents, one JSON file each, of one source only."""
-    rows = _json(spark, path, CANONICAL, ("canonical_report.json",))
+    rows = _json(spark, path, CANONICAL, ("canonical_report.json",), ("document_id", "source_ref", "locator", "content"))
     if rows.select("source_ref.source_id").distinct().limit(2).count() > 1:
         raise ValueError("documents of more than one source")
     return rows
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, CHUNK, ("chunk_report.json",))
+    return _json(spark, path, CHUNK, ("chunk_report.json",), ("chunk_id", "document_id", "source_ref", "locator", "content"))
 
 
 def as_documents(canonical: DataFrame) -> DataFrame:
@@ -182,8 +187,10 @@ def fetch(manifest: dict, root: str, dry_run: bool = False, force: bool = False,
     plan = {"source_id": manifest["source_id"], "url": artifact["url"], "archive": str(target), "expanded": str(expanded)}
     if dry_run:
         return plan
-    if force:
-        shutil.rmtree(expanded, ignore_errors=True)
+    if force and expanded.exists():
+        if expanded == Path(root).resolve() or expanded in raw.parents or not expanded.is_dir():
+            raise ValueError(f"{expanded} is no folder of its own to delete")
+        shutil.rmtree(expanded)
     raw.mkdir(parents=True, exist_ok=True)
     if force or not target.exists():
         part = target.with_name(target.name + ".download")

@@ -303,3 +303,20 @@ def test_entry_types_from_a_registry(tmp_path):
     path.write_text("[]")
     with pytest.raises(ValueError):
         scan.read_content_types(str(path))
+
+
+def test_folded_letters(spark):
+    assert value(spark, T.index_terms(F.lit("Čapek Éàñ ǎ"))) == ["capek", "ean", "a"]
+
+
+def test_rejected_rows_have_reasons(spark):
+    from folioscan.operators import index
+
+    columns = "chunk_id string, document_id string, content string, section_path array<string>, chunk_type string, source_id string, edition string, source_type string, authority_level string, parent_chunk_id string, previous_chunk_id string, next_chunk_id string, child_no int"
+    rows = [(f"c{i}", f"d{i}", "fire ball burns", ["a"], "generic", "s", e, "core", "primary", None, None, None, 0) for i, e in enumerate(["x", "y", "x"])]
+    made = index.build_index(spark.createDataFrame(rows, columns))
+    queries = normalize.normalize(spark.createDataFrame([(1, "fire ball")], "query_id long, raw_query string"))
+    limits = Constraints(("x",), ("core",), ("primary",))
+    assert [(r.chunk_id, r.reason) for r in retrieve.rejected(queries, made, limits).collect()] == [("c1", "edition 'y' not in ['x']")]
+    assert {r.chunk_id for r in retrieve.retrieve(queries, made, limits).collect()} == {"c0", "c2"}
+    assert retrieve.retrieve(queries, made, None).count() == 3

@@ -135,3 +135,16 @@ def test_command_line(spark, tmp_path, capsys):
     first = report["cases"][0]
     assert first["actual_summary"]["citations"][0]["entry_title"] == "Fire Ball" and first["citation_checks"][0]["entry_match"] is True
     assert "_2 clean cases (c1, c2)_" in (tmp_path / "r/r.md").read_text() and "_No failing cases._" in (tmp_path / "r/r.md").read_text()
+
+
+def test_scans_want_their_keys(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"document_id": "d", "source_ref": {"source_id": "s"}, "content": "x"}))
+    with pytest.raises(Exception, match="missing locator"):
+        scan.read_canonical(spark, str(tmp_path)).collect()
+
+
+def test_fetch_deletes_only_a_folder_of_its_own(tmp_path):
+    manifest = {"source_id": "s", "artifact": {"url": "file:///none", "file_name": "a.zip"}, "local_layout": {"raw_root": "raw", "expanded_root": "."}}
+    with pytest.raises(ValueError, match="no folder of its own"):
+        scan.fetch(manifest, str(tmp_path), force=True)
+    assert tmp_path.exists()
