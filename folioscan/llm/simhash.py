@@ -1,14 +1,19 @@
 """SimHash near-dedup by Golay-code fuzzy hashing.
 
-A fingerprint of 64 bits is cut into segments of 23, 23 and 18 bits (the last
-one padded with zeros).  Two fingerprints that differ in 3 bits or fewer have
-two segments that each differ in one bit or none.  The perfect Golay code
-[23, 12, 7] decodes every segment to one codeword within distance 3; a segment
-that differs in one bit from it then lies within distance 4 of that codeword,
-and at most 6 codewords are so near.  So one side is keyed by the codeword
-indices of two segments (3 keys), the other by all near ones (up to 36 for each
-of 3 pairs); the sides are joined on the key and each pair is verified by its
-differing bits.
+A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits, padded with
+zeros to 23.  The perfect Golay code [23, 12, 7] decodes every segment to one
+codeword within distance 3; a segment that differs in one bit from it then lies
+within distance 4 of that codeword, and at most 6 codewords are so near.
+
+Two fingerprints that differ in 3 bits or fewer either have an equal segment, and
+then another that differs in one bit or none, or differ in just one bit of each
+segment.  So they are keyed in two ways: by one segment's bits with the codeword
+of another (6 kinds), and by the codewords of the first two segments with one
+half of the third, which must be equal, and the parities that must differ (2
+kinds).  One side is keyed by its own codewords (8 keys), the other by all near
+ones (up to 6 for each of the 6 kinds, 36 for each of the 2); the sides are joined
+on the key and each pair is verified by its differing bits.  A key holds 33 bits
+or more, so that the pairs that are verified in vain stay few.
 
 Equal fingerprints are one node, so groups of copies cost one row.  A key with
 very many fingerprints is refined by the four 16-bit blocks, one of which must
@@ -36,8 +41,11 @@ from .graph import connected_components
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: First bit and length of each segment, and of the halves of the last one.
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
+HALVES = ((43, 10), (53, 11))
+#: Kinds of keys with an equal segment: that one, and the one near a codeword.
+EQUAL = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 #: Keys with more fingerprints than this are refined by equal 16-bit blocks.
 CROWDED = 2_000
 #: Generator polynomial of the binary Golay code.
@@ -63,12 +71,12 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return nearest, one
 
 
-def near_indices(segments: np.ndarray) -> np.ndarray:
-    """Six columns: the indices of the codewords within distance 4 of each
-    segment, padded with -1.  They are what the segment and its 23 neighbours
-    decode to."""
+def near_indices(segments: np.ndarray, bits: int = 23) -> np.ndarray:
+    """Six columns: the indices of the codewords that the segments, and those
+    that differ from them in one of their bits, decode to, padded with -1.
+    They lie within distance 4, hence six at most."""
     nearest, one = _golay()
-    around = np.concatenate([segments[:, None], segments[:, None] ^ one[None, :].astype(np.int64)], axis=1)
+    around = np.concatenate([segments[:, None], segments[:, None] ^ one[None, :bits].astype(np.int64)], axis=1)
     found = np.sort(nearest[around].astype(np.int64), axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
     return np.sort(found, axis=1)[:, :-7:-1]
@@ -105,17 +113,32 @@ def fingerprints(column: str) -> Column:
     return F.pandas_udf(_fingerprints, "bigint").asNondeterministic()(column)
 
 
+def _bits(values: np.ndarray, place: tuple[int, int]) -> np.ndarray:
+    return ((values >> np.uint64(place[0])) & np.uint64((1 << place[1]) - 1)).astype(np.int64)
+
+
 def _keys(values: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(position, key) of all keys: of each segment's own codeword alone, or of
-    all near ones."""
-    parts = [((values >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in SEGMENTS]
-    near = [near_indices(p) if every else _golay()[0][p].astype(np.int64)[:, None] for p in parts]
+    """(position, key) of all keys: of the segments' own codewords alone, or of
+    all near ones, with the parities turned."""
+    parts = [_bits(values, s) for s in SEGMENTS]
+    if every:
+        near = [near_indices(p, n) for p, (_, n) in zip(parts, SEGMENTS, strict=True)]
+    else:
+        near = [_golay()[0][p].astype(np.int64)[:, None] for p in parts]
     at, keys = [], []
-    for k, (i, j) in enumerate(PAIRS):
-        left, right = near[i][:, :, None], near[j][:, None, :]
-        row, a, b = np.nonzero((left >= 0) & (right >= 0))
+    for kind, (i, j) in enumerate(EQUAL):
+        row, a = np.nonzero(near[j] >= 0)
+        at.append(row)
+        keys.append((kind << 41) | (parts[i][row] << 12) | near[j][row, a])
+    row, a, b = np.nonzero((near[0] >= 0)[:, :, None] & (near[1] >= 0)[:, None, :])
+    codewords = (near[0][row, a] << 12) | near[1][row, b]
+    halves = [_bits(values, h) for h in HALVES]
+    for k, half in enumerate(halves):
+        odd = np.zeros(len(values), dtype=np.int64)
+        for part in (parts[0], parts[1], halves[1 - k]):
+            odd = (odd << 1) | ((np.bitwise_count(part) & 1) ^ every)
         at.append(row)
-        keys.append((k << 24) | (near[i][row, a] << 12) | near[j][row, b])
+        keys.append(((len(EQUAL) + k) << 41) | (odd[row] << 35) | (half[row] << 24) | codewords)
     return np.concatenate(at), np.concatenate(keys)
 
 
