@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.runs import number_heads
-
 
 def section_root():
     return F.coalesce(F.get("section_path", F.lit(0)), F.lit(""))
@@ -21,18 +19,34 @@ def groups(candidates: DataFrame) -> DataFrame:
 
 
 def spans(grouped: DataFrame) -> DataFrame:
-    """Neighbours in reading order become one span where both name each other
-    and share the whole section path; the best ranked one represents it."""
+    """Candidates become one span where they name each other as neighbours and
+    share the whole section path; the best ranked one represents it.
+
+    Such links form chains, and every candidate walks back along its own to the
+    head.  A group holds at most the candidates of one search, so that walk stays
+    inside a row.  Who never comes to a head is in a cycle and stays single."""
     key = ["query_id", "document_id", "section_root"]
     before = grouped.select(
         *key, F.col("chunk_id").alias("previous_chunk_id"), F.col("next_chunk_id").alias("its_next"),
         F.col("section_path").alias("its_path"),
     )
     linked = grouped.join(before, [*key, "previous_chunk_id"], "left")
-    joins = (F.col("its_next") == F.col("chunk_id")) & (F.col("its_path") == F.col("section_path"))
-    headed = number_heads(linked, key, "child_no", ~F.coalesce(joins, F.lit(False)), "span_no")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("child_no", "chunk_id"))), lambda s: s["chunk_id"])
-    return headed.groupBy(*key, "group_no", "span_no").agg(
+    mutual = (F.col("its_next") == F.col("chunk_id")) & (F.col("its_path") == F.col("section_path"))
+    link = F.when(mutual, F.struct("chunk_id", "previous_chunk_id"))
+    linked = linked.withColumn("back", F.map_from_entries(F.collect_set(link).over(Window.partitionBy(*key))))
+    behind = lambda chunk: F.element_at("back", chunk)
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.size("back")),
+        F.struct(F.col("chunk_id").alias("head"), F.lit(0).alias("place")),
+        lambda at, _: F.when(behind(at["head"]).isNull(), at).otherwise(
+            F.struct(behind(at["head"]).alias("head"), (at["place"] + 1).alias("place"))
+        ),
+    )
+    walked = linked.withColumn("walk", walk)
+    whole = behind(F.col("walk.head")).isNull()
+    placed = walked.withColumn("head", F.when(whole, F.col("walk.head")).otherwise(F.col("chunk_id")))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("walk.place", "chunk_id"))), lambda s: s["chunk_id"])
+    return placed.groupBy(*key, "group_no", "head").agg(
         F.min("rank").alias("rank"), F.min_by("chunk_id", "rank").alias("chunk_id"), ids.alias("chunk_ids")
     ).select(
         *key, "group_no", "rank", "chunk_id", "chunk_ids",

@@ -147,6 +147,23 @@ def test_spans_need_mutual_links(spark):
     ]
 
 
+def test_spans_follow_links_and_survive_cycles(spark):
+    path = ["r", "s"]
+    rows = [  # a chain against the reading order, two cycles, a chunk linked with itself, a cycle with a branch
+        (1, 1, "d", path, "c9", 1, "c8", None), (1, 2, "d", path, "c7", 3, None, "c8"), (1, 3, "d", path, "c8", 2, "c7", "c9"),
+        (2, 1, "d", path, "a", 1, "b", "b"), (2, 2, "d", path, "b", 2, "a", "a"), (2, 3, "d", path, "e", 3, "e", "e"),
+        (2, 4, "d", path, "f", 4, "b", None), (3, 1, "d", path, "x", 1, "z", "y"), (3, 2, "d", path, "y", 2, "x", "z"),
+        (3, 3, "d", path, "z", 3, "y", "x"), (3, 4, "d", path, "o", 4, None, "p"), (3, 5, "d", path, "p", 5, "o", None),
+    ]
+    got = evidence.spans(evidence.groups(spark.createDataFrame(rows, CAND))).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.chunk_id, r.chunk_ids, r.merge_reason) for r in got] == [
+        (1, 1, "c9", ["c7", "c8", "c9"], "adjacent_span"),
+        *[(2, k, c, [c], "singleton") for k, c in enumerate("abef", 1)],
+        *[(3, k, c, [c], "singleton") for k, c in enumerate("xyz", 1)],
+        (3, 4, "o", ["o", "p"], "adjacent_span"),
+    ]
+
+
 def test_answer_slots(spark):
     schema = "query_id int, rank int, document_id string, section_root string, chunk_id string, content string, exact_phrase_hits array<string>, protected_phrase_hits array<string>, section_path_hit boolean, section_path array<string>, source_id string, edition string"
     rows = [
