@@ -160,7 +160,8 @@ def links(nodes: DataFrame) -> DataFrame:
     verify = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
 
     def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        both = left.withColumnRenamed("fp", "u").join(right.withColumnRenamed("fp", "v"), on)
+        # a table of keys is many times the size that Spark expects of mapInPandas, so neither is broadcast
+        both = left.withColumnRenamed("fp", "u").hint("merge").join(right.withColumnRenamed("fp", "v"), on)
         return both.filter(verify).select("u", "v")
 
     crowded = materialize(
@@ -202,6 +203,13 @@ def components(marked: DataFrame) -> DataFrame:
     )
 
 
+def _with_components(marked: DataFrame) -> DataFrame:
+    """marked with component_id and root.  Every fingerprint has a component; the
+    join is a left one since the rows of marked, whose file is small if many are
+    copies, cannot be broadcast in it."""
+    return marked.join(components(marked), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id."""
     marked = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash")
@@ -215,7 +223,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), fingerprints("text").alias("fp")),
         "simhash",
     )
-    by = marked.join(components(marked), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by = _with_components(marked).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = by.groupBy("root").agg(
         F.first("component_id").alias("component_id"), F.min("h").alias("h"), F.count(F.lit(1)).alias("n")
     )

@@ -419,6 +419,17 @@ def test_simhash_crowded_keys(spark, monkeypatch):
     assert got | {(b, a) for a, b in got} == want
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """A file of fingerprints far below Spark's own threshold has 88 keys a row or so."""
+    spark.range(1000).toDF("fp").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    monkeypatch.setattr(simhash, "CROWDED", 100)
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2  # of the keys that are crowded, and of the rest
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     rows, labels = [], []
