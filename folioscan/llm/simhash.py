@@ -213,7 +213,7 @@ def _with_components(marked: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id."""
     marked = materialize(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash")
-    return marked.join(components(marked), "fp").select("doc_id", "fp", "component_id")
+    return _with_components(marked).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

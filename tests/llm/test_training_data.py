@@ -419,6 +419,12 @@ def test_simhash_crowded_keys(spark, monkeypatch):
     assert got | {(b, a) for a, b in got} == want
 
 
+def first_join(df):
+    """The line of the outermost join in the plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_simhash_keys_are_not_broadcast(spark, monkeypatch, tmp_path):
     """A file of fingerprints far below Spark's own threshold has 88 keys a row or so."""
     spark.range(1000).toDF("fp").write.parquet(str(tmp_path / "nodes"))
@@ -430,6 +436,14 @@ def test_simhash_keys_are_not_broadcast(spark, monkeypatch, tmp_path):
     assert plan.count("SortMergeJoin") == 2  # of the keys that are crowded, and of the rest
 
 
+def test_simhash_rows_are_not_broadcast(spark):
+    """Copies make a small file of very many rows: only the components may be broadcast."""
+    table = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one text, many times").alias("text"))
+    found = simhash.near_duplicates(table)
+    assert "BuildLeft" not in first_join(found)
+    assert found.groupBy("component_id").count().collect() == [(0, 20_000)]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     rows, labels = [], []
