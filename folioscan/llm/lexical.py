@@ -6,11 +6,12 @@ impact), so a frequent term lies in many partitions and each file starts with th
 head of its lists.  A batch of items is answered in three phases:
 
 1. the k first entries of every list give partial sums, and the k-th largest of an
-   item's sums is a lower bound of its k-th score;
-2. every list of an item is read down to the same threshold, that bound divided by
-   the number of the item's lists.  An entry not seen is below the threshold, so
-   each document has an upper bound, and those that cannot reach the k-th largest
-   sum seen go;
+   item's sums is a lower bound of its k-th score; the best of these documents are
+   looked up, and the k-th of their exact scores is a higher one;
+2. every list of an item is read down to the same threshold, the first bound divided
+   by the number of the item's lists.  An entry not seen is below the threshold, so
+   each document has an upper bound, and those that cannot reach the second bound,
+   or the k-th largest sum seen, go;
 3. what is left is looked up: its profile gives the exact score.
 
 Texts that are equal word for word are one class, with the number and the least
@@ -43,6 +44,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K = 10
+#: Documents of the heads that are looked up for a bound, in multiples of k.
+HEADS = 3
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 #: Most different terms that are sent to all tasks; beyond it all terms are kept.
@@ -126,6 +129,20 @@ def _best(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(rows)).filter(F.col("rank") <= k)
 
 
+def _exact(index: Index, asks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: iid, cid.  iid, cid, score from the profiles of these classes."""
+    profile = index.classes.join(pairs.select("cid").distinct(), "cid", "left_semi").select(
+        "cid", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("e")
+    )
+    return (
+        pairs.join(profile.select("cid", "m", F.col("e.terms").alias("t"), F.col("e.tfs").alias("tf")), "cid")
+        .join(asks, ["iid", "t"])
+        .groupBy("iid", "cid")
+        .agg(F.sum(_impact()).alias("score"))
+        .filter("score > 0")
+    )
+
+
 def _threshold(k: int):
     """Work on one bucket of documents and one slice of items: documents whose
     upper bound reaches what is known of the k-th score."""
@@ -168,10 +185,14 @@ def rank_classes(index: Index, asks: DataFrame, k: int = K) -> DataFrame:
     heads = wanted.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
     heads = materialize(heads, "list-heads")
     sums = asks.select("iid", "t").join(heads, "t").groupBy("iid", "cid").agg(F.sum("impact").alias("sum"))
-    kth = _best(sums, k, F.desc("sum"), "cid").filter(F.col("rank") == k).select("iid", F.col("sum").alias("known"))
+    first = materialize(_best(sums, HEADS * k, F.desc("sum"), "cid"), "head-sums")
+    kth = first.filter(F.col("rank") == k).select("iid", F.col("sum").alias("partial"))
+    scored = materialize(_exact(index, asks, first.select("iid", "cid")), "head-scores")
+    known = _best(scored, k, F.desc("score"), "cid").filter(F.col("rank") == k).select("iid", F.col("score").alias("known"))
     lists = asks.groupBy("iid").agg(F.count(F.lit(1)).alias("lists"))
-    bounds = lists.join(kth, "iid", "left").select(
-        "iid", F.coalesce("known", F.lit(0)).alias("known"), F.greatest(F.lit(1), F.ceil(F.col("known") / F.col("lists"))).alias("least")
+    bounds = lists.join(kth, "iid", "left").join(known, "iid", "left").select(
+        "iid", F.coalesce("known", F.lit(0)).alias("known"),
+        F.greatest(F.lit(1), F.ceil(F.coalesce("partial", F.lit(0)) / F.col("lists"))).alias("least"),
     )
     # 2: all lists of an item down to one threshold
     most = heads.filter("at = 1").select("t", F.col("impact").alias("most"))
@@ -194,17 +215,7 @@ def rank_classes(index: Index, asks: DataFrame, k: int = K) -> DataFrame:
     second = _best(found, k, F.desc("total"), "cid").filter(F.col("rank") == k).select("iid", F.col("total").alias("second"))
     left = found.join(second, "iid", "left").filter("upper >= coalesce(second, 0)").select("iid", "cid")
     # 3: exact scores of what is left
-    left = materialize(left, "looked-up")
-    profile = index.classes.join(left.select("cid").distinct(), "cid", "left_semi").select(
-        "cid", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("e")
-    )
-    exact = (
-        left.join(profile.select("cid", "m", F.col("e.terms").alias("t"), F.col("e.tfs").alias("tf")), "cid")
-        .join(asks, ["iid", "t"])
-        .groupBy("iid", "cid")
-        .agg(F.sum(_impact()).alias("score"))
-        .filter("score > 0")
-    )
+    exact = _exact(index, asks, materialize(left, "looked-up"))
     named = exact.join(index.classes.select("cid", "first_id"), "cid")
     return materialize(_best(named, k, F.desc("score"), F.asc_nulls_last("first_id"), "cid").drop("rank"), "best-classes")
 
