@@ -1,4 +1,5 @@
-"""Command line: fetch, ingest, chunk, terms, preview, index, retrieve, answer, evaluate."""
+"""Command line: fetch, ingest, chunk, terms, preview, index, merge, search, retrieve,
+answer, evaluate."""
 
 from __future__ import annotations
 
@@ -10,9 +11,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from folioscan import schemas
 from folioscan.config import BoundaryConfig, ChunkConfig, Constraints, TermAssets
 from folioscan.functions import text as T
-from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, normalize, panels, render, retrieve, sections, terms
+from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, match, normalize, panels, render, retrieve, sections, segments, terms
 from folioscan.sources import markup, scan, store
 
 
@@ -40,6 +42,9 @@ def ingest(spark, args) -> None:
         "cuts", F.when(F.col("cut_at").isNotNull(), F.array(cut)).otherwise(none).cast("array<struct<offset:int,type:string>>")
     )
     mode = "overwrite" if args.force else "errorifexists"
+    if args.schema:
+        out = store.stored(out.withColumn("source_title", F.lit(args.title or args.source_id)), "documents")
+        _keep_to(schemas.broken_documents(out, *schemas.read(args.schema)), args.schema)
     out.write.mode(mode).parquet(args.output)
     if args.extracted:
         text = spans.groupBy("file").agg(
@@ -50,9 +55,19 @@ def ingest(spark, args) -> None:
         sections.decision_log(decided).write.mode(mode).parquet(f"{args.extracted}/decisions")
 
 
+def _keep_to(broken, path: str) -> None:
+    """An error if rows break a schema, with the first of them."""
+    first = broken.limit(5).collect()
+    if first:
+        raise ValueError(f"rows break {path}: " + "; ".join(f"{r[0]}: {', '.join(r['broken'])}" for r in first))
+
+
 def chunk(spark, args) -> None:
     docs = spark.read.parquet(args.documents)
     made = chunks.build_chunks(docs, ChunkConfig.of(scan.read_settings(args.settings) if args.settings else None))
+    if args.schema:
+        made = store.stored(made, "chunks")
+        _keep_to(schemas.broken_chunks(made.withColumn("source_title", F.coalesce(F.lit(args.title), F.col("source_id"))), *schemas.read(args.schema)), args.schema)
     made.write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
 
 
@@ -61,8 +76,7 @@ def mine(spark, args) -> None:
     given = scan.read_settings(args.reviewed) if args.reviewed else {}
     docs, made = spark.read.parquet(args.documents), spark.read.parquet(args.chunks)
     buckets = terms.term_buckets(terms.title_terms(docs), terms.content_terms(made))
-    assets = terms.term_assets(buckets, given.get("phrases", []), given.get("aliases", {}), given.get("variants", {}))
-    print("\n".join(terms.write_term_assets(assets, args.output)))
+    print("\n".join(terms.write_term_assets(buckets, args.output, given.get("phrases", []), given.get("aliases", {}), given.get("variants", []))))
 
 
 def preview(spark, args) -> None:
@@ -70,22 +84,49 @@ def preview(spark, args) -> None:
 
 
 def build(spark, args) -> None:
-    print(index.publish_index(index.build_index(spark.read.parquet(args.chunks)), args.output))
+    """A whole index, or with --update a commit to one in segments."""
+    if not (args.update or args.delete):
+        print(index.publish_index(index.build_index(spark.read.parquet(args.chunks)), args.output))
+        return
+    made = spark.read.parquet(args.chunks) if args.update else None
+    gone = spark.read.text(args.delete).select(F.col("value").alias("chunk_id")) if args.delete else None
+    print(json.dumps(segments.commit(spark, args.output, made, gone), indent=2))
+
+
+def merge(spark, args) -> None:
+    print(json.dumps(segments.merge(spark, args.index, fanout=args.fanout), indent=2))
+    if args.vacuum:
+        print("\n".join(segments.vacuum(spark, args.index)))
+
+
+def search(spark, args) -> None:
+    """The best chunks of a raw MATCH expression."""
+    asked = spark.createDataFrame([(0, args.expression)], "query_id long, expression string")
+    if told := match.malformed(asked).collect():
+        raise SystemExit(f"malformed expression: {told[0]['error']}")
+    found = match.search(asked, index.open_index(spark, args.index), args.top_k)
+    for line in found.orderBy("rank").select("rank", "chunk_id", "document_id", "raw_score", "chunk_type", "section_path", "content").toJSON().collect():
+        print(line)
 
 
 def _ask(spark, args, rows):
-    assets = json.loads(open(args.terms).read()) if args.terms else {}
-    known = TermAssets(assets.get("aliases", {}), tuple(assets.get("phrases", ())))
+    known = terms.read_vocabulary(spark, args.terms) if args.terms else TermAssets()
     found = index.open_index(spark, args.index)
     # without a registry nothing is filtered
     limits = Constraints.of(scan.read_registry(args.registry)) if args.registry else None
-    queries = normalize.normalize(rows, known)
+    queries = store.stored(normalize.normalize(rows, known), "queries")
     return queries, retrieve.retrieve(queries, found, limits, args.top_k)
 
 
 def show(spark, args) -> None:
     rows = spark.createDataFrame([(0, args.query)], "query_id long, raw_query string")
     queries, found = _ask(spark, args, rows)
+    if args.command == "retrieve" and (args.text or args.debug):
+        limits = Constraints.of(scan.read_registry(args.registry)) if args.registry else None
+        found = store.stored(found, "candidates")
+        told = (queries, store.stored(evidence.evidence(found), "evidence"), evidence.traces(found), limits)
+        print("\n\n".join(render.retrieval_text(*told)) if args.text else json.dumps(render.retrieval_json(*told)[0], indent=2, default=str))
+        return
     if args.command == "retrieve":
         out = evidence.evidence(found).orderBy("rank").select("rank", "chunk_id", "score", "merge_reason", F.substring("content", 1, 200).alias("content"))
     else:
@@ -147,12 +188,14 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("fetch", fetch, "manifest", "root", dry_run=False, force=False)
-    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", types=None, demote="", boilerplate="", extracted=None, force=False).add_argument("--limit", type=int)
-    command("chunk", chunk, "documents", "output", settings=None, force=False)
+    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", types=None, demote="", boilerplate="", extracted=None, schema=None, title=None, force=False).add_argument("--limit", type=int)
+    command("chunk", chunk, "documents", "output", settings=None, schema=None, title=None, force=False)
     command("terms", mine, "documents", "chunks", "output", reviewed=None)
     command("preview", preview, "chunks")
-    command("index", build, "chunks", "output")
-    command("retrieve", show, "query", "index", top_k=10, terms=None, registry=None)
+    command("index", build, "output", chunks=None, update=False, delete=None)
+    command("merge", merge, "index", fanout=segments.FANOUT, vacuum=False)
+    command("search", search, "expression", "index", top_k=5)
+    command("retrieve", show, "query", "index", top_k=10, terms=None, registry=None, debug=False, text=False)
     command("answer", show, "query", "index", top_k=10, terms=None, registry=None, debug=False, text=False)
     command("evaluate", run_evaluation, "gold", "index", top_k=10, terms=None, registry=None, edition="", dataset="", json=None, markdown=None)
     return p

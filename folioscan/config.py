@@ -80,6 +80,16 @@ def _folds() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folds()
 
 
+def _case_folds() -> dict[str, str]:
+    """Lower-case letters that full case folding still changes."""
+    letters = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1F000)))
+    return {c: c.casefold() for c in letters if c == c.lower() != c.casefold()}
+
+
+#: For full case folding behind lower-casing.
+CASE_FOLDS = _case_folds()
+
+
 @dataclass(frozen=True)
 class BlockConfig:
     heading_min: int = 3
@@ -157,10 +167,11 @@ class EntryType:
 
 @dataclass(frozen=True)
 class TermAssets:
-    """aliases are applied in order; phrases stay whole in tokens."""
+    """aliases are applied in order; phrases and surface variants stay whole in tokens."""
 
     aliases: dict[str, str] = field(default_factory=dict)
     phrases: tuple[str, ...] = ()
+    variants: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

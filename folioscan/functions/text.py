@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.config import FOLD_FROM, FOLD_TO, BlockConfig
+from folioscan.config import CASE_FOLDS, FOLD_FROM, FOLD_TO, BlockConfig
 
 
 def strip(c: Column) -> Column:
@@ -16,6 +16,17 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
+def casefold(c: Column) -> Column:
+    """Full case folding: letters that fold to one letter by table, and those that
+    fold to several one by one where a text has any."""
+    single = {a: b for a, b in CASE_FOLDS.items() if len(b) == 1}
+    several = {a: b for a, b in CASE_FOLDS.items() if len(b) > 1}
+    low = F.translate(F.lower(c), "".join(single), "".join(single.values()))
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.when(low.rlike("[" + "".join(several) + "]"), spelled).otherwise(low)
+
+
 def normal_block(c: Column) -> Column:
     """White space of one block: none around line ends, single spaces elsewhere."""
     c = F.regexp_replace(F.translate(c, "\r", "\n"), r"[ \t]+\n", "\n")

@@ -63,7 +63,8 @@ def evidence(candidates: DataFrame) -> DataFrame:
         "chunk_type", "source_id", "edition", "section_path", "content", "raw_score", "score",
         "exact_phrase_hits", "protected_phrase_hits", "section_path_hit", "token_overlap_count",
     ]
-    kept += [c for c in ("entry_title",) if c in grouped.columns]
+    more = ("entry_title", "source_location", "source_type", "authority_level", "parent_chunk_id", "previous_chunk_id", "next_chunk_id")
+    kept += [c for c in more if c in grouped.columns]
     lead = grouped.select("query_id", "chunk_id", *kept)
     return spans(grouped).join(lead, ["query_id", "chunk_id"]).withColumn("content", F.coalesce("content", F.lit("")))
 

@@ -1,12 +1,13 @@
-"""The inverted index: plain tables of postings, lengths and sizes."""
+"""The inverted index: plain tables of postings, profiles, blocks and terms."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan import config as C
 from folioscan.functions import text as T
 from folioscan.sources import store
 
@@ -16,13 +17,37 @@ REQUIRED = {
     "chunk_id", "document_id", "content", "section_path", "chunk_type", "source_id", "edition", "source_type",
     "authority_level", "parent_chunk_id", "previous_chunk_id", "next_chunk_id", "child_no",
 }
+TABLES = ("chunks", "postings", "profiles", "blocks", "terms", "sizes")
+#: Entries of a block (about).
+BLOCK = 128
 
 
 @dataclass(frozen=True)
 class Index:
+    """chunks as given; postings: term, chunk_id, col, pos; profiles: chunk_id,
+    length (terms of all columns), freqs (term, f); blocks: term, n, most_f,
+    least_length, entries (chunk_id, f, length); terms: term, df (chunks), cf
+    (places); sizes: one row of n and total (length).
+
+    Of an index in segments, every table but terms and sizes has a column segment,
+    and dead (segment, chunk_id) lists what has been replaced or deleted since."""
+
     chunks: DataFrame
-    postings: DataFrame  # term, chunk_id, col, pos
-    lengths: DataFrame  # chunk_id, length: terms of all columns
+    postings: DataFrame
+    profiles: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+    dead: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows of a table of this index (or of the entries of its blocks) without dead chunks."""
+        return rows if self.dead is None else rows.join(self.dead, ["segment", "chunk_id"], "left_anti").drop("segment")
+
+    @property
+    def lengths(self) -> DataFrame:
+        keep = [c for c in ("segment", "chunk_id", "length") if c in self.profiles.columns]
+        return self.live(self.profiles.select(*keep))
 
 
 def check_chunks(chunks: DataFrame) -> None:
@@ -40,25 +65,79 @@ def postings(chunks: DataFrame) -> DataFrame:
     return fields.select("chunk_id", "col", F.posexplode(T.index_terms(F.col("text"))).alias("pos", "term"))
 
 
+def part(f: Column, length: Column, average: Column) -> Column:
+    """What f occurrences in a text of a length add, without the weight of the term.
+    It grows with f and falls with the length, so the most f and the least length
+    of a block bound it."""
+    norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * length / average)
+    return f * (C.BM25_K1 + 1) / (f + norm)
+
+
+def profiles(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    counted = places.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("f"))
+    each = counted.groupBy("chunk_id").agg(F.sum("f").alias("length"), F.collect_list(F.struct("term", "f")).alias("freqs"))
+    none = F.array().cast("array<struct<term:string,f:bigint>>")
+    return chunks.select("chunk_id").join(each, "chunk_id", "left").select(
+        "chunk_id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("freqs", none).alias("freqs")
+    )
+
+
+def blocks(profiles: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Lists of terms in blocks of about size entries that are alike in f and in
+    length, so that the bound of a block is near to what it holds.  A frequent term
+    has many blocks, in many tasks."""
+    each = profiles.select("chunk_id", "length", F.explode("freqs").alias("e")).select("e.term", "chunk_id", "e.f", "length")
+    band = F.least("f", F.lit(4)) * 64 + F.floor(F.log2(F.greatest("length", F.lit(1))) * 2).cast("long")
+    each = each.withColumn("band", band)
+    many = each.groupBy("term", "band").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")).filter("parts > 1")
+    dealt = each.join(many, ["term", "band"], "left").withColumn(
+        "shard", F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1)))
+    )
+    return dealt.groupBy("term", "band", "shard").agg(
+        F.count(F.lit(1)).alias("n"), F.max("f").alias("most_f"), F.min("length").alias("least_length"),
+        F.collect_list(F.struct("chunk_id", "f", "length")).alias("entries"),
+    ).drop("band", "shard")
+
+
+def term_counts(profiles: DataFrame) -> DataFrame:
+    each = profiles.select(F.explode("freqs").alias("e"))
+    return each.groupBy(F.col("e.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("e.f").alias("cf"))
+
+
+def size_counts(profiles: DataFrame) -> DataFrame:
+    return profiles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+
+
 def build_index(chunks: DataFrame) -> Index:
     """Tables are stored in the shared folder, so that a search reads them as
     columns instead of splitting texts again."""
     check_chunks(chunks)
     kept = store.stored(chunks, "chunks")
-    terms = store.stored(postings(kept), "postings")
-    lengths = kept.select("chunk_id").join(
-        terms.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("length")), "chunk_id", "left"
-    )
-    return Index(kept, terms, lengths.withColumn("length", F.coalesce("length", F.lit(0))))
+    places = store.stored(postings(kept), "postings")
+    profile = store.stored(profiles(kept, places), "profiles")
+    listed = store.stored(blocks(profile), "blocks")
+    return Index(kept, places, profile, listed, store.stored(term_counts(profile), "terms"), store.stored(size_counts(profile), "sizes"))
+
+
+def sorted_tables(index: Index) -> dict[str, DataFrame]:
+    """The tables as they are published: by term, so that a search skips row groups."""
+    by_term = lambda df, *more: df.repartitionByRange("term", *more).sortWithinPartitions("term", *more)
+    return {
+        "chunks": index.chunks, "postings": by_term(index.postings, "chunk_id"), "profiles": index.profiles,
+        "blocks": by_term(index.blocks, "least_length"), "terms": by_term(index.terms), "sizes": index.sizes,
+    }
 
 
 def publish_index(index: Index, root: str) -> str:
-    """Sorted by term, so that a search skips row groups."""
-    sorted_terms = index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-    return store.publish({"chunks": index.chunks, "postings": sorted_terms, "lengths": index.lengths}, root)
+    return store.publish(sorted_tables(index), root)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
-    tables = store.published(spark, root, "chunks", "postings", "lengths")
+    """The newest published version, whole or in segments."""
+    from . import segments
+
+    if segments.is_segmented(spark, root):
+        return segments.open_segments(spark, root)
+    tables = store.published(spark, root, *TABLES)
     check_chunks(tables["chunks"])
     return Index(**tables)

@@ -9,7 +9,7 @@ import textwrap
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.config import TAGS
+from folioscan.config import TAGS, Constraints
 from folioscan.operators import evaluate
 
 #: Fixed value: width of a rule.
@@ -52,6 +52,102 @@ def answer_text(answered: DataFrame, traces: DataFrame) -> list[str]:
     return out
 
 
+#: Fixed value: length of a content preview.
+PREVIEW = 200
+
+
+def _adjacency(item: dict) -> str:
+    links = (("parent", "parent_chunk_id"), ("prev", "previous_chunk_id"), ("next", "next_chunk_id"))
+    return ", ".join(f"{name}={item[c]}" for name, c in links if item.get(c)) or "(none)"
+
+
+def _signals(item: dict) -> str:
+    told = ["section_path_hit"] if item["section_path_hit"] else []
+    told += [f"{name}={list(item[c])}" for name, c in (("exact", "exact_phrase_hits"), ("protected", "protected_phrase_hits")) if item[c]]
+    told += [f"token_overlap={item['token_overlap_count']}"] if item["token_overlap_count"] else []
+    return ", ".join(told) or "(none)"
+
+
+def limits_of(constraints: Constraints | None) -> dict[str, list[str]]:
+    """The hard filters of a search, each list in order; without a registry none."""
+    if constraints is None:
+        return {}
+    return {
+        "editions": sorted(constraints.editions), "source_types": sorted(constraints.source_types),
+        "authority_levels": sorted(constraints.authority_levels), "excluded_source_ids": sorted(constraints.excluded),
+    }
+
+
+def _retrieved(queries: DataFrame, items: DataFrame, traces: DataFrame) -> list[tuple[dict, dict | None, list[dict]]]:
+    """Each query, its trace and its evidence: what one question, or a few, found."""
+    found: dict = {}
+    for r in items.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r.asDict(recursive=True))
+    seen = {r["query_id"]: r.asDict(recursive=True) for r in traces.collect()}
+    return [(q.asDict(recursive=True), seen.get(q["query_id"]), found.get(q["query_id"], [])) for q in queries.orderBy("query_id").collect()]
+
+
+def _groups(trace: dict | None, items: list[dict]) -> list[dict]:
+    spans: dict = {}
+    for i in items:
+        spans[i["document_id"], i["section_root"]] = spans.get((i["document_id"], i["section_root"]), 0) + 1
+    return [g | {"span_count": spans.get((g["document_id"], g["section_root"]), 0)} for g in (trace or {}).get("groups", [])]
+
+
+def retrieval_text(queries: DataFrame, items: DataFrame, traces: DataFrame, constraints: Constraints | None = None) -> list[str]:
+    """What a search did, step by step, one text per query: the query as it was
+    read, the filters, the groups formed, and each piece of evidence."""
+    out = []
+    for q, trace, found in _retrieved(queries, items, traces):
+        lines = [*banner("QUERY"), f"  Raw:        {q['raw_query']}", f"  Normalized: {q['normalized_text']}", f"  Tokens:     {q['tokens']}"]
+        lines += [f"  {name} {q[c]}" for name, c in (("Protected: ", "protected_phrases"), ("Aliases:   ", "aliases_applied")) if q[c]]
+        lines += ["", *banner("CONSTRAINTS"), *(f"  {k}: {v}" for k, v in limits_of(constraints).items())]
+        lines += ["", *banner("PIPELINE TRACE")]
+        lines += [f"  Candidates entering shaping: {(trace or {}).get('total_candidates', 0)}", f"  Groups formed:               {(trace or {}).get('group_count', 0)}"]
+        for g in _groups(trace, found):
+            merged = g["candidate_count"] != g["span_count"]
+            size = f"{g['candidate_count']}→{g['span_count']} spans" if merged else f"{g['candidate_count']} items"
+            lines.append(f"    [{g['document_id']} / {g['section_root']}] {size}")
+        lines += ["", *banner(f"EVIDENCE ({len(found)} items)")]
+        for n, i in enumerate(found, 1):
+            several = i["merge_reason"] != "singleton"
+            span = f"{i['merge_reason']}, {len(i['chunk_ids'])} chunks [{i['start_chunk_id']} → {i['end_chunk_id']}]" if several else "singleton"
+            lines += [
+                "", f"--- Evidence #{n} (rank {i['rank']}) ---",
+                f"  chunk_id:    {i['chunk_id']}{'  (representative)' if several else ''}",
+                f"  document_id: {i['document_id']}", f"  chunk_type:  {i['chunk_type']}", f"  section:     {i['section_root']}",
+                f"  locator:     {locator(i['section_path'], i.get('source_location'))}", f"  span:        {span}",
+                f"  adjacency:   {_adjacency(i)}", f"  signals:     {_signals(i)}",
+                f"  content:     {textwrap.shorten(i['content'], PREVIEW, placeholder='…')}",
+            ]
+        out.append("\n".join(lines))
+    return out
+
+
+def retrieval_json(queries: DataFrame, items: DataFrame, traces: DataFrame, constraints: Constraints | None = None) -> list[dict]:
+    """The same as one object per query."""
+    out = []
+    for q, trace, found in _retrieved(queries, items, traces):
+        evidence = [
+            {
+                "rank": i["rank"], "chunk_id": i["chunk_id"], "document_id": i["document_id"], "chunk_type": i["chunk_type"], "section_root": i["section_root"],
+                "source_ref": {c: i.get(c) for c in ("source_id", "edition", "source_type", "authority_level")},
+                "locator": {c: i[c] for c in ("section_path", "source_location", "entry_title") if i.get(c)},
+                "match_signals": {c: i[c] for c in ("exact_phrase_hits", "protected_phrase_hits", "section_path_hit", "token_overlap_count")},
+                "span": {c: i[c] for c in ("chunk_ids", "start_chunk_id", "end_chunk_id", "merge_reason")},
+                "adjacency": {c: i.get(c) for c in ("parent_chunk_id", "previous_chunk_id", "next_chunk_id")},
+                "content": i["content"],
+            }
+            for i in found
+        ]
+        named = {"raw": "raw_query", "normalized": "normalized_text", "tokens": "tokens", "protected_phrases": "protected_phrases", "aliases_applied": "aliases_applied"}
+        totals = {c: (trace or {}).get(c, 0) for c in ("total_candidates", "group_count")}
+        out.append(
+            {"query": {k: q[c] for k, c in named.items()}, "constraints": limits_of(constraints), "trace": totals | {"groups": _groups(trace, found)}, "evidence": evidence}
+        )
+    return out
+
+
 def cases(gold: DataFrame, decided: DataFrame, segments: DataFrame, cited: DataFrame, checks: DataFrame, found: DataFrame) -> DataFrame:
     """One row per gold case (query_id is its eval_id): its outcome with what
     the answer was and how each citation fared."""

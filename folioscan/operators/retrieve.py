@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from folioscan import config as C
 from folioscan.functions import text as T
+from folioscan.sources import store
 
-from .index import Index
+from .index import Index, part
 
 DIGITS = 6
 
@@ -23,66 +25,202 @@ def operands(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "operand", T.index_terms(F.col("phrase")).alias("words")).filter(F.size("words") > 0)
 
 
-def phrase_frequencies(phrases: DataFrame, postings: DataFrame) -> DataFrame:
-    """phrases: distinct words (array).  phrase (joined words), chunk_id, f: how
-    often the phrase stands in a chunk, in one column.
+def phrase_starts(slots: DataFrame, places: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """slots: phrase, n, j, term (word j of a phrase of n; a prefix has several
+    rows).  phrase, chunk_id, col, start of every occurrence.
 
-    Single terms are counted straight.  For longer phrases the rarest term gives
-    the places where one may stand, and those are checked word by word, so that
-    frequent words are not multiplied out."""
-    named = phrases.select(F.array_join("words", " ").alias("phrase"), "words").distinct()
-    each = named.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("j", "term"))
-    terms = postings.join(each.select("term").distinct(), "term", "left_semi")
-    singles = (
-        terms.join(each.filter("n = 1").select("phrase", "term"), "term")
-        .groupBy("phrase", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("f"))
-    )
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    many = each.filter("n > 1")
+    Single words are read straight.  For longer phrases the rarest word gives the
+    places where one may stand, and those are checked word by word, so that
+    frequent words are not multiplied out.  counts: term, cf, if known."""
+    terms = places.join(slots.select("term").distinct(), "term", "left_semi")
+    singles = terms.join(slots.filter("n = 1").select("phrase", "term"), "term").select("phrase", "chunk_id", "col", F.col("pos").alias("start"))
+    many = slots.filter("n > 1")
+    if counts is None:
+        counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     rarest = (
-        many.join(counts, "term", "left")
+        many.join(counts.select("term", "cf"), "term", "left")
+        .groupBy("phrase", "n", "j")
+        .agg(F.sum(F.coalesce("cf", F.lit(0))).alias("cf"))
         .groupBy("phrase", "n")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "j", "term")).alias("r"))
-        .select("phrase", "n", "r.j", "r.term")
-    )
-    starts = terms.join(rarest, "term").select("phrase", "n", "chunk_id", "col", (F.col("pos") - F.col("j")).alias("start"))
-    wanted = starts.filter("start >= 0").join(many.select("phrase", "j", "term"), "phrase").select(
-        "phrase", "n", "chunk_id", "col", "start", (F.col("start") + F.col("j")).alias("pos"), "term"
+        .agg(F.min(F.struct("cf", "j")).alias("r"))
+        .select("phrase", "n", "r.j")
     )
+    first = many.join(rarest, ["phrase", "n", "j"]).select("phrase", "n", "j", "term")
+    starts = places.join(first, "term").select("phrase", "n", "j", "chunk_id", "col", (F.col("pos") - F.col("j")).alias("start"))
+    # written: few as a rule, so that the places are then read without an exchange
+    starts = store.stored(starts.filter("start >= 0"), "phrase-starts")
+    other = F.explode(F.expr("filter(sequence(0, n - 1), x -> x <> j)"))
+    wanted = starts.withColumn("i", other).drop("j").withColumnRenamed("i", "j").withColumn("pos", F.col("start") + F.col("j"))
     found = (
-        wanted.join(terms, ["chunk_id", "col", "pos", "term"])
+        places.join(many.select("term").distinct(), "term", "left_semi")
+        .join(wanted, ["chunk_id", "col", "pos"])
+        .join(many.select("phrase", "j", "term"), ["phrase", "j", "term"], "left_semi")
         .groupBy("phrase", "n", "chunk_id", "col", "start")
         .agg(F.count(F.lit(1)).alias("hits"))
-        .filter("hits = n")
-        .groupBy("phrase", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("f"))
+        .filter("hits = n - 1")
+        .select("phrase", "chunk_id", "col", "start")
     )
     return singles.unionByName(found)
 
 
-def bm25(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, chunk_id, raw_score: lower is better.  Every operand counts,
-    repeated ones again."""
+def slots_of(phrases: DataFrame) -> DataFrame:
+    """phrases: words (array).  phrase (joined words), n, j, term."""
+    named = phrases.select(F.array_join("words", " ").alias("phrase"), "words").distinct()
+    return named.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("j", "term"))
+
+
+def phrase_frequencies(phrases: DataFrame, places: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """phrases: distinct words (array).  phrase, chunk_id, f: how often the phrase
+    stands in a chunk, in one column."""
+    return phrase_starts(slots_of(phrases), places, counts).groupBy("phrase", "chunk_id").agg(F.count(F.lit(1)).alias("f"))
+
+
+def weight(n: Column, n_p: Column) -> Column:
+    idf = F.ln((n - n_p + 0.5) / (n_p + 0.5))
+    return F.when(idf <= 0, C.BM25_FLOOR).otherwise(idf)
+
+
+def _average() -> Column:
+    return F.col("total") / F.col("n_chunks")
+
+
+@dataclass(frozen=True)
+class Asked:
+    """singles: query_id, term, times, idf (terms that are held); longs: query_id,
+    chunk_id, gain of operands of several words; sizes: one row."""
+
+    singles: DataFrame
+    longs: DataFrame
+    sizes: DataFrame
+
+
+def asked(queries: DataFrame, index: Index) -> Asked:
+    """Repeated operands count again.  Weights of single terms come from the
+    index, those of phrases from their own search."""
     wanted = operands(queries).withColumn("phrase", F.array_join("words", " "))
-    freq = phrase_frequencies(wanted.select("words"), index.postings)
-    spread = freq.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_p"))
-    sizes = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    idf = F.ln((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    repeated = store.stored(
+        wanted.groupBy("query_id", "phrase", "words").agg(F.count(F.lit(1)).alias("times")), "asked-operands"
+    )
     # sizes is one row
-    weights = spread.join(F.broadcast(sizes)).select(
-        "phrase", F.when(idf <= 0, C.BM25_FLOOR).otherwise(idf).alias("idf"), "avg_length"
+    sizes = index.sizes.select(F.col("n").alias("n_chunks"), "total")
+    one = F.size("words") == 1
+    singles = (
+        repeated.filter(one).select("query_id", F.col("phrase").alias("term"), "times").join(index.terms, "term")
+        .join(F.broadcast(sizes)).select("query_id", "term", "times", weight(F.col("n_chunks"), F.col("df")).alias("idf"))
     )
-    repeated = wanted.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    rated = freq.join(weights, "phrase").join(index.lengths, "chunk_id")
-    norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("length") / F.col("avg_length"))
-    part = F.col("idf") * F.col("f") * (C.BM25_K1 + 1) / (F.col("f") + norm)
-    return (
-        rated.withColumn("part", part)
-        .join(repeated, "phrase")
-        .groupBy("query_id", "chunk_id")
-        .agg((F.round(-F.sum(F.col("part") * F.col("times")), DIGITS) + F.lit(0.0)).alias("raw_score"))
+    several = repeated.filter(~one)
+    freq = store.stored(phrase_frequencies(several.select("words"), index.live(index.postings), index.terms), "phrase-frequencies")
+    spread = freq.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_p"))
+    rated = freq.join(spread, "phrase").join(index.lengths, "chunk_id").join(F.broadcast(sizes))
+    gain = weight(F.col("n_chunks"), F.col("n_p")) * part(F.col("f"), F.col("length"), _average())
+    longs = several.join(rated.select("phrase", "chunk_id", gain.alias("gain")), "phrase")
+    longs = longs.groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
+    return Asked(store.stored(singles, "asked-terms"), store.stored(longs, "asked-phrases"), sizes)
+
+
+def _entries(chosen: DataFrame, index: Index) -> DataFrame:
+    """chosen: blocks, with query_id, times, idf and the sizes.  query_id, term,
+    chunk_id, gain."""
+    more = [c for c in ("segment",) if c in chosen.columns]
+    each = chosen.select("query_id", "term", "times", "idf", "n_chunks", "total", *more, F.explode("entries").alias("e"))
+    each = each.select("query_id", "term", "times", "idf", "n_chunks", "total", *more, "e.*")
+    gain = F.col("times") * F.col("idf") * part(F.col("f"), F.col("length"), _average())
+    return index.live(each).select("query_id", "term", "chunk_id", gain.alias("gain"))
+
+
+def _raw(gain: Column) -> Column:
+    return (F.round(-F.sum(gain), DIGITS) + F.lit(0.0)).alias("raw_score")
+
+
+def bm25(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, chunk_id, raw_score of every chunk that holds an operand: lower is
+    better.  Every operand counts, repeated ones again."""
+    it = asked(queries, index)
+    found = _entries(index.blocks.join(it.singles, "term").join(F.broadcast(it.sizes)), index)
+    each = found.select("query_id", "chunk_id", "gain").unionByName(it.longs)
+    return each.groupBy("query_id", "chunk_id").agg(_raw(F.col("gain")))
+
+
+#: More than rounding can do to a sum of gains.
+SLACK = 1e-5
+
+
+def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
+    rows = Window.partitionBy("query_id").orderBy(F.desc("gain"))
+    ranked = sums.withColumn("n", F.row_number().over(rows)).filter(F.col("n") == k)
+    return ranked.select("query_id", (F.col("gain") - SLACK).alias(name))
+
+
+def term_bounds(it: Asked, index: Index) -> DataFrame:
+    """query_id, term, times, idf, best (what the best blocks of the term are like),
+    most (what the term can add)."""
+    bound = part(F.col("most_f"), F.col("least_length"), _average())
+    light = index.blocks.select("term", "most_f", "least_length").join(it.singles.select("term").distinct(), "term", "left_semi")
+    best = F.max_by(F.struct("most_f", "least_length"), bound).alias("best")
+    tops = light.join(F.broadcast(it.sizes)).groupBy("term").agg(F.max(bound).alias("top"), best)
+    return it.singles.join(tops, "term").withColumn("most", F.col("times") * F.col("idf") * F.col("top")).drop("top")
+
+
+#: Of the least k-th score: what the terms that are left out at first may add.
+LIGHT = 0.5
+
+
+def needed_blocks(it: Asked, bounds: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks that are read for the k best chunks of each query (with query_id,
+    times and idf), and per query floor and light.
+
+    The best block of every term gives sums that the k-th score cannot be below:
+    floor.  The least of a query's terms that together add no more than light, a
+    share of the floor, are left out, and so is a block whose bound stays below the
+    floor with all that other terms may add."""
+    bound = part(F.col("most_f"), F.col("least_length"), _average())
+    # the best blocks of a term: usually one
+    heads = index.blocks.join(
+        bounds.select("query_id", "term", "times", "idf", F.col("best.most_f").alias("most_f"), F.col("best.least_length").alias("least_length")),
+        ["term", "most_f", "least_length"],
+    ).join(F.broadcast(it.sizes))
+    sums = _entries(heads, index).select("query_id", "chunk_id", "gain").unionByName(it.longs).groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("gain"))
+    longest = it.longs.groupBy("query_id").agg(F.max("gain").alias("long"))
+    total = bounds.groupBy("query_id").agg(F.sum("most").alias("all"))
+    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rated = (
+        bounds.withColumn("upto", F.sum("most").over(rising))
+        .join(_kth(sums, k, "floor"), "query_id", "left").join(longest, "query_id", "left").join(total, "query_id")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        .withColumn("heavy", F.col("upto") >= LIGHT * F.col("floor"))
+        .withColumn("rest", F.col("all") - F.col("most") + F.coalesce("long", F.lit(0.0)))
+    )
+    rated = store.stored(rated.select("query_id", "term", "times", "idf", "most", "rest", "floor", "heavy"), "rated-terms")
+    blocks = index.blocks.join(rated.filter("heavy"), "term").join(F.broadcast(it.sizes))
+    limits = rated.groupBy("query_id").agg(F.max("floor").alias("floor"), F.sum(F.when(~F.col("heavy"), F.col("most")).otherwise(0.0)).alias("light"))
+    return blocks.filter(F.col("times") * F.col("idf") * bound + F.col("rest") >= F.col("floor")), limits
+
+
+def top_scores(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """The rows of bm25 with rank up to k, ties by chunk_id, without scoring all.
+
+    Of a chunk among the k best no needed block is left out, so light terms are all
+    that it can gain beyond the sum of those blocks: chunks that stay below the
+    k-th sum even so go before anything else is read, and what is left is scored in
+    full from the chunks' profiles."""
+    it = asked(queries, index)
+    blocks, limits = needed_blocks(it, store.stored(term_bounds(it, index), "term-bounds"), index, k)
+    seen = _entries(blocks, index).select("query_id", "chunk_id", "gain").unionByName(it.longs)
+    sums = store.stored(seen.groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("gain")), "partial-scores")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    reach = sums.join(_kth(sums, k, "second"), "query_id", "left").join(limits, "query_id", "left")
+    least = F.greatest(zero("floor"), zero("second"))
+    left = reach.filter(F.col("gain") + zero("light") + SLACK >= least).select("query_id", "chunk_id")
+    left = store.stored(left, "scored-in-full")
+    held = index.live(index.profiles.join(left.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    each = left.join(held, "chunk_id").select("query_id", "chunk_id", "length", F.explode("freqs").alias("e"))
+    gain = F.col("times") * F.col("idf") * part(F.col("e.f"), F.col("length"), _average())
+    exact = (
+        each.withColumn("term", F.col("e.term")).join(it.singles, ["query_id", "term"]).join(F.broadcast(it.sizes))
+        .select("query_id", "chunk_id", gain.alias("gain"))
+        .unionByName(it.longs.join(left, ["query_id", "chunk_id"], "left_semi"))
     )
+    return top(exact.groupBy("query_id", "chunk_id").agg(_raw(F.col("gain"))), "raw_score", k)
 
 
 def top(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -149,8 +287,8 @@ def composite_score() -> Column:
 def rejected(queries: DataFrame, index: Index, constraints: C.Constraints, k: int = 10) -> DataFrame:
     """query_id, chunk_id and reason of what the search found and the hard
     filters refused, among the 2k rows that retrieve looks at."""
-    first = top(bm25(queries, index), "raw_score", 2 * k).select("query_id", "chunk_id")
-    told = first.join(index.chunks, "chunk_id").select("query_id", "chunk_id", rejection(constraints).alias("reason"))
+    first = top_scores(queries, index, 2 * k).select("query_id", "chunk_id")
+    told = first.join(index.live(index.chunks), "chunk_id").select("query_id", "chunk_id", rejection(constraints).alias("reason"))
     return told.filter("reason is not null")
 
 
@@ -159,11 +297,14 @@ def retrieve(queries: DataFrame, index: Index, constraints: C.Constraints | None
     the rerank work on those, so fewer than k may be left; prefilter=True
     filters before the search takes its rows; constraints None filters nothing."""
     refused = F.lit(None).cast("string") if constraints is None else rejection(constraints)
-    scores = bm25(queries, index)
-    meta = index.chunks
+    meta = index.live(index.chunks)
     if prefilter:
-        scores = scores.join(meta.filter(refused.isNull()).select("chunk_id"), "chunk_id", "left_semi")
-    found = top(scores, "raw_score", 2 * k).drop("rank").join(meta, "chunk_id").filter(refused.isNull())
-    asked = queries.select("query_id", "normalized_text", "tokens", "protected_phrases")
-    rated = match_signals(found.join(asked, "query_id")).withColumn("score", composite_score())
+        admitted = meta.filter(refused.isNull()).select("chunk_id")
+        first = top(bm25(queries, index).join(admitted, "chunk_id", "left_semi"), "raw_score", 2 * k)
+    else:
+        first = top_scores(queries, index, 2 * k)
+    # few: at most 2k a query
+    found = store.stored(first.drop("rank"), "first-rows").join(meta, "chunk_id").filter(refused.isNull())
+    about = queries.select("query_id", "normalized_text", "tokens", "protected_phrases")
+    rated = match_signals(found.join(about, "query_id")).withColumn("score", composite_score())
     return top(rated, "score", k)

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.config import TERM_KEYWORDS, TERM_STOP_PHRASES, TERM_STOP_WORDS
 from folioscan.functions import text as T
+from folioscan.sources import store
+
+from .normalize import Vocabulary
 
 RUN = r"(?<![\p{L}\p{N}_])[a-z][a-z]+(?: [a-z][a-z]+){1,4}(?![\p{L}\p{N}_])"
 
 
 def normal_phrase(c: Column) -> Column:
-    c = F.regexp_replace(F.translate(F.lower(c), "_-", "  "), r"\([^)]*\)", " ")
+    c = F.regexp_replace(F.translate(T.casefold(c), "_-", "  "), r"\([^)]*\)", " ")
     return T.strip(T.squeeze(F.regexp_replace(c, r"[^a-z0-9\s/]", " ")))
 
 
@@ -66,21 +68,48 @@ def term_buckets(titles: DataFrame, counts: DataFrame, promote: int = 3, keep: i
     ).filter("is_protected or is_content")
 
 
-def term_assets(buckets: DataFrame, reviewed: list[str], aliases: dict[str, str], variants: dict[str, list[str]] | None = None) -> dict:
-    """The assets of retrieval: the reviewed phrases and maps as given, and the
-    mined phrases as candidates.  Candidates are a report for review, one line
-    per phrase of term_buckets."""
-    candidates = sorted(r["phrase"] for r in buckets.select("phrase").distinct().collect())
-    return {
-        "protected_phrases": sorted(set(reviewed)), "canonical_aliases": dict(aliases),
-        "surface_variants": dict(variants or {}), "extraction_candidates": candidates,
-    }
-
-
-def write_term_assets(assets: dict, root: str) -> list[str]:
-    """One JSON file per asset."""
-    folder = Path(root)
-    folder.mkdir(parents=True, exist_ok=True)
-    for name, value in assets.items():
-        (folder / f"{name}.json").write_text(json.dumps(value, indent=2, ensure_ascii=True) + "\n", encoding="utf-8")
-    return sorted(f"{name}.json" for name in assets)
+#: The files of term assets that people review; candidates are a folder beside them.
+REVIEWED = {"protected_phrases": list, "canonical_aliases": dict, "surface_variants": list}
+CANDIDATES = "extraction_candidates"
+
+
+def write_term_assets(
+    buckets: DataFrame, root: str, reviewed: list[str] = (), aliases: dict[str, str] | None = None, variants: list[str] = ()
+) -> list[str]:
+    """One JSON file each for the reviewed phrases, aliases and surface variants, as
+    given, and the mined phrases of term_buckets as candidates for review: text
+    files, written by the executors in order, one phrase a line."""
+    spark = buckets.sparkSession
+    values = {"protected_phrases": sorted(set(reviewed)), "canonical_aliases": dict(aliases or {}), "surface_variants": sorted(set(variants))}
+    for name, value in values.items():
+        store.remove(spark, f"{root}/{name}.json")
+        store.create_text(spark, f"{root}/{name}.json", json.dumps(value, indent=2, ensure_ascii=True) + "\n")
+    buckets.select("phrase").distinct().orderBy("phrase").write.mode("overwrite").text(f"{root}/{CANDIDATES}")
+    return sorted([*(f"{name}.json" for name in values), CANDIDATES])
+
+
+def read_vocabulary(spark: SparkSession, root: str) -> Vocabulary:
+    """The vocabulary of a folder that write_term_assets has written.  In place of a
+    JSON file there may be a folder: of text lines for phrases and variants, of
+    JSON lines (ord, source, target) for aliases, for lists of any length.  A
+    missing or mistyped asset is an error."""
+
+    def phrases(name: str) -> DataFrame:
+        if store.exists(spark, f"{root}/{name}"):
+            return spark.read.text(f"{root}/{name}").select(F.col("value").alias("phrase"))
+        return spark.createDataFrame([(p,) for p in listed(name)], "phrase string")
+
+    def listed(name: str):
+        value = json.loads(store.read_text(spark, f"{root}/{name}.json"))
+        strings = [*value, *value.values()] if isinstance(value, dict) else value
+        if not isinstance(value, REVIEWED[name]) or not all(isinstance(v, str) for v in strings):
+            raise ValueError(f"{name}.json is not a {REVIEWED[name].__name__} of texts")
+        return value
+
+    if store.exists(spark, f"{root}/canonical_aliases"):
+        aliases = spark.read.schema("ord long, source string, target string").json(f"{root}/canonical_aliases", mode="FAILFAST")
+    else:
+        rows = [(i, s, t) for i, (s, t) in enumerate(listed("canonical_aliases").items())]
+        aliases = spark.createDataFrame(rows, "ord long, source string, target string")
+    both = phrases("protected_phrases").unionByName(phrases("surface_variants"))
+    return Vocabulary(aliases, both.filter("phrase <> ''").distinct())

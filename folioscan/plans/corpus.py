@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan import schemas
 from folioscan.config import BoundaryConfig, ChunkConfig
 from folioscan.functions import text as T
 from folioscan.operators import blocks as B
@@ -150,6 +151,19 @@ def ext2_merged_spans(spark, sf):
     return B.merge_spans(D.styled_spans(docs(spark, sf)))
 
 
+@query(
+    "ext1_rich_text",
+    f"""WITH {SPANS_SQL}, turned AS (
+      SELECT *, coalesce((font_size, bold) IS DISTINCT FROM lag((font_size, bold)) OVER w, true) AS turn FROM spans WINDOW w AS (PARTITION BY file ORDER BY span_no)),
+    runs AS (SELECT *, sum(turn::INT) OVER (PARTITION BY file ORDER BY span_no) AS run FROM turned)
+    SELECT file, run - 1 AS span_no, font_size, bold, string_agg(text, '' ORDER BY span_no) AS text FROM runs GROUP BY file, run, font_size, bold""",
+)
+def ext1_rich_text(spark, sf):
+    """Spans written as rich text, and read again: neighbours of one format are one."""
+    made = markup.as_rich_text(D.styled_spans(docs(spark, sf)))
+    return markup.spans(made)
+
+
 @query("ext1_page_spans", None)
 def ext1_page_spans(spark, sf):
     pages = D.table(spark, sf, "pages").select(F.col("page_id").alias("file"), "html")
@@ -403,16 +417,44 @@ def snk3_report(spark, sf):
     )
 
 
+SCHEMA_COMMON = schemas.common(("core", "supplement"), ("primary",))
+SCHEMA_DOCUMENT = schemas.canonical((*schemas.HINTS, "subsection"))
+
+
 @query(
     "sec15_validation",
-    f"WITH {CANONICAL_SQL} SELECT document_id, CASE WHEN source_type = 'adventure' THEN 'source_type' ELSE 'authority_level' END AS broken FROM canonical "
-    "WHERE source_type = 'adventure' OR authority_level <> 'primary'",
+    f"""WITH {CANONICAL_SQL}, faults AS (
+      SELECT document_id, list_sort(list_filter([
+        CASE WHEN doc_id % 41 = 0 THEN '$.document_title: type' END,
+        CASE WHEN doc_id % 23 = 0 OR content IS NULL THEN '$.content: required' END,
+        CASE WHEN doc_id % 37 = 0 THEN '$.note: additionalProperties' END,
+        CASE WHEN doc_id % 43 = 0 THEN '$.locator: minProperties' END,
+        CASE WHEN doc_id % 31 = 0 AND has_cut THEN '$.processing_hints.structure_cuts[0].char_offset: minimum' END,
+        CASE WHEN doc_id % 19 = 0 THEN '$.source_ref.source_id: pattern' END,
+        CASE WHEN source_type = 'adventure' THEN '$.source_ref.source_type: enum' END,
+        CASE WHEN authority_level <> 'primary' THEN '$.source_ref.authority_level: enum' END], lambda x: x IS NOT NULL)) AS broken FROM canonical)
+    SELECT document_id, array_to_string(broken, '|') AS broken FROM faults WHERE len(broken) > 0""",
 )
 def sec15_validation(spark, sf):
-    broken = F.when(~F.col("source_type").isin("core", "supplement"), "source_type").when(
-        F.col("authority_level") != "primary", "authority_level"
+    """All documents as JSON, with faults of seven kinds put into some of them."""
+    i = F.col("doc_id")
+    gone = lambda c, where: F.when(~where, F.col(c))
+    offset = F.transform("cuts", lambda c: F.struct(F.when(i % 31 == 0, -1).otherwise(c["offset"]).alias("offset"), c["type"].alias("type")))
+    faulty = D.canonical(docs(spark, sf)).withColumns(
+        {
+            "source_title": F.lit("Tests"), "content": gone("content", i % 23 == 0), "cuts": offset,
+            "section_path": gone("section_path", i % 43 == 0), "source_location": gone("source_location", i % 43 == 0),
+            "source_id": F.when(i % 19 == 0, F.upper("source_id")).otherwise(F.col("source_id")),
+            "note": F.when(i % 37 == 0, "x"),
+        }
     )
-    return D.canonical(docs(spark, sf)).select("document_id", broken.alias("broken")).filter("broken is not null")
+    hints = F.struct("chunk_type_hint", F.when(F.size("cuts") > 0, F.transform("cuts", lambda c: F.struct(F.lit("stat_block_end").alias("kind"), c["offset"].alias("char_offset"), c["type"].alias("child_chunk_type")))).alias("structure_cuts"))
+    names = {c: c for c in ("document_id", "content", "document_title", "processing_hints", "note")}
+    made = schemas.nested(faulty.withColumn("processing_hints", F.when(F.col("chunk_type_hint").isNotNull(), hints)), names)
+    number = F.regexp_replace("json", r'"document_title":"doc (\d+)"', '"document_title":$1')
+    made = made.withColumn("json", F.when(i % 41 == 0, number).otherwise(F.col("json")))
+    found = schemas.broken(made, "document_id", "json", SCHEMA_DOCUMENT, {schemas.COMMON: SCHEMA_COMMON})
+    return found.withColumn("broken", F.array_join("broken", "|"))
 
 
 # --- chunks -------------------------------------------------------------------
@@ -513,23 +555,29 @@ def chk10_packing(spark, sf):
 
 @query(
     "chk14_validation",
-    f"""WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN length(content) < 60 THEN 'empty_content' WHEN source_id = 'src3' THEN 'unknown_type'
-      WHEN source_id = 'src5' THEN 'missing_locator' ELSE 'child_without_parent' END AS broken_rule
-    FROM chunks WHERE length(content) < 60 OR source_id IN ('src3', 'src5') OR split_origin = 'structure_cut' """,
+    f"""WITH {CHUNKS_SQL}, faults AS (
+      SELECT chunk_id, list_sort(list_filter([
+        CASE WHEN length(content) < 60 THEN '$.content: required' END, CASE WHEN source_id = 'src3' THEN '$.chunk_type: enum' END,
+        CASE WHEN source_id = 'src5' THEN '$.locator: minProperties' END, CASE WHEN split_origin = 'structure_cut' THEN '$.parent_chunk_id: required' END,
+        CASE WHEN source_type = 'adventure' THEN '$.source_ref.source_type: enum' END,
+        CASE WHEN authority_level <> 'primary' THEN '$.source_ref.authority_level: enum' END], lambda x: x IS NOT NULL)) AS broken FROM chunks)
+    SELECT chunk_id, array_to_string(broken, '|') AS broken FROM faults WHERE len(broken) > 0""",
 )
 def chk14_validation(spark, sf):
     """All chunks, with faults put into those that have the marks named here."""
     marked = lambda c, fault, none: F.when(fault, none).otherwise(F.col(c))
-    source = F.col("source_id")
-    faulty = chunks(spark, sf).select(
-        "chunk_id", "document_id",
-        marked("content", F.length("content") < 60, F.lit("")).alias("content"),
-        marked("chunk_type", source == "src3", F.lit("no_such_type")).alias("chunk_type"),
-        marked("section_path", source == "src5", F.array().cast("array<string>")).alias("section_path"),
-        "split_origin",
-        marked("parent_chunk_id", F.col("split_origin") == "structure_cut", F.lit(None).cast("string")).alias("parent_chunk_id"),
-    )
-    return K.invalid_chunks(faulty)
+    source, none = F.col("source_id"), F.lit(None).cast("string")
+    faulty = chunks(spark, sf).withColumns(
+        {
+            "source_title": F.lit("Tests"),
+            "content": marked("content", F.length("content") < 60, none),
+            "chunk_type": marked("chunk_type", source == "src3", F.lit("no_such_type")),
+            "section_path": marked("section_path", source == "src5", F.lit(None).cast("array<string>")),
+            "parent_chunk_id": marked("parent_chunk_id", F.col("split_origin") == "structure_cut", none),
+        }
+    ).drop("source_location", "entry_title")
+    found = schemas.broken_chunks(faulty, None, {schemas.COMMON: SCHEMA_COMMON})
+    return found.withColumn("broken", F.array_join("broken", "|"))
 
 
 @query(
@@ -562,7 +610,7 @@ def corpus_length_quantiles(spark, sf):
 
 # --- terms --------------------------------------------------------------------
 
-_PHRASE = r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({0}), '_-', '  '), '\([^)]*\)', ' ', 'g'), '[^a-z0-9\s/]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_PHRASE = r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(lower({0}), 'ß', 'ss'), '_-', '  '), '\([^)]*\)', ' ', 'g'), '[^a-z0-9\s/]', ' ', 'g'), '\s+', ' ', 'g'))"""
 _ACCEPT = r"""(phrase <> '' AND phrase NOT IN ('open game license', 'terms of use', 'privacy policy', 'legal information', 'table below')
   AND len(string_split(phrase, ' ')) BETWEEN 2 AND 5 AND NOT regexp_matches(phrase, '^[0-9]')
   AND string_split(phrase, ' ')[1] NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'to', 'for', 'in', 'on', 'by', 'from', 'with', 'without', 'at')

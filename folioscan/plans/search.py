@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from folioscan.operators import answer as A
 from folioscan.operators import evaluate as V
 from folioscan.operators import evidence as E
 from folioscan.operators import index as I
+from folioscan.operators import match as M
 from folioscan.operators import normalize as N
 from folioscan.operators import panels as P
 from folioscan.operators import retrieve as R
@@ -67,8 +70,8 @@ def _tokens_sql(column: str) -> str:
 def _queries_sql(source: str) -> str:
     return f"""
 flat AS (
-  SELECT query_id, raw_query, regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g') AS trimmed, lower(regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g')) AS low,
-    regexp_replace(lower(regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') AS clean
+  SELECT query_id, raw_query, regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g') AS trimmed, replace(lower(regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g')), 'ß', 'ss') AS low,
+    regexp_replace(replace(lower(regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g')), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') AS clean
   FROM ({source})),
 squeezed AS (SELECT *, trim(regexp_replace(clean, '\\s+', ' ', 'g')) AS flat FROM flat),
 aliased AS (SELECT *, {_alias_sql("flat")} AS normalized_text FROM squeezed),
@@ -206,8 +209,67 @@ def ret2_bm25(spark, sf):
     f"WITH {BM25_SQL} SELECT query_id, chunk_id, raw_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score, chunk_id) AS rank FROM scores) WHERE rank <= 5",
 )
 def ret4_top_search(spark, sf):
-    scores = R.bm25(store.stored(bench_queries(spark, sf), "queries"), index(spark, sf))
-    return R.top(scores, "raw_score", 5).select("query_id", "chunk_id", "raw_score", "rank")
+    scores = R.top_scores(store.stored(bench_queries(spark, sf), "queries"), index(spark, sf), 5)
+    return scores.select("query_id", "chunk_id", "raw_score", "rank")
+
+
+#: Forms of raw expressions over the words of a question, by item_id % 6: the text of
+#: the expression, and its phrases (words, is the last a prefix, only in content,
+#: only first, does it count) for the twin.
+MATCH_FORMS = [
+    ("{0} AND {1}", [("w[1:1]", 0, 0, 0, 1), ("w[2:2]", 0, 0, 0, 1)], "1 AND 2"),
+    ('"{0} {1}" OR {4}', [("w[1:2]", 0, 0, 0, 1), ("w[5:5]", 0, 0, 0, 1)], "1 OR 2"),
+    ("{p}* NOT {1}", [("[left(w[3], 3)]", 1, 0, 0, 1), ("w[2:2]", 0, 0, 0, 0)], "1 AND NOT 2"),
+    ("{0} OR {1} OR {2}", [("w[1:1]", 0, 0, 0, 1), ("w[2:2]", 0, 0, 0, 1), ("w[3:3]", 0, 0, 0, 1)], "1 OR 2 OR 3"),
+    ("content : ({0} AND {1} + {p}*)", [("w[1:1]", 0, 1, 0, 1), ("[w[2], left(w[3], 3)]", 1, 1, 0, 1)], "1 AND 2"),
+    ('^{0} OR "{1} {2} {3}" OR chunk_type : {0}', [("w[1:1]", 0, 0, 1, 1), ("w[2:4]", 0, 0, 0, 1)], "1 OR 2"),
+]
+
+
+def _match_sql() -> str:
+    phrases = " UNION ALL ".join(
+        f"SELECT query_id, {form} AS form, {k} AS k, {words} AS words, {pre} = 1 AS pre, {content} = 1 AS content, {first} = 1 AS first, {counts} AS counts FROM q WHERE form = {form}"
+        for form, (_, parts, _) in enumerate(MATCH_FORMS)
+        for k, (words, pre, content, first, counts) in enumerate(parts, 1)
+    )
+    holds = " ".join(
+        f"WHEN {form} THEN {re.sub(r'([0-9]+)', lambda m: f'list_contains(hits, {m[1]})', rule)}" for form, (_, _, rule) in enumerate(MATCH_FORMS)
+    )
+    return f"""{POSTINGS_SQL},
+q AS (SELECT item_id AS query_id, item_id % {len(MATCH_FORMS)} AS form, {_terms("text")} AS w FROM benchmark WHERE len({_terms("text")}) > 4),
+ph AS ({phrases}),
+pw AS (SELECT query_id, k, pre, content, first, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS j FROM ph),
+starts AS (
+  SELECT query_id, k, content, first, n, chunk_id, col, pos - j AS start FROM (
+    SELECT query_id, k, content, first, n, j, chunk_id, col, pos FROM pw JOIN postings p ON p.term = word WHERE NOT (pre AND j = n - 1)
+    UNION ALL SELECT query_id, k, content, first, n, j, chunk_id, col, pos FROM pw JOIN postings p ON left(p.term, 1) = left(word, 1) WHERE starts_with(p.term, word) AND pre AND j = n - 1)
+  WHERE NOT content OR col = 0 GROUP BY ALL HAVING count(*) = n),
+freq AS (SELECT query_id, k, chunk_id, count(*) AS f FROM starts WHERE NOT first OR start = 0 GROUP BY ALL),
+spread AS (SELECT query_id, k, count(*) AS n_p FROM freq GROUP BY ALL),
+hit AS (SELECT query_id, chunk_id, list(k) AS hits FROM freq GROUP BY ALL),
+held AS (SELECT h.* FROM hit h JOIN q USING (query_id) WHERE CASE form {holds} END),
+lengths AS (SELECT c.chunk_id, count(p.term) AS length FROM chunks c LEFT JOIN postings p ON p.chunk_id = c.chunk_id GROUP BY c.chunk_id),
+sizes AS (SELECT count(*) AS n, avg(length) AS avg_length FROM lengths),
+idf AS (SELECT query_id, k, CASE WHEN ln((n - n_p + 0.5) / (n_p + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n_p + 0.5) / (n_p + 0.5)) END AS idf FROM spread, sizes)
+SELECT h.query_id, h.chunk_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) + 0.0 AS raw_score
+FROM held h JOIN ph ON ph.query_id = h.query_id AND counts = 1 JOIN freq f ON f.query_id = h.query_id AND f.k = ph.k AND f.chunk_id = h.chunk_id
+  JOIN idf i ON i.query_id = h.query_id AND i.k = ph.k JOIN lengths l ON l.chunk_id = h.chunk_id, sizes GROUP BY h.query_id, h.chunk_id"""
+
+
+@query("ret4_match", f"WITH {_match_sql()}")
+def ret4_match(spark, sf):
+    """Raw expressions of six forms: sets, phrases, prefixes, columns, first words."""
+    w = F.col("w")
+    asked = D.table(spark, sf, "benchmark").select("item_id", T.index_terms(F.col("text")).alias("w")).filter(F.size("w") > 4)
+    slot = {str(i): F.get(w, F.lit(i)) for i in range(5)} | {"p": F.substring(F.get(w, F.lit(2)), 1, 3)}
+
+    def text(form: str):
+        return F.concat(*[slot[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{.\})", form) if p])
+
+    made = F.lit(None).cast("string")
+    for i, (form, _, _) in enumerate(MATCH_FORMS):
+        made = F.when(F.col("item_id") % len(MATCH_FORMS) == i, text(form)).otherwise(made)
+    return M.match_scores(asked.select(F.col("item_id").alias("query_id"), made.alias("expression")), index(spark, sf))
 
 
 @query(

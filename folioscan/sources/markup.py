@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BODY_SIZE = 24  # half-points
@@ -130,7 +130,14 @@ def merged(pieces: Iterator[tuple[str, int, bool]]) -> list[dict]:
             out[-1][0].append(text)
         else:
             out.append(([text], size, bold))
-    return [{"text": "".join(t), "font_size": s, "bold": b} for t, s, b in out]
+    return [{"text": _paired("".join(t)), "font_size": s, "bold": b} for t, s, b in out]
+
+
+def _paired(text: str) -> str:
+    """Escapes give characters beyond 16 bits in halves; a half alone is no character."""
+    if not re.search("[\ud800-\udfff]", text):
+        return text
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def rich_text(source: str) -> str:
@@ -153,3 +160,26 @@ def spans(files: DataFrame, column: str = "content", kind: str = "rich_text") ->
     return found.select("file", F.posexplode("s").alias("span_no", "x")).select(
         "file", "span_no", "x.text", "x.font_size", "x.bold"
     )
+
+
+def _escaped(c: Column) -> Column:
+    """A character as rich text writes it."""
+    code = F.ascii(c)
+    unit = lambda n: F.concat(F.lit("\\u"), F.when(n > 32767, n - 65536).otherwise(n).cast("string"), F.lit("?"))
+    over = code - 65536
+    return (
+        F.when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c))
+        .when(c == "\n", F.lit("\\par ")).when(c == "\t", F.lit("\\tab ")).when(c == "\r", F.lit("\\'0d"))
+        .when(code > 65535, F.concat(unit(F.lit(0xD800) + F.shiftright(over, 10)), unit(F.lit(0xDC00) + over.bitwiseAND(1023))))
+        .when(code > 127, unit(code)).otherwise(c)
+    )
+
+
+def as_rich_text(spans: DataFrame) -> DataFrame:
+    """spans: file, span_no, text, font_size, bold.  file and content: one rich text
+    each, which reads back as these spans, neighbours of one format joined."""
+    text = F.array_join(F.transform(F.split("text", ""), _escaped), "")
+    mark = F.concat(F.lit("{\\fs"), F.col("font_size").cast("string"), F.when(F.col("bold"), "\\b ").otherwise("\\b0 "), text, F.lit("}"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("span_no", mark.alias("m")))), lambda s: s["m"])
+    whole = F.concat(F.lit("{\\rtf1\\ansi\\uc1{\\fonttbl{\\f0 Serif;}}"), F.array_join(parts, ""), F.lit("}"))
+    return spans.groupBy("file").agg(whole.alias("content"))

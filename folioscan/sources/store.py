@@ -33,10 +33,59 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _raw(spark: SparkSession, path: str):
+    """As _fs; of a local disk without checksum files, since people edit such files."""
+    p, fs = _fs(spark, path)
+    # of Hadoop or Hive, by session
+    return p, fs.getRaw() if fs.getClass().getSimpleName() in ("LocalFileSystem", "ProxyLocalFileSystem") else fs
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no folder.  Files that are still
+    being written have names with a dot in front and are left out."""
+    p, fs = _fs(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if not n.startswith("."))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read on the driver."""
+    p, fs = _raw(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Creates a small file whole, or fails if there is one: it is written under
+    another name and then renamed, which replaces nothing."""
+    p, fs = _raw(spark, path)
+    part, _ = _raw(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(part)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(f"{path} was written by another commit")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _raw(spark, path)
+    fs.delete(p, True)
+
+
 def _versions(spark: SparkSession, root: str) -> list[str]:
     """Published versions, the newest last."""
-    p, fs = _fs(spark, f"{root}/CURRENT")
-    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+    return children(spark, f"{root}/CURRENT")
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> str:

@@ -285,13 +285,63 @@ def test_slices_by_rule():
 
 
 def test_marks_in_phrases_and_targets(spark):
-    terms = TermAssets({"a+b": r"c$1 \d", r"x\ey": "plain"}, (r"p\eq", "r*s"))
-    text = F.lit(r"see a+b and x\ey or p\eq or r*s")
-    assert value(spark, normalize.with_aliases(text, terms.aliases)) == r"see c$1 \d and plain or p\eq or r*s"
-    assert value(spark, normalize.phrases_in(text, terms)) == [r"p\eq", "r*s"]
+    terms = normalize.Vocabulary.of(spark, TermAssets({"a+b": r"c$1 \d", r"x\ey": "plain"}, (r"p\eq", "r*s")))
+    texts = spark.createDataFrame([(1, r"see a+b and x\ey or p\eq or r*s"), (2, "ba+b a+bc"), (3, None)], "i int, t string")
+    got = {r.i: (r.t, r.aliases_applied) for r in normalize.with_aliases(texts, "t", "i", terms.aliases).collect()}
+    assert got == {1: (r"see c$1 \d and plain or p\eq or r*s", ["a+b", r"x\ey"]), 2: ("ba+b a+bc", []), 3: (None, [])}
+    found = normalize.found_in(texts, "t", ["i"], terms.phrases).collect()
+    assert sorted((r.i, r.phrase) for r in found) == [(1, r"p\eq"), (1, "r*s")]
     assert value(spark, T.has_phrase(F.lit(r"a p\Eq b"), F.lit(r"p\Eq"))) is True
 
 
+def test_aliases_in_their_order(spark):
+    """What an alias puts in a later one may match, an earlier one not; neighbours
+    both change."""
+    assets = TermAssets({"b": "c", "a": "b", "c d": "e", "b b": "x"})
+    rows = [(1, "a"), (2, "b d"), (3, "a a"), (4, "b b b"), (5, "ab"), (6, ""), (6, "a")]
+    got = normalize.normalize(spark.createDataFrame(rows, "query_id int, raw_query string"), assets)
+    assert sorted((r.query_id, r.normalized_text, tuple(r.aliases_applied)) for r in got.collect()) == [
+        (1, "b", ("a",)), (2, "e", ("b", "c d")), (3, "x", ("a", "b b")), (4, "c c c", ("b",)), (5, "ab", ()), (6, "", ()), (6, "b", ("a",)),
+    ]
+
+
+def test_variants_and_overlapping_phrases(spark):
+    assets = TermAssets({}, ("armor class", "touch armor class", "class feature"), ("saving throws", "flat-footed"))
+    rows = [(1, "Touch armor class feature; saving throws, flat-footed"), (2, "class armor"), (3, "armor class armor class")]
+    got = {r.query_id: r for r in normalize.normalize(spark.createDataFrame(rows, "query_id int, raw_query string"), assets).collect()}
+    assert got[1].protected_phrases == ["touch armor class", "armor class", "class feature", "saving throws"]
+    assert got[1].tokens == ["touch armor class", "feature", "saving throws", "flat", "footed"]
+    assert got[2].tokens == ["class", "armor"] and got[3].tokens == ["armor class", "armor class"] and got[3].protected_phrases == ["armor class"]
+
+
+def test_case_folding(spark):
+    words = ["STRASSE Straße", "ſtraſe ς Σ", "ﬁne ŉ", "İ ẞ", "ΐ", "plain"]
+    for w in words:
+        assert value(spark, T.casefold(F.lit(w))) == w.casefold(), w
+
+
+def test_large_vocabulary(spark):
+    """100,000 phrases and as many aliases as tables."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    phrases = sorted({" ".join(rng.choices(words, k=rng.choice([2, 3, 4]))) for _ in range(100_000)})
+    aliases = [(i, f"q{i}", f"w{i % 3000} w{i % 7}") for i in range(100_000)]
+    known = normalize.Vocabulary(
+        spark.createDataFrame(aliases, "ord long, source string, target string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    )
+    rows = [(i, f"{words[i]} {phrases[i * 37]} q{i} {phrases[i * 11]} tail") for i in range(300)]
+    have, seen = set(phrases), 0
+    for r in normalize.normalize(spark.createDataFrame(rows, "query_id int, raw_query string"), known).collect():
+        text = rows[r.query_id][1].replace(f" q{r.query_id} ", f" w{r.query_id % 3000} w{r.query_id % 7} ").split()
+        assert r.normalized_text.split() == text
+        runs = {" ".join(text[i : i + n]) for i in range(len(text)) for n in (2, 3, 4) if i + n <= len(text)}
+        assert set(r.protected_phrases) == runs & have and r.aliases_applied == [f"q{r.query_id}"]
+        seen += len(r.protected_phrases)
+    assert seen >= 600
+
+
 def test_term_buckets_and_assets(spark, tmp_path):
     import json
 
@@ -301,10 +351,24 @@ def test_term_buckets_and_assets(spark, tmp_path):
     counts = spark.createDataFrame([("old title", 9), ("attack roll", 3), ("plain words", 4), ("rare words", 3)], "phrase string, n long")
     got = {r.phrase: (r.is_protected, r.is_content) for r in terms.term_buckets(titles, counts).collect()}
     assert got == {"old title": (True, True), "attack roll": (True, False), "plain words": (False, True)}
-    assets = terms.term_assets(terms.term_buckets(titles, counts), ["b c", "a b"], {"x": "y"})
-    assert assets["protected_phrases"] == ["a b", "b c"] and assets["extraction_candidates"] == sorted(got)
-    assert terms.write_term_assets(assets, str(tmp_path)) == ["canonical_aliases.json", "extraction_candidates.json", "protected_phrases.json", "surface_variants.json"]
-    assert json.loads((tmp_path / "canonical_aliases.json").read_text()) == {"x": "y"}
+    root = str(tmp_path)
+    for _ in range(2):  # a second run replaces the first
+        names = terms.write_term_assets(terms.term_buckets(titles, counts), root, ["b c", "a b", "a b"], {"x": "y z", "b": "c"}, ["bs c"])
+    assert names == ["canonical_aliases.json", "extraction_candidates", "protected_phrases.json", "surface_variants.json"]
+    assert json.loads((tmp_path / "protected_phrases.json").read_text()) == ["a b", "b c"]
+    assert [r.value for r in spark.read.text(f"{root}/extraction_candidates").collect()] == sorted(got)
+    # what is written can be read, and is used
+    known = terms.read_vocabulary(spark, root)
+    asked = spark.createDataFrame([(1, "x bs c")], "query_id int, raw_query string")
+    assert normalize.normalize(asked, known).first().tokens == ["y", "z", "bs c"]
+    (tmp_path / "surface_variants.json").write_text('{"a": 1}')
+    with pytest.raises(ValueError, match="surface_variants"):
+        terms.read_vocabulary(spark, root)
+    (tmp_path / "surface_variants.json").unlink()
+    with pytest.raises(Exception, match="surface_variants"):
+        terms.read_vocabulary(spark, root).phrases.collect()
+    spark.createDataFrame([("long list",)], "value string").write.text(f"{root}/surface_variants")
+    assert {r.phrase for r in terms.read_vocabulary(spark, root).phrases.collect()} == {"a b", "b c", "long list"}
 
 
 def test_entry_types_from_a_registry(tmp_path):

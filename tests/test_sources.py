@@ -3,8 +3,8 @@ import zipfile
 
 import pytest
 
+from folioscan import schemas
 from folioscan.sources import markup, scan, store
-from folioscan.streaming.index_stream import index_stream
 
 
 def test_rich_text_spans():
@@ -84,16 +84,6 @@ def test_publish_keeps_the_old_version(spark, tmp_path):
     assert store.published(spark, root, "t")["t"].count() == 5
 
 
-def test_index_stream(spark, tmp_path):
-    from folioscan.plans.corpus import chunks
-
-    source = str(tmp_path / "chunks")
-    chunks(spark, "/root/testdata/sf0.001").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    index_stream(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "ix/postings")).select("chunk_id").distinct().count() == spark.read.parquet(source).count()
-
-
 def rich(*lines):
     """A rich text of (text, size, bold) lines."""
     return b"{\\rtf1 " + b"".join(b"{\\fs%d%s %s}\\par\n" % (size, b"\\b" if bold else b"", text.encode()) for text, size, bold in lines) + b"}"
@@ -126,6 +116,39 @@ def test_command_line(spark, tmp_path, capsys):
     cli.chunk(spark, cli.parser().parse_args(["chunk", "--documents", at("docs"), "--output", at("chunks"), "--settings", at("chunking.json")]))
     assert spark.read.parquet(at("chunks")).filter("parent_chunk_id is not null and entry_title = 'Fire Ball'").count() > 0
     cli.build(spark, cli.parser().parse_args(["index", "--chunks", at("chunks"), "--output", at("ix")]))
+    # the same in segments, with terms as the command of that name writes them
+    cli.build(spark, cli.parser().parse_args(["index", "--update", "--chunks", at("chunks"), "--output", at("seg")]))
+    (tmp_path / "reviewed.json").write_text(json.dumps({"phrases": ["fire ball"], "aliases": {"fb": "fire ball"}, "variants": ["fire balls"]}))
+    cli.mine(spark, cli.parser().parse_args(["terms", "--documents", at("docs"), "--chunks", at("chunks"), "--output", at("terms"), "--reviewed", at("reviewed.json")]))
+    capsys.readouterr()
+    cli.show(spark, cli.parser().parse_args(["retrieve", "--query", "FB", "--index", at("seg"), "--terms", at("terms"), "--text"]))
+    out = capsys.readouterr().out
+    for part in ("Normalized: fire ball", "Tokens:     ['fire ball']", "Aliases:    ['fb']", "PIPELINE TRACE", "--- Evidence #1 (rank 1) ---", "signals:     section_path_hit", "exact=['fire ball']", "adjacency:   parent=", "→2 spans"):
+        assert part in out, out
+    cli.show(spark, cli.parser().parse_args(["retrieve", "--query", "FB", "--index", at("seg"), "--terms", at("terms"), "--debug"]))
+    told = json.loads(capsys.readouterr().out)
+    assert told["query"]["protected_phrases"] == ["fire ball"] and told["trace"]["total_candidates"] >= len(told["evidence"]) > 0
+    assert told["evidence"][0]["locator"]["section_path"] == ["Spells", "Fire Ball"] and told["trace"]["groups"][0]["span_count"] > 0
+    cli.search(spark, cli.parser().parse_args(["search", "--expression", 'section_path_text : "fire ball" NOT blade', "--index", at("seg")]))
+    assert "Fire Ball" in capsys.readouterr().out
+    with pytest.raises(SystemExit, match="malformed"):
+        cli.search(spark, cli.parser().parse_args(["search", "--expression", "fire AND", "--index", at("seg")]))
+    (tmp_path / "gone.txt").write_text("\n".join(r.chunk_id for r in spark.read.parquet(at("chunks")).select("chunk_id").collect()[1:]))
+    cli.build(spark, cli.parser().parse_args(["index", "--delete", at("gone.txt"), "--output", at("seg")]))
+    cli.merge(spark, cli.parser().parse_args(["merge", "--index", at("seg"), "--vacuum"]))
+    from folioscan.operators import index
+
+    assert index.open_index(spark, at("seg")).sizes.first().n == 1
+    # a schema is kept to, or told
+    (tmp_path / "schemas").mkdir()
+    for name, made in (("chunk", schemas.chunk()), ("common", schemas.common(("core",), ("",)))):
+        (tmp_path / f"schemas/{name}.schema.json").write_text(json.dumps(made))
+    again = ["chunk", "--documents", at("docs"), "--settings", at("chunking.json"), "--schema", at("schemas/chunk.schema.json"), "--force", "--output"]
+    cli.chunk(spark, cli.parser().parse_args([*again, at("chunks2")]))
+    (tmp_path / "schemas/common.schema.json").write_text(json.dumps(schemas.common(("other",), ("",))))
+    with pytest.raises(ValueError, match=r"source_ref.source_type: enum"):
+        cli.chunk(spark, cli.parser().parse_args([*again, at("chunks3")]))
+    assert not (tmp_path / "chunks3").exists()
     cli.show(spark, cli.parser().parse_args(["answer", "--query", "fire ball", "--index", at("ix"), "--text"]))
     out = capsys.readouterr().out
     assert "ANSWER (" in out and "locator: Spells > Fire Ball" in out and "Candidates entering shaping" in out
