@@ -50,7 +50,9 @@ CONTEXT = re.compile(
     r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is\x20+)?)["']?((?:Bearer\x20+|Basic\x20+)?)([^\s"'<>,;]{8,})""",
     re.ASCII,
 )
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]{8,})@", re.ASCII)
+#: The part of an address behind its scheme, which is looked for backwards, so that
+#: a run of letters that leads to no address is read once.
+URL = re.compile(r"(?<=[a-z0-9+.-])://[^\s/:@]++:([^\s/@]{8,}+)@", re.ASCII)
 #: Common words of passwords, most common first (fixed list; the rank is the cost).
 WORDS = (
     "password pass admin welcome login letmein master dragon monkey qwerty abc love hello secret "
@@ -150,9 +152,16 @@ def guess_bits(value: str) -> float:
     return _PLAIN.bits(value)
 
 
+def _has_scheme(text: str, end: int) -> bool:
+    """Whether the characters of a scheme before end hold a letter."""
+    while end and text[end - 1] in "0123456789+.-":
+        end -= 1
+    return bool(end) and "a" <= text[end - 1] <= "z"
+
+
 def _values(text: str) -> list[tuple[int, int]]:
     """Values in a credential context, without closing punctuation."""
-    found = {m.span(2) for m in CONTEXT.finditer(text)} | {m.span(1) for m in URL.finditer(text)}
+    found = {m.span(2) for m in CONTEXT.finditer(text)} | {m.span(1) for m in URL.finditer(text) if _has_scheme(text, m.start())}
     out = []
     for a, b in sorted(found):
         while b > a and text[b - 1] in ".:!?)]}":
