@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 A low-discrepancy schedule deals slots to the sources: the golden-ratio points
-frac(i * phi) are mapped through the cumulative shares of the sources, the slots
+frac(i * phi), as whole numbers of 80 bits, are mapped through the cumulative shares of the sources, the slots
 of a source are ranked, and slot k of a source takes the k-th equal-token block
 of that source's shuffled words, starting over at its end.  The schedule alone
 says what is taken and when: a source gets the slots its points fall to, up to
@@ -10,7 +10,11 @@ functions are used.
 
 A share of k slots out of n is an interval of length k / n.  The gaps between the
 first 2n golden-ratio points are below 1.9 / 2n (three-gap theorem), so at least
-k of these points fall into it: 2n points serve every source in full.
+k of these points fall into it: 2n points serve every source in full.  The points
+are exact (i times a whole number, modulo 2^80), and so are the bounds of the
+intervals; that number is as far from small fractions as the golden ratio itself
+up to about 2^39 points, and a mix with more slots than that is an error.  Should a
+source be served fewer slots than it needs, the mix is an error too.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; null
 sources form one source, the last; repeated rows are separate rows; an empty
@@ -20,18 +24,21 @@ table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
+from math import isqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, running_sum
 
 #: A word is a run of characters that are none of these: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Frozen constant of the schedule: 1 / golden ratio.
-PHI = 0.6180339887498949
-#: Points per slot (see above).
-POINTS = 2
+#: Points are whole numbers below 2^BITS; TURN is 2^BITS over the golden ratio, odd.
+BITS = 80
+TURN = (isqrt(5 << 2 * BITS) - (1 << BITS)) >> 1 | 1
+#: Points per slot (see above), and the most slots of a mix.
+POINTS, MAX_SLOTS = 2, 2**38
 
 
 @dataclass(frozen=True)
@@ -108,11 +115,41 @@ def quotas(targets: DataFrame, block: int) -> DataFrame:
     )
 
 
+def _whole(value: int) -> Column:
+    return F.lit(Decimal(value)).cast("decimal(25, 0)")
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole division of decimals; the result is below 2^63 wherever it is used."""
+    return F.call_function("div", a.cast("decimal(38, 0)"), b.cast("decimal(38, 0)"))
+
+
+def point(i: Column) -> Column:
+    """Point i of the schedule, below 2^BITS; exact for i below 2^40."""
+    return i.cast("decimal(13, 0)") * _whole(TURN) % _whole(1 << BITS)
+
+
+def bound(before: Column, slots: Column) -> Column:
+    """The least point that is not below before / slots of all, exactly: the
+    quotient of before * 2^BITS and slots in two halves."""
+    half = _whole(1 << BITS // 2)
+    first = before.cast("decimal(13, 0)") * half
+    rest = (first % slots.cast("decimal(13, 0)")).cast("decimal(13, 0)") * half
+    more = F.when(rest % slots.cast("decimal(13, 0)") > 0, 1).otherwise(0)
+    return (_div(first, slots).cast("decimal(13, 0)") * half + _div(rest, slots).cast("decimal(13, 0)") + more).cast("decimal(25, 0)")
+
+
+def _cell(c: Column, config: MixConfig) -> Column:
+    return _div(c, _whole((1 << BITS) // config.grid))
+
+
 def schedule(plan: DataFrame, n_slots: int, config: MixConfig) -> DataFrame:
     """The mix: one row per slot with position, sid, rank, block and words (how
     many words of the block it takes; only a source's last slot takes fewer).
     Points beyond a source's need are passed over."""
     spark, block = plan.sparkSession, config.block
+    if n_slots > MAX_SLOTS:
+        raise ValueError(f"a mix of {n_slots} slots: take larger blocks, at most {MAX_SLOTS} slots are dealt")
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("need").over(Window.partitionBy())
     spans = (
@@ -124,30 +161,26 @@ def schedule(plan: DataFrame, n_slots: int, config: MixConfig) -> DataFrame:
         )
         .select(
             "sid",
-            (F.col("before") / F.col("slots")).alias("lo"),
-            ((F.col("before") + F.col("need")) / F.col("slots")).alias("hi"),
+            bound(F.col("before"), F.col("slots")).alias("lo"),
+            bound(F.col("before") + F.col("need"), F.col("slots")).alias("hi"),
         )
     )
     cells = spans.withColumn(
         "cell",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("lo") * config.grid), F.floor(F.col("hi") * config.grid).cast("long")
-            )
-        ),
-    )
-    turn = F.col("id") * F.lit(PHI)
-    points = (
-        spark.range(POINTS * n_slots)
-        .withColumn("u", turn - F.floor(turn))
-        .withColumn("cell", F.floor(F.col("u") * config.grid))
+        F.explode(F.sequence(_cell(F.col("lo"), config), _cell(F.col("hi") - 1, config))),
     )
-    dealt = (
+    points = spark.range(POINTS * n_slots).withColumn("u", point(F.col("id")))
+    points = points.withColumn("cell", _cell(F.col("u"), config))
+    dealt = materialize(
         points.join(cells, "cell")
         .filter("u >= lo and u < hi")
-        .select("id", "sid", F.expr("id div 65536").alias("part"), F.lit(1).alias("one"))
+        .select("id", "sid", F.expr("id div 65536").alias("part"), F.lit(1).alias("one")),
+        "mix-dealt",
     )
     ranked = running_sum(dealt, ["sid"], "part", ["id"], "one", "rank").select("id", "sid", "rank")
+    short = dealt.groupBy("sid").agg(F.count(F.lit(1)).alias("served")).join(plan.filter("need > 0"), "sid", "right")
+    if not short.filter("coalesce(served, 0) < need").isEmpty():
+        raise RuntimeError("the points serve a source fewer slots than it needs")
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     last = F.col("rest") - (F.col("need") - 1 - F.col("full") * F.col("n_blocks")) * block
     return (

@@ -96,12 +96,12 @@ def brute_mix(placed, config):
     total = sum(p.need for p in plan)
     before, spans = 0, []
     for p in sorted(plan, key=lambda p: p.sid):
-        spans.append((before / total, (before + p.need) / total, p))
+        spans.append((-(-(before << mixing.BITS) // total), -(-(before + p.need << mixing.BITS) // total), p))
         before += p.need
     words = {p.sid: [d for d, n in order[p.sid] for _ in range(n)] for p in plan}
     used, taken, first = {p.sid: 0 for p in plan}, {}, {}
     for i in range(2 * total):
-        u = i * mixing.PHI % 1.0
+        u = i * mixing.TURN % 2**mixing.BITS
         p = next((p for lo, hi, p in spans if lo <= u < hi), None)
         if p is None or used[p.sid] >= p.need:
             continue
@@ -128,8 +128,50 @@ def test_mixing_follows_the_schedule(spark, docs, block, monkeypatch):
     taken, first = brute_mix((order, plan.collect()), config)
     got = {r.doc_id: (r.taken, r.first_position) for r in mixing.mix(some, config).collect()}
     assert got == {d: (taken.get(d, 0), first.get(d)) for d in got}
-    monkeypatch.setattr(mixing, "PHI", 0.0)  # the points decide: without them the mix is another
+    # the points decide: with others the mix is another, and without any an error
+    monkeypatch.setattr(mixing, "TURN", (1 << mixing.BITS) - mixing.TURN)
     assert {r.doc_id: (r.taken, r.first_position) for r in mixing.mix(some, config).collect()} != got
+    monkeypatch.setattr(mixing, "TURN", 0)
+    with pytest.raises(RuntimeError, match="fewer slots"):
+        mixing.mix(some, config).collect()
+
+
+def test_points_and_bounds_are_exact_at_any_size(spark):
+    """Near the largest mix: points, bounds of intervals, and that 2n points serve
+    intervals of one and of a few slots in full (points in an interval are counted
+    by inverting the turn, not one by one)."""
+    top, one = 2**mixing.BITS, 1 << 38
+    ids = [0, 1, 2**27 + 1, 2**32 + 5, 2**39 + 12_345, 2 * one - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixing.point(mixing.F.col("i")).alias("u")).collect()
+    assert all(int(r.u) == r.i * mixing.TURN % top for r in got)
+    cuts = [(b, n) for n in (3, 2**27 + 9, 2**32 - 5, one) for b in (0, 1, n // 3, n - 1, n)]
+    rows = spark.createDataFrame(cuts, "b long, n long")
+    got = rows.select("b", "n", mixing.bound(mixing.F.col("b"), mixing.F.col("n")).alias("lo")).collect()
+    assert all(int(r.lo) == -(-r.b * top // r.n) for r in got)
+
+    def up_to(n, size, lo):
+        """How many i < n have a point in [lo, lo + size)."""
+        def floors(n, m, a, b):  # sum of (a * i + b) // m over i < n
+            total = 0
+            while True:
+                total += (n - 1) * n // 2 * (a // m) + n * (b // m)
+                a, b = a % m, b % m
+                most = a * n + b
+                if most < m:
+                    return total
+                n, b = divmod(most, m)
+                m, a = a, m
+        return floors(n, top, mixing.TURN, top - lo) - floors(n, top, mixing.TURN, top - lo - size)
+
+    rng = random.Random(7)
+    for n in (2**24, 2**28, 2**32, one):
+        for need in (1, 2, 7):
+            for _ in range(200):
+                b = rng.randrange(n - need)
+                lo, hi = (-(-x * top // n) for x in (b, b + need))
+                assert up_to(2 * n, hi - lo, lo) >= need
+    with pytest.raises(ValueError, match="larger blocks"):
+        mixing.schedule(spark.createDataFrame([(0, 1)], "sid int, need long"), mixing.MAX_SLOTS + 1, mixing.MixConfig())
 
 
 def test_mix_is_even_along_its_order(docs):
@@ -678,6 +720,28 @@ def test_secrets_by_cost_alone(text):
     assert not any("password" in full[a:b] for full in [text.format("password")] for k, a, b in secrets.spans_of(full) if k == "guess")
 
 
+@pytest.mark.parametrize("unit", ["abcdefghijklmnop", "0123456789abcdef", "a.b.c", "a://b:cccccccc", "pass_", "+-.", "://"])
+def test_secrets_of_very_long_runs(unit):
+    text = "key " + unit * (1_000_000 // len(unit))
+    start = time.time()
+    secrets.spans_of(text)
+    assert time.time() - start < 2
+
+
+def test_secrets_value_of_a_million_characters():
+    start = time.time()
+    found = secrets.spans_of("password=" + "qzvhxk" * 160_000)
+    assert [k for k, *_ in found] == ["assign"] and time.time() - start < 30
+
+
+def test_secrets_in_addresses():
+    """The scheme needs a letter, and is looked for backwards."""
+    value = "qzvhxkwrjtgpbmyfdncsulea"
+    for head, hit in (("https", True), ("a+b.c-9", True), ("9", False), ("+.", False), ("A", False), ("", False)):
+        full = f"auth {head}://user:{value}@host"
+        assert any(full[a:b] == value for k, a, b in secrets.spans_of(full) if k == "guess") is hit
+
+
 def test_secrets_long_names():
     start = time.time()
     assert not list(secrets.CONTEXT.finditer("a-" * 100_000 + "b " + "a_" * 100_000))
