@@ -15,7 +15,7 @@ from folioscan import schemas
 from folioscan.config import BoundaryConfig, ChunkConfig, Constraints, TermAssets
 from folioscan.functions import text as T
 from folioscan.operators import answer, blocks, chunks, entries, evaluate, evidence, index, match, normalize, panels, render, retrieve, sections, segments, terms
-from folioscan.sources import markup, scan, store
+from folioscan.sources import json_files, markup, scan, store
 
 
 def fetch(spark, args) -> None:
@@ -24,7 +24,7 @@ def fetch(spark, args) -> None:
 
 
 def ingest(spark, args) -> None:
-    files = scan.read_rich_text(spark, args.root, args.limit)
+    files = scan.read_rich_text(spark, args.root, args.limit, args.archives)
     names = files.select("file", "file_name", "file_stem")
     kinds = scan.read_content_types(args.types) if args.types else []
     demoted = names.filter(F.col("file_name").isin(*args.demote.split(","))) if args.demote else None
@@ -46,6 +46,9 @@ def ingest(spark, args) -> None:
         out = store.stored(out.withColumn("source_title", F.lit(args.title or args.source_id)), "documents")
         _keep_to(schemas.broken_documents(out, *schemas.read(args.schema)), args.schema)
     out.write.mode(mode).parquet(args.output)
+    if args.records:
+        named = schemas.nested_documents(spark.read.parquet(args.output)).select(F.col("document_id").alias("__file"), "record.*")
+        json_files.write_records(named, args.records, "__file", args.force, drop_name=True)
     if args.extracted:
         text = spans.groupBy("file").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), "").alias("text")
@@ -69,6 +72,9 @@ def chunk(spark, args) -> None:
         made = store.stored(made, "chunks")
         _keep_to(schemas.broken_chunks(made.withColumn("source_title", F.coalesce(F.lit(args.title), F.col("source_id"))), *schemas.read(args.schema)), args.schema)
     made.write.mode("overwrite" if args.force else "errorifexists").parquet(args.output)
+    if args.records:
+        named = schemas.nested(spark.read.parquet(args.output), schemas.CHUNK_FIELDS).select(F.col("chunk_id").alias("__file"), "record.*")
+        json_files.write_records(named, args.records, "__file", args.force, drop_name=True)
 
 
 def mine(spark, args) -> None:
@@ -188,8 +194,8 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("fetch", fetch, "manifest", "root", dry_run=False, force=False)
-    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", types=None, demote="", boilerplate="", extracted=None, schema=None, title=None, force=False).add_argument("--limit", type=int)
-    command("chunk", chunk, "documents", "output", settings=None, schema=None, title=None, force=False)
+    command("ingest", ingest, "root", "output", source_id="source", edition="", source_type="", authority="", types=None, demote="", boilerplate="", extracted=None, records=None, schema=None, title=None, archives=False, force=False).add_argument("--limit", type=int)
+    command("chunk", chunk, "documents", "output", settings=None, records=None, schema=None, title=None, force=False)
     command("terms", mine, "documents", "chunks", "output", reviewed=None)
     command("preview", preview, "chunks")
     command("index", build, "output", chunks=None, update=False, delete=None)

@@ -81,14 +81,15 @@ def broken(rows: DataFrame, key: str, text: str, schema: dict, store: dict[str,
 
 
 def nested(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The rows with a column json: one object each of the columns in names (column
-    to field); columns of the source and of the place are parts of source_ref and
-    locator.  Nulls are left out."""
+    """The rows with a column record, of the columns in names (column to field) and
+    of source_ref and locator, which take the columns of the source and of the
+    place, and a column json, the same as text.  Nulls are left out of the text."""
     some = lambda *cols: F.struct(*[F.col(c).alias(n) for c, n in cols if c in rows.columns])
     ref = some(*[(c, c) for c in ("source_id", "edition", "source_type", "authority_level")], ("source_title", "title"))
     place = some(("section_path", "section_path"), ("source_location", "source_location"), ("entry_title", "entry_title"))
     fields = [F.col(c).alias(n) for c, n in names.items() if c in rows.columns]
-    return rows.withColumn("json", F.to_json(F.struct(*fields, ref.alias("source_ref"), place.alias("locator"))))
+    record = F.struct(*fields, ref.alias("source_ref"), place.alias("locator"))
+    return rows.withColumn("record", record).withColumn("json", F.to_json("record"))
 
 
 CHUNK_FIELDS = {c: c for c in ("chunk_id", "document_id", "chunk_type", "content", "parent_chunk_id", "previous_chunk_id", "next_chunk_id", "chunk_version", "split_origin")}
@@ -99,12 +100,19 @@ def broken_chunks(chunks: DataFrame, schema: dict | None = None, store: dict[str
     return broken(nested(chunks, CHUNK_FIELDS), "chunk_id", "json", schema or chunk(), store if store is not None else {COMMON: common()})
 
 
-def broken_documents(docs: DataFrame, schema: dict | None = None, store: dict[str, dict] | None = None) -> DataFrame:
-    """document_id and broken of canonical documents, as ingest makes them."""
+DOCUMENT_FIELDS = {c: c for c in ("document_id", "content", "document_title", "source_checksum", "source_version", "ingested_at", "processing_hints")}
+
+
+def nested_documents(docs: DataFrame) -> DataFrame:
+    """Canonical documents, as ingest makes them, with record and json."""
     cuts = F.transform(
         "cuts", lambda c: F.struct(F.lit("stat_block_end").alias("kind"), c["offset"].alias("char_offset"), c["type"].alias("child_chunk_type"))
     )
     hints = F.struct(F.col("chunk_type_hint"), F.when(F.size("cuts") > 0, cuts).alias("structure_cuts"))
     hinted = docs.withColumn("processing_hints", F.when(F.col("chunk_type_hint").isNotNull(), hints))
-    names = {c: c for c in ("document_id", "content", "document_title", "source_checksum", "processing_hints")}
-    return broken(nested(hinted, names), "document_id", "json", schema or canonical(), store if store is not None else {COMMON: common()})
+    return nested(hinted, DOCUMENT_FIELDS)
+
+
+def broken_documents(docs: DataFrame, schema: dict | None = None, store: dict[str, dict] | None = None) -> DataFrame:
+    """document_id and broken of canonical documents."""
+    return broken(nested_documents(docs), "document_id", "json", schema or canonical(), store if store is not None else {COMMON: common()})

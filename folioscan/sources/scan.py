@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import shutil
@@ -11,6 +12,7 @@ import urllib.request
 import zipfile
 from pathlib import Path, PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +38,55 @@ GOLD = (
 )
 
 
-def read_rich_text(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """The *.rtf files of a folder: file, file_name, file_stem, content, sha1; the
-    first `limit` by name."""
-    if limit is not None and limit <= 0:
-        raise ValueError("limit must be positive")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(root)
+def _rich_files(raw: DataFrame) -> DataFrame:
+    """Rows of binary files (or of archive members) as texts."""
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    files = raw.select(
+    return raw.select(
         F.col("path").alias("file"),
         name.alias("file_name"),
         F.regexp_replace(name, r"\.rtf$", "").alias("file_stem"),
         F.decode("content", "ISO-8859-1").alias("content"),
         F.sha1("content").alias("sha1"),
     )
-    return files if limit is None else files.orderBy("file_name").limit(limit)
+
+
+def read_rich_text(spark: SparkSession, root: str, limit: int | None = None, archives: bool = False) -> DataFrame:
+    """The *.rtf files of a folder: file, file_name, file_stem, content, sha1; the
+    first `limit` by name.  With archives those in its *.zip files too, as
+    archive!/member."""
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be positive")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.rtf").load(root).select("path", "content")
+    if archives:
+        raw = raw.unionByName(members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root)).filter("path like '%.rtf'"))
+    files = _rich_files(raw)
+    return files if limit is None else files.orderBy("file_name", "file").limit(limit)
+
+
+def rich_text_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same as a stream: each *.rtf file that comes to the folder, once."""
+    source = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.rtf")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    return _rich_files(source.schema(kinds).load(root))
+
+
+def members(archives: DataFrame) -> DataFrame:
+    """archives: path and content of zip files.  path (archive!/member) and content
+    of each file in them; an archive that is empty or has a member that is unsafe
+    to unpack is an error, as it is for unzip.  One archive is read in one task."""
+
+    def of(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        out = []
+        for path, content in zip(paths, contents, strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                out.append([{"path": f"{path}!/{m.filename}", "content": z.read(m)} for m in safe_members(z, path)])
+        return pd.Series(out, dtype=object)
+
+    of.__annotations__ = {"paths": pd.Series, "contents": pd.Series, "return": pd.Series}
+    found = F.pandas_udf(of, "array<struct<path:string,content:binary>>")("path", "content")
+    return archives.select(F.explode(found).alias("m")).select("m.path", "m.content")
 
 
 def _json(spark: SparkSession, path: str, schema: str, without: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
@@ -163,18 +199,25 @@ def verify(path: str | Path, wanted: dict[str, str]) -> dict[str, str]:
     return found
 
 
+def safe_members(z: zipfile.ZipFile, name: str | Path) -> list[zipfile.ZipInfo]:
+    """The files of an archive, none of them a link or outside of its folder."""
+    found = [m for m in z.infolist() if not m.is_dir()]
+    if not found:
+        raise ValueError(f"{name} is empty")
+    for m in found:
+        parts = PurePosixPath(m.filename)
+        if stat.S_ISLNK(m.external_attr >> 16) or parts.is_absolute() or ".." in parts.parts:
+            raise ValueError(f"unsafe member {m.filename}")
+    return found
+
+
 def unzip(archive: str | Path, root: str | Path) -> list[str]:
     """Extracts an archive whose members all stay inside root and are no links."""
     base = Path(root).resolve()
     with zipfile.ZipFile(archive) as z:
-        members = [m for m in z.infolist() if not m.is_dir()]
-        if not members:
-            raise ValueError(f"{archive} is empty")
-        for m in members:
-            parts = PurePosixPath(m.filename)
-            linked = stat.S_ISLNK(m.external_attr >> 16)
-            if linked or parts.is_absolute() or ".." in parts.parts or not (base / m.filename).resolve().is_relative_to(base):
-                raise ValueError(f"unsafe member {m.filename}")
+        members = safe_members(z, archive)
+        if out := [m.filename for m in members if not (base / m.filename).resolve().is_relative_to(base)]:
+            raise ValueError(f"unsafe member {out[0]}")
         z.extractall(base)
     return sorted(m.filename for m in members)
 

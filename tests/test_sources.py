@@ -144,7 +144,12 @@ def test_command_line(spark, tmp_path, capsys):
     for name, made in (("chunk", schemas.chunk()), ("common", schemas.common(("core",), ("",)))):
         (tmp_path / f"schemas/{name}.schema.json").write_text(json.dumps(made))
     again = ["chunk", "--documents", at("docs"), "--settings", at("chunking.json"), "--schema", at("schemas/chunk.schema.json"), "--force", "--output"]
-    cli.chunk(spark, cli.parser().parse_args([*again, at("chunks2")]))
+    cli.chunk(spark, cli.parser().parse_args([*again, at("chunks2"), "--records", at("records")]))
+    # one file per chunk, which reads back as the chunks
+    back = scan.as_chunks(scan.read_chunks(spark, at("records")))
+    keep = ["chunk_id", "document_id", "source_id", "section_path", "entry_title", "content", "parent_chunk_id", "next_chunk_id", "split_origin", "child_no"]
+    assert sorted(map(str, back.select(keep).collect())) == sorted(map(str, spark.read.parquet(at("chunks2")).select(keep).collect()))
+    assert any("child_001" in p.name for p in (tmp_path / "records").iterdir())
     (tmp_path / "schemas/common.schema.json").write_text(json.dumps(schemas.common(("other",), ("",))))
     with pytest.raises(ValueError, match=r"source_ref.source_type: enum"):
         cli.chunk(spark, cli.parser().parse_args([*again, at("chunks3")]))
