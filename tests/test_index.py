@@ -120,7 +120,7 @@ def test_best_rows_without_scoring_all(spark):
     few = [*rows(300, 11), *[(f"z{i:03d}", "d", "storm of ice", ["x"], "generic", "s", "e", "core", "primary", None, None, None, 0) for i in range(120)]]
     made = index.build_index(spark.createDataFrame(few, CHUNK))
     asked = questions(spark)
-    for k in (1, 3, 20, 10_000):
+    for k in (1, 20, 10_000):
         want = retrieve.top(retrieve.bm25(asked, made), "raw_score", k).select("query_id", "chunk_id", "raw_score", "rank")
         got = retrieve.top_scores(asked, made, k).select(want.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
@@ -156,11 +156,14 @@ def contents(it):
     return {name: sorted(map(str, t.select(sorted(t.columns)).collect())) for name, t in tables.items()}
 
 
-def same(spark, root, live):
+def same(spark, root, live, searched=False):
+    """The index is that of the live chunks, and (searched) finds the same."""
     got = segments.open_segments(spark, root)
     want = index.build_index(spark.createDataFrame(live, CHUNK))
     assert contents(got) == contents(want)
-    asked = questions(spark)
+    if not searched:
+        return
+    asked = questions(spark, n=8)
     found = [sorted(map(tuple, retrieve.retrieve(asked, it, None, 5).select("query_id", "rank", "chunk_id", "raw_score", "score").collect())) for it in (got, want)]
     assert found[0] == found[1] and found[0]
     told = spark.createDataFrame([(1, "fi* NOT the"), (2, "NEAR(fire ice, 4)")], "query_id long, expression string")
@@ -181,7 +184,7 @@ def test_add_replace_delete_and_merge(spark, tmp_path):
     segments.commit(spark, root, df(changed), gone)
     live |= {r[0]: r for r in changed}
     live = {i: r for i, r in live.items() if i not in ("c003", "c030")}
-    same(spark, root, list(live.values()))
+    same(spark, root, list(live.values()), searched=True)
     # once more, and a dead one comes back
     segments.commit(spark, root, df([base[3], changed[0]]))
     live |= {base[3][0]: base[3], changed[0][0]: changed[0]}
@@ -192,7 +195,7 @@ def test_add_replace_delete_and_merge(spark, tmp_path):
     assert len(after["segments"]) == 2 and all(not s["dead"] for s in after["segments"])
     same(spark, root, list(live.values()))
     assert len(segments.vacuum(spark, root)) == 3
-    same(spark, root, list(live.values()))
+    same(spark, root, list(live.values()), searched=True)
     segments.commit(spark, root, None, df(list(live.values())).select("chunk_id"))
     assert segments.open_segments(spark, root).sizes.first().n == 0
 
@@ -219,7 +222,7 @@ def test_stream_to_search(spark, tmp_path):
     run()
     live = {r[0]: r for r in [*rows(12, 1), *rows(5, 2, 10)]}
     live = {i: r for i, r in live.items() if i not in ("c000", "c001")}
-    same(spark, root, list(live.values()))
+    same(spark, root, list(live.values()), searched=True)
     state = segments.manifest(spark, root)
     # nothing new: no batch; a batch that ran before: no commit
     run()
