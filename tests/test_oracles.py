@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "src2_checksums", "ext2_merged_spans", "ext11_blocks", "ent2_matches", "sec12_decisions", "sec14_canonical",
     "chk13_chunks", "chk10_packing", "trm5_term_buckets", "qry1_normalized", "ret13_candidates", "ans9_answers",
-    "evd4_spans", "evd7_pack", "evl6_outcomes", "snk15_candidate_rows", "snk15_segment_rows", "snk15_citation_rows", "snk15_history",
+    "ext1_rich_text", "sec15_validation", "chk14_validation", "ret4_match", "ret2_bm25", "ret4_top_search", "trm3_title_terms", "evd4_spans", "evd7_pack", "evl6_outcomes", "snk15_candidate_rows", "snk15_segment_rows", "snk15_citation_rows", "snk15_history",
 ]
 
 
