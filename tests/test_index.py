@@ -103,6 +103,22 @@ def test_random_expressions(spark, made, lite):
         assert "NOT" in e or all(abs(got[i][c] - want[c]) < 2e-6 for c in want), e
 
 
+def test_scan_finds_what_the_index_finds(spark, made):
+    """An index for one batch deals texts by chunk: the same rows, and no exchange of
+    scores or places."""
+    scan = index.scan_index(spark.createDataFrame(rows(), CHUNK))
+    listed = lambda df: sorted(map(str, df.collect()))
+    by_term = lambda df: df.select("chunk_id", "length", F.array_sort("freqs").alias("freqs"))
+    assert listed(scan.postings) == listed(made.postings) and listed(by_term(scan.profiles)) == listed(by_term(made.profiles))
+    assert listed(scan.terms) == listed(made.terms) and listed(scan.sizes) == listed(made.sizes)
+    asked = questions(spark)
+    assert listed(retrieve.bm25(asked, scan)) == listed(retrieve.bm25(asked, made))
+    assert listed(retrieve.top_scores(asked, scan, 4)) == listed(retrieve.top_scores(asked, made, 4))
+    plan = retrieve.bm25(asked, scan)._jdf.queryExecution().executedPlan().toString()
+    # beside the phrases that chunks hold nothing is exchanged, least of all scores
+    assert plan.count("Exchange hashpartitioning") <= 1 and "hashpartitioning(query_id" not in plan
+
+
 def test_search_takes_the_best(spark, made):
     asked = spark.createDataFrame([(1, "fire OR ball"), (2, "zzz")], "query_id long, expression string")
     got = match.search(asked, made, 4).orderBy("rank").collect()
