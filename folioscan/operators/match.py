@@ -322,22 +322,61 @@ def _decide(program: Column, hits: Column, empty: Column) -> Column:
     return F.when(top["state"] == 2, top["sets"])
 
 
+def _plain_sets(phrases: DataFrame) -> bool:
+    """No NEAR, and no prefix before the last word of a phrase."""
+    inner = F.exists(F.slice("words", F.lit(1), F.size("words") - 1), lambda w: w["prefix"])
+    return phrases.filter(inner | (F.col("phrase_no") > 0)).isEmpty()
+
+
+def _programs(read: DataFrame, filled: DataFrame) -> DataFrame:
+    """query_id, program, empty: the sets without a word.  filled: query_id, set_no."""
+    every = F.expr("sequence(0, size(sets) - 1)")
+    asked = read.filter(F.size("sets") > 0).select("query_id", "program", every.alias("every"))
+    asked = asked.join(filled.groupBy("query_id").agg(F.collect_list("set_no").alias("filled")), "query_id")
+    return asked.select("query_id", "program", F.array_except("every", "filled").alias("empty"))
+
+
+def _scanned_scores(read: DataFrame, phrases: DataFrame, index: Index) -> DataFrame:
+    """match_scores over a scan_index, of sets of one phrase each.  All that is
+    counted per chunk is counted where the chunk lies; an expression is decided once
+    for each combination of its sets that some chunk holds."""
+    ok = (F.col("cols").isNull() | F.array_contains("cols", F.col("col"))) & (~F.col("first") | (F.col("start") == 0))
+    starts = R.scanned_starts(store.stored(_slots(phrases, index), "match-slots"), index)
+    # the phrases of the batch are small beside the texts
+    each = starts.join(F.broadcast(phrases.select("query_id", "set_no", "phrase", "cols", "first")), "phrase").filter(ok)
+    freq = each.groupBy("query_id", "set_no", "chunk_id", "length").agg(F.count(F.lit(1)).alias("f"))
+    hits = F.sort_array(F.collect_list(F.struct("set_no", "f"))).alias("hits")
+    held = store.stored(freq.groupBy("query_id", "chunk_id", "length").agg(hits), "match-hits")
+    # a phrase weighs by the chunks that hold it in its columns
+    spread = held.select("query_id", F.explode("hits.set_no").alias("set_no")).groupBy("query_id", "set_no").agg(F.count(F.lit(1)).alias("n_p"))
+    sizes = index.sizes.select(F.col("n").alias("n_chunks"), "total")  # one row
+    idf = R.weight(F.col("n_chunks"), F.col("n_p"))
+    weights = spread.join(F.broadcast(sizes)).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("set_no", idf.alias("idf")))).alias("weights"))
+    known = _programs(read, phrases.select("query_id", "set_no")).join(weights, "query_id")
+    kinds = held.select("query_id", F.col("hits.set_no").alias("kind")).distinct().join(known, "query_id")
+    kinds = kinds.select("query_id", "kind", "weights", _decide(F.col("program"), F.col("kind"), F.col("empty")).alias("sets")).filter(F.size("sets") > 0)
+    kinds = F.broadcast(store.stored(kinds, "match-kinds"))
+    rated = held.withColumn("kind", F.col("hits.set_no")).join(kinds, ["query_id", "kind"]).join(F.broadcast(sizes))
+    counting = F.filter("hits", lambda h: F.array_contains("sets", h["set_no"]))
+    gain = lambda h: F.element_at("weights", h["set_no"]) * part(h["f"], F.col("length"), F.col("total") / F.col("n_chunks"))
+    total = F.aggregate(counting, F.lit(0.0), lambda acc, h: acc + gain(h))
+    return rated.select("query_id", "chunk_id", (F.round(-total, R.DIGITS) + F.lit(0.0)).alias("raw_score"))
+
+
 def match_scores(expressions: DataFrame, index: Index) -> DataFrame:
     """expressions: query_id, expression.  query_id, chunk_id, raw_score of every
     chunk for which an expression holds: BM25 over its phrases, lower is better."""
     read = store.stored(parsed(expressions).filter("error is null"), "read-expressions")
     phrases = store.stored(_phrases(read), "match-phrases")
+    if index.words is not None and _plain_sets(phrases):
+        return _scanned_scores(read, phrases, index)
     starts = store.stored(R.phrase_starts(_slots(phrases, index), index.live(index.postings), index.terms).distinct(), "match-starts")
     freq = store.stored(_frequencies(phrases, starts), "match-frequencies")
     keys = ["query_id", "set_no"]
     members = phrases.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
     held = freq.groupBy(*keys, "chunk_id").agg(F.count(F.lit(1)).alias("got")).join(members, keys).filter("got = members")
     hits = held.groupBy("query_id", "chunk_id").agg(F.collect_list("set_no").alias("hits"))
-    filled = members.groupBy("query_id").agg(F.collect_list("set_no").alias("filled"))
-    every = F.expr("sequence(0, size(sets) - 1)")
-    asked = read.filter(F.size("sets") > 0).select("query_id", "program", every.alias("every")).join(filled, "query_id")
-    asked = asked.select("query_id", "program", F.array_except("every", "filled").alias("empty"))
-    decided = hits.join(asked, "query_id").withColumn("sets", _decide(F.col("program"), F.col("hits"), F.col("empty")))
+    decided = hits.join(_programs(read, members), "query_id").withColumn("sets", _decide(F.col("program"), F.col("hits"), F.col("empty")))
     counting = decided.filter("sets is not null").select("query_id", "chunk_id", F.explode("sets").alias("set_no"))
     # a phrase weighs by the chunks that hold it in its columns, near others or not
     kinds = phrases.select(*keys, "phrase_no", "phrase", "cols", "first")

@@ -114,6 +114,10 @@ def test_scan_finds_what_the_index_finds(spark, made):
     asked = questions(spark)
     assert listed(retrieve.bm25(asked, scan)) == listed(retrieve.bm25(asked, made))
     assert listed(retrieve.top_scores(asked, scan, 4)) == listed(retrieve.top_scores(asked, made, 4))
+    # NEAR and inner prefixes take the general way, whole batches of others one pass
+    for some in (EXPRESSIONS, [e for e in EXPRESSIONS if "NEAR(" not in e], ['fi* + "ball"', "NEAR(fi* ball)"]):
+        batch = spark.createDataFrame(list(enumerate(some)), "query_id long, expression string")
+        assert listed(match.match_scores(batch, scan)) == listed(match.match_scores(batch, made))
     plan = retrieve.bm25(asked, scan)._jdf.queryExecution().executedPlan().toString()
     # beside the phrases that chunks hold nothing is exchanged, least of all scores
     assert plan.count("Exchange hashpartitioning") <= 1 and "hashpartitioning(query_id" not in plan
