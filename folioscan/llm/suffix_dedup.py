@@ -5,8 +5,11 @@ Distribution.  Every 50-byte window has an anchor, the smallest hash of its
 16-byte grams, which depends on the window's bytes alone, so equal windows have
 equal anchors wherever they stand.  Neighbouring windows with one anchor form a
 run, a string of 50 to 84 bytes.  Runs go to buckets by anchor, as packed
-arrays; equal runs of a chunk of texts count once.  Runs whose anchor occurs in
-two documents or more are shared.
+arrays; equal runs of a chunk of texts count once.  Two runs that share a window
+agree on 34 bytes around the anchor's gram, so on 17 before it or on 18 after it:
+runs are shared if another document has a run of the same anchor and the same 17
+bytes or the same 18.  The anchor alone would not do: with the corpus nearly every
+16 bytes come to stand in a second document.
 
 Decision.  Each bucket builds the suffix array and the Burrows-Wheeler transform
 of its distinct shared runs.  Breadth-first backward extension derives the
@@ -40,6 +43,9 @@ from .common import drop_scratch, materialize, scratch_path
 
 MIN_LENGTH = 50
 GRAM = 16
+#: Windows agree on so many bytes before the gram, or on one more after it.
+SIDE = (MIN_LENGTH - GRAM) // 2
+_24 = np.uint64((1 << 24) - 1)
 #: Bytes of text per chunk and per bucket; sub-batches keep the arrays small.
 CHUNK_BYTES = 8_000_000
 BATCH_BYTES = 200_000
@@ -60,30 +66,67 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_B), n, 1 << 64))
 
 
-def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, gram: int = GRAM):
+def _extremes(values: np.ndarray, per: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of each `per` neighbours."""
+    n = 1
+    while 2 * n <= per:
+        values = pick(values[:-n], values[n:])
+        n *= 2
+    return pick(values[: len(values) - (per - n)], values[per - n :]) if per > n else values
+
+
+def _sides(hashes: dict, grams: np.ndarray, least: np.ndarray, s: np.ndarray, count: np.ndarray, anchor: np.ndarray):
+    """24 bits of the SIDE bytes before the anchor's gram of each run and of the
+    SIDE + 1 after it, 0 where the run does not reach so far; both are 0 if the gram
+    stands in the run more than once."""
+    per = len(grams) - len(least) + 1
+    # grams that are the least of some window: the most of the least around them is their own
+    edge = np.zeros(per - 1, dtype=np.uint64)
+    most = _extremes(np.concatenate([edge, least, edge]), per, np.maximum)
+    places = np.flatnonzero(most == grams)
+    k, last = np.searchsorted(places, s), s + count + per - 2
+    at, times = np.full(len(s), -1, dtype=np.int64), np.zeros(len(s), dtype=np.int64)
+    open_ = np.arange(len(s))
+    while len(open_):
+        open_ = open_[k[open_] < len(places)]
+        open_ = open_[places[k[open_]] <= last[open_]]
+        q = places[k[open_]]
+        hit = grams[q] == anchor[open_]
+        at[open_[hit]] = q[hit]
+        times[open_[hit]] += 1
+        k[open_] += 1
+        open_ = open_[times[open_] < 2]
+    one = times == 1
+    end = s + count + MIN_LENGTH - 1
+    left, right = np.zeros(len(s), dtype=np.uint64), np.zeros(len(s), dtype=np.uint64)
+    i = np.flatnonzero(one & (at - s >= SIDE))
+    p = at[i] - SIDE
+    left[i] = np.maximum(_mixed(hashes[GRAM][p] * _power(1) + hashes[1][p + GRAM]) & _24, np.uint64(1))
+    i = np.flatnonzero(one & (at + GRAM + SIDE + 1 <= end))
+    p = at[i] + GRAM
+    right[i] = np.maximum(_mixed(hashes[GRAM][p] * _power(2) + hashes[2][p + GRAM]) & _24, np.uint64(1))
+    return left, right
+
+
+def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, gram: int = GRAM, sides: bool = False):
     """Runs of several texts that lie one after the other in data: text number,
-    first byte in data, number of windows, anchor and string hash (48 bits each).
-    Texts start at offsets[:-1]."""
+    first byte in data, number of windows, anchor and string hash (48 bits each);
+    with sides also what _sides tells.  Texts start at offsets[:-1]."""
     per = length - gram + 1
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
     if not total:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, *[empty.astype(np.uint64)] * (4 if sides else 2)
     hashes = {1: data.astype(np.uint64) + np.uint64(1)}
     n = 1
     while n < 2 * gram:
         h = hashes[n]
         hashes[2 * n] = h[:-n] * _power(n) + h[n:]
         n *= 2
-    least = _mixed(hashes[gram])
-    n = 1
-    while 2 * n <= per:
-        least = np.minimum(least[:-n], least[n:])
-        n *= 2
-    if per > n:
-        least = np.minimum(least[: len(least) - (per - n)], least[per - n :])
+    grams = _mixed(hashes[gram])
+    least = _extremes(grams, per, np.minimum)
     text = np.repeat(np.arange(len(sizes)), windows)
     first = np.cumsum(windows) - windows
     at = np.arange(total) + np.repeat(offsets[:-1] - first, windows)
@@ -107,7 +150,8 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, g
         + wide[s + np.minimum(26, size - span)] * _M3
         + size.astype(np.uint64)
     )
-    return text[begin], s, count, _mixed(anchor[begin] * _M3) & _48, _mixed(digest) & _48
+    found = text[begin], s, count, _mixed(anchor[begin] * _M3) & _48, _mixed(digest) & _48
+    return (*found, *_sides(hashes, grams, least, s, count, anchor[begin])) if sides else found
 
 
 # --- packed columns: byte planes, so that small numbers compress ------------
@@ -190,13 +234,14 @@ def _entries(n_buckets: int):
         least = table.column("least").to_numpy()
         found = []
         for data, offsets, row, _ in _batches(table):
-            text, _, _, anchor, digest = text_runs(data, offsets)
-            found.append((anchor, digest, least[row[text]]))
-        anchor, digest, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+            text, _, _, anchor, digest, left, right = text_runs(data, offsets, sides=True)
+            found.append((anchor, digest, least[row[text]], left, right))
+        anchor, digest, doc, left, right = (np.concatenate(c) for c in zip(*found, strict=True))
         order, start = _grouped((doc, digest, anchor))
         doc = doc[order]
         last = doc[np.append(start[1:], len(doc)) - 1] if len(start) else doc
-        anchor, digest, doc = anchor[order][start], digest[order][start], doc[start]
+        anchor, digest, left, right = (c[order][start] for c in (anchor, digest, left, right))
+        doc = doc[start]
         several = (last != doc).astype(np.int64)
         bucket = (anchor % np.uint64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
@@ -204,7 +249,7 @@ def _entries(n_buckets: int):
         rows = []
         for b in np.flatnonzero(np.diff(edges)):
             i = by[edges[b] : edges[b + 1]]
-            rows.append((int(b), chunk, _pack((anchor[i], 6), (digest[i], 6), (doc[i], 8), (several[i], 1))))
+            rows.append((int(b), chunk, _pack((anchor[i], 6), (digest[i], 6), (doc[i], 8), (several[i], 1), (left[i], 3), (right[i], 3))))
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.table(
             {"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "data": pa.array(cols[2], pa.binary())}
@@ -216,25 +261,35 @@ def _entries(n_buckets: int):
 # --- step 2: which runs are shared ------------------------------------------
 
 
+def _in_two(doc: np.ndarray, several: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which rows have keys that two documents or more have."""
+    ok = np.zeros(len(doc), dtype=bool)
+    order, start = _grouped((doc, *keys))
+    if len(order):
+        end = np.append(start[1:], len(order)) - 1
+        two = (doc[order][start] != doc[order][end]) | (np.maximum.reduceat(several[order], start) > 0)
+        ok[order[np.repeat(two, end - start + 1)]] = True
+    return ok
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """Requests to chunks (each distinct shared run once, to a chunk of its
     smallest doc_id) and the list of chunks that hold each shared run."""
     bucket = table.column("bucket")[0].as_py()
     sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in table.column("data").to_pylist()]
     chunk = np.repeat(table.column("chunk").to_numpy().astype(np.int64), sizes)
-    anchor, digest, doc, several = _all(table, "data", (6, 6, 8, 1))
+    anchor, digest, doc, several, left, right = _all(table, "data", (6, 6, 8, 1, 3, 3))
     # anchors that stand once can't be shared
     _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
     keep = np.flatnonzero((count[inverse] > 1) | (several > 0))
-    anchor, digest, doc, several, chunk = (c[keep] for c in (anchor, digest, doc, several, chunk))
-    order, start = _grouped((doc, anchor))
-    if len(order):
-        end = np.append(start[1:], len(order)) - 1
-        ok = (doc[order][start] != doc[order][end]) | (np.maximum.reduceat(several[order], start) > 0)
-        keep = order[np.repeat(ok, end - start + 1)]
-    else:
-        keep = order
-    anchor, digest, doc, chunk = (c[keep] for c in (anchor, digest, doc, chunk))
+    anchor, digest, doc, several, chunk, left, right = (c[keep] for c in (anchor, digest, doc, several, chunk, left, right))
+    # of an anchor whose gram stands in some run more than once all runs are compared
+    wild = np.isin(anchor, anchor[(left == 0) & (right == 0)])
+    ok = _in_two(doc, several, anchor) & wild
+    for side in (left, right):
+        i = np.flatnonzero((side > 0) & ~wild)
+        ok[i] |= _in_two(doc[i], several[i], side[i], anchor[i])
+    anchor, digest, doc, chunk = (c[ok] for c in (anchor, digest, doc, chunk))
     order, start = _grouped((doc, digest, anchor))
     lead = order[start]
     kinds, to, data = [], [], []

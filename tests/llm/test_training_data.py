@@ -362,6 +362,42 @@ def test_one_anchor_in_every_document(spark):
     assert all(got[1000 + i] == 70 for i in range(50)) and all(got[i] == 0 for i in range(200))
 
 
+def asked_runs(texts):
+    """(anchor, digest) of the runs of the texts, one document each, that are compared."""
+    n = len(texts)
+    table = suffix_dedup.pa.table({"chunk": np.zeros(n, dtype=np.int32), "least": np.arange(n), "text": texts})
+    found = suffix_dedup._shared(suffix_dedup._entries(1)(table)).to_pylist()
+    packed = [suffix_dedup._unpack(r["data"], (6, 6, 8))[0] for r in found if r["kind"] == 0]
+    return {(int(a), int(h)) for p in packed for a, h in zip(p[0], p[1], strict=True)}
+
+
+def test_runs_that_only_share_an_anchor_are_not_compared():
+    rng = random.Random(17)
+    grams = ["".join(rng.choice("abcdefgh") for _ in range(16)) for _ in range(400)]
+    runs = lambda t, **more: suffix_dedup.text_runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), **more)
+    hot = min(grams, key=lambda g: int(runs((g * 4)[:50])[3][0]))
+    texts = ["".join(rng.choice("xyzuvw") for _ in range(34)) + hot + "".join(rng.choice("xyzuvw") for _ in range(34)) for _ in range(200)]
+    assert asked_runs(texts) == set()
+
+
+def test_every_shared_window_is_compared():
+    """Random, periodic and mixed texts of few letters; grams that stand in a run often."""
+    rng = random.Random(18)
+    some = lambda k, letters="ab": "".join(rng.choice(letters) for _ in range(k))
+    for _ in range(30):
+        parts = [some(rng.randint(20, 90)) for _ in range(4)] + ["abc" * 30, "a" * 70, some(7) * 12]
+        texts = list(dict.fromkeys("".join(rng.choice([rng.choice(parts), rng.choice(parts)[rng.randint(0, 9) :], some(rng.randint(0, 40))]) for _ in range(4)) + some(50) for _ in range(8)))
+        asked, holders, of = asked_runs(texts), {}, {}
+        for i, t in enumerate(texts):
+            _, s, count, anchor, digest = suffix_dedup.text_runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+            for at, n, a, h in zip(s, count, anchor, digest, strict=True):
+                for x in range(int(at), int(at + n)):
+                    holders.setdefault(t[x : x + 50], set()).add(i)
+                    of.setdefault(t[x : x + 50], set()).add((int(a), int(h)))
+        for window, docs in holders.items():
+            assert len(docs) < 2 or of[window] <= asked
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     for _ in range(60):
