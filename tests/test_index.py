@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.config import TermAssets
-from folioscan.operators import index, match, normalize, retrieve, segments
+from folioscan.operators import chunks, index, match, normalize, retrieve, segments
 from folioscan.streaming.index_stream import index_stream
 
 CHUNK = (
@@ -123,6 +123,38 @@ def test_scan_finds_what_the_index_finds(spark, made):
     assert plan.count("Exchange hashpartitioning") <= 1 and "hashpartitioning(query_id" not in plan
 
 
+def test_links_are_put_in_order_without_texts(spark):
+    """A file may hold most of the texts: what is dealt by file is ids alone.  Ids
+    that stand twice, in one file or in two, keep their rows and links."""
+    ids = [(f, f"d{i:02d}") for f in ("one", "two") for i in range(20)] + [("one", "d03"), ("one", "x1"), ("two", "x2")]
+    given = spark.createDataFrame(
+        [(d, f"{f}.txt#{d}", [f], f"text of {d}", None) for f, d in ids],
+        "document_id string, source_location string, section_path array<string>, content string, chunk_type_hint string",
+    )
+    linked = chunks.parents(given)
+    want = []
+    for f in ("one", "two"):
+        own = [None, *sorted(f"chunk::{d}" for g, d in ids if g == f), None]
+        want += zip(own[1:-1], own, own[2:], strict=False)
+    assert sorted(map(str, linked.select("chunk_id", "previous_chunk_id", "next_chunk_id").collect())) == sorted(
+        f"Row(chunk_id={c!r}, previous_chunk_id={a!r}, next_chunk_id={b!r})" for c, a, b in want
+    )
+    lines = linked._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [" ".join(lines[i : i + 2]) for i, line in enumerate(lines) if "Exchange hashpartitioning(file_key" in line]
+    assert len(below) == 1 and "document_id" in below[0] and "content" not in below[0]
+
+
+def test_a_batch_counts_what_it_asks_for(spark, made):
+    """The terms of a scan_index are counted when they are asked for, and no list of
+    counts is written beside the words."""
+    scan = index.scan_index(spark.createDataFrame(rows(), CHUNK))
+    wanted = spark.createDataFrame([("fire",), ("of",), ("of",), ("zzz",)], "term string")
+    listed = lambda df: sorted(map(str, df.select("term", "df", "cf").collect()))
+    assert listed(scan.counts(wanted)) == listed(made.counts(wanted)) == listed(made.terms.filter("term in ('fire', 'of')"))
+    written = {f.rpartition("/")[2].partition(".")[0]: f for f in scan.words.inputFiles()}
+    assert written and "freqs" not in spark.read.parquet(*written.values()).columns
+
+
 def test_search_takes_the_best(spark, made):
     asked = spark.createDataFrame([(1, "fire OR ball"), (2, "zzz")], "query_id long, expression string")
     got = match.search(asked, made, 4).orderBy("rank").collect()
