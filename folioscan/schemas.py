@@ -7,9 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscan.config import TYPE_PRIOR
-from folioscan.functions.json_schema import broken_rules
+from folioscan.functions.json_schema import broken_fields, broken_rules
 
 _TEXT = {"type": "string"}
 # Kinds of entries that a document may hint at, and how chunks are split.
@@ -73,11 +74,14 @@ def read(path: str) -> tuple[dict, dict[str, dict]]:
     return files.pop(Path(path).name), files
 
 
-def broken(rows: DataFrame, key: str, text: str, schema: dict, store: dict[str, dict] | None = None) -> DataFrame:
-    """rows: a key and a column of JSON texts.  key and broken (`path: word`, in
-    order) of those that break the schema."""
-    told = rows.select(key, F.array_sort(F.array_distinct(broken_rules(schema, F.col(text), store))).alias("broken"))
-    return told.filter(F.size("broken") > 0)
+def broken(rows: DataFrame, key: str, value: str, schema: dict, store: dict[str, dict] | None = None) -> DataFrame:
+    """rows: a key and a column of JSON texts, or of records in place of the texts
+    that they make.  key and broken (`path: word`, in order) of those that break the
+    schema.  Rows are chosen by explode: a filter would compute all rules once more."""
+    kind = rows.schema[value].dataType
+    told = broken_fields(schema, F.col(value), kind, store) if isinstance(kind, StructType) else broken_rules(schema, F.col(value), store)
+    some = F.filter(F.array(F.array_sort(F.array_distinct(told))), lambda b: F.size(b) > 0)
+    return rows.select(key, F.explode(some).alias("broken"))
 
 
 def nested(rows: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -97,7 +101,7 @@ CHUNK_FIELDS = {c: c for c in ("chunk_id", "document_id", "chunk_type", "content
 
 def broken_chunks(chunks: DataFrame, schema: dict | None = None, store: dict[str, dict] | None = None) -> DataFrame:
     """chunk_id and broken of chunks that break the schema (of this module, if none)."""
-    return broken(nested(chunks, CHUNK_FIELDS), "chunk_id", "json", schema or chunk(), store if store is not None else {COMMON: common()})
+    return broken(nested(chunks, CHUNK_FIELDS), "chunk_id", "record", schema or chunk(), store if store is not None else {COMMON: common()})
 
 
 DOCUMENT_FIELDS = {c: c for c in ("document_id", "content", "document_title", "source_checksum", "source_version", "ingested_at", "processing_hints")}
@@ -115,4 +119,4 @@ def nested_documents(docs: DataFrame) -> DataFrame:
 
 def broken_documents(docs: DataFrame, schema: dict | None = None, store: dict[str, dict] | None = None) -> DataFrame:
     """document_id and broken of canonical documents."""
-    return broken(nested_documents(docs), "document_id", "json", schema or canonical(), store if store is not None else {COMMON: common()})
+    return broken(nested_documents(docs), "document_id", "record", schema or canonical(), store if store is not None else {COMMON: common()})

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folioscan import schemas
 from folioscan.functions import json_schema as J
 
 CASES = [
@@ -59,3 +60,60 @@ def test_bad_schemas(spark):
     for schema in ({"typo": 1}, {"type": "text"}, {"$ref": "#/nowhere"}, {"$ref": "other.json#"}, {"$ref": "#"}, {"items": 3}):
         with pytest.raises(J.SchemaError):
             J.broken_rules(schema, F.lit("1"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_taken_apart_once(spark):
+    """Each rule parsed the text anew: a hundred times and more for a chunk."""
+    names = {n: {"type": "string", "minLength": 1} for n in "abcdefgh"}
+    schema = {"type": "object", "required": ["a"], "properties": {**names, "in": {"type": "object", "properties": names}}, "additionalProperties": False}
+    made = plan(spark.createDataFrame([("{}",)], "j string").select(J.broken_rules(schema, F.col("j")).alias("b")))
+    assert made.count("parseJson(") == 1
+    # of the whole, and of each of its 9 and of the 8 members within
+    assert made.count("schemaOfVariant(") == 18
+
+
+FIELDS = "a: string, n: int, x: double, s: array<string>, r: struct<p: string, q: int>, t: timestamp, `b c`: boolean"
+RECORDS = [
+    ("é\"\n", 1, 1.5, ["u", None], ("p", None), None, True),
+    ("", None, float("nan"), [], (None, 7), None, None),
+    (None, 0, None, None, None, None, False),
+    (None, None, None, None, (None, None), None, None),
+]
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        {"type": "object", "required": ["a", "n", "r"], "minProperties": 3, "additionalProperties": {"type": "string"}},
+        {"properties": {"a": {"minLength": 1, "pattern": "^.\"\\n$"}, "n": {"enum": [1]}, "x": {"type": "number"}, "b c": {"const": True}}},
+        {"properties": {"s": {"minItems": 1, "items": {"type": "string"}}, "r": {"required": ["p"], "properties": {"q": {"maximum": 5}}}}, "additionalProperties": False},
+        {"if": {"required": ["a"]}, "then": {"required": ["n"]}, "else": {"maxProperties": 2}, "patternProperties": {"^r": {"minProperties": 2}}},
+        {"anyOf": [{"const": {"n": 0, "b c": False}}, {"enum": [{"r": {}}]}], "propertyNames": {"pattern": "^.$"}},
+        {"type": "string"},
+        {"$ref": "#/$defs/o", "$defs": {"o": {"not": {"required": ["x"]}}}},
+    ],
+)
+def test_records_are_judged_as_their_json(spark, schema):
+    df = spark.createDataFrame([(r,) for r in RECORDS] + [(None,)], f"r struct<{FIELDS}>")
+    kind = df.schema["r"].dataType
+    both = df.select(J.broken_fields(schema, F.col("r"), kind).alias("a"), J.broken_rules(schema, F.to_json("r")).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
+
+
+def test_rules_of_chunks_stand_once_and_make_no_json(spark):
+    """A filter behind the rules computed them once more, and contents were parsed."""
+    rows = [(f"c{i}", "d", "generic", "t" * 70, ["p"], "s", "e", "core", "primary", "T") for i in range(3)] + [("c9", "d", "no", None, ["p"], "s", "e", "core", "primary", "T")]
+    names = "chunk_id string, document_id string, chunk_type string, content string, section_path array<string>, source_id string, edition string, source_type string, authority_level string, source_title string"
+    found = schemas.broken_chunks(spark.createDataFrame(rows, names), None, {schemas.COMMON: schemas.common(("core",), ("primary",))})
+    assert [(r.chunk_id, r.broken) for r in found.collect()] == [("c9", ["$.chunk_type: enum", "$.content: required"])]
+    assert plan(found).count("$.chunk_type: enum") == 1
+
+
+def test_long_contents(spark):
+    """The parser takes no text of over 20 million characters."""
+    df = spark.range(1).select(F.struct(F.repeat(F.lit("é"), 21_000_000).alias("content")).alias("record"), F.lit("c").alias("k"))
+    assert schemas.broken(df, "k", "record", {"properties": {"content": {"type": "string"}}}).collect() == []
